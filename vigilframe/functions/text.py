@@ -77,7 +77,7 @@ def finite(value: Column) -> Column:
 
 
 def comma_list(value: Column) -> Column:
-    parts = F.transform(F.split(value, ","), F.trim)
+    parts = F.transform(F.split(value, ","), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
@@ -88,7 +88,7 @@ def attack_tokens(value: Column) -> Column:
 
 
 def collapse_attacks(items: Column) -> Column:
-    kept = F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: (x != "") & (x != "benign")))
+    kept = F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: (x != "") & (x != "benign")))
     return F.when(F.coalesce(F.size(kept), F.lit(0)) <= 0, F.lit("benign")).otherwise(F.array_join(kept, "+"))
 
 

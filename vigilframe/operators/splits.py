@@ -64,10 +64,15 @@ def stratified_split(df: DataFrame, label: str, record_id: str, seed: int) -> Da
 
 
 def global_ratio_cuts(counts: DataFrame, label: str, total: int, train: float = 0.70, val: float = 0.15) -> DataFrame:
-    """Per-label share of the global ratios, without the min-one repair."""
-    return counts.withColumns(
-        {"n_train": F.bround(F.col("n") * train).cast("long"), "n_val": F.bround(F.col("n") * val).cast("long")}
-    )
+    """Exact overall sizes, shared out over labels by largest remainder."""
+    n_train, n_val = max(1, int(total * train)), max(1, int(total * val))
+    if total - n_train - n_val < 1:
+        raise ValueError("too few rows for the requested split ratios")
+    first = quotas(counts, label, "n", n_train, 0).withColumnRenamed("quota", "n_train")
+    rest = first.withColumn("left", F.col("n") - F.col("n_train"))
+    second = quotas(rest.select(label, "left"), label, "left", n_val, 0).withColumnRenamed("quota", "n_val")
+    out = match_keys(first, second, [label])
+    return out.select(label, "n", "n_train", "n_val", (F.col("n") - F.col("n_train") - F.col("n_val")).alias("n_test"))
 
 
 def chronological_split(
