@@ -193,7 +193,7 @@ def _graph_sql(kind: str, variant: str, k: int) -> str:
     }[variant]
     return f"""WITH {count_window_sql(8, 8)},
     f AS (SELECT grp, window_idx, window_pos AS i, [value / 100, k / 100] AS f FROM win),
-    s AS (SELECT a.grp, a.window_idx, a.i AS src, b.i AS dst, {sim} AS s FROM f a JOIN f b ON a.grp = b.grp
+    s AS (SELECT a.grp, a.window_idx, a.i AS src, b.i AS dst, round({sim}, 9) AS s FROM f a JOIN f b ON a.grp = b.grp
       AND a.window_idx = b.window_idx AND a.i <> b.i),
     r AS (SELECT *, row_number() OVER (PARTITION BY grp, window_idx, src ORDER BY s DESC, dst) AS rn FROM s),
     m AS (SELECT grp, window_idx, src, dst, 1 AS m, exp(s) AS w FROM r WHERE rn <= {k}),

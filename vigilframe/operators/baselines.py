@@ -30,7 +30,8 @@ def _classifier(name: str, label: str, width: int, seed: int):
     if name == "random_forest":
         return RandomForestClassifier(numTrees=20, maxDepth=6, seed=seed, **tree)
     if name == "boosted_trees":
-        return GBTClassifier(maxIter=10, maxDepth=4, seed=seed, **tree)
+        model = GBTClassifier(maxIter=10, maxDepth=4, seed=seed, **common)
+        return model.setRawPredictionCol(f"{label}_raw").setProbabilityCol(f"{label}_prob")
     if name == "mlp":
         return MultilayerPerceptronClassifier(layers=[width, 32, 2], maxIter=60, seed=seed, **tree)
     raise ValueError(f"unknown baseline: {name}")

@@ -12,7 +12,7 @@ from vigilframe.functions import scores as S
 from vigilframe.functions.fixed import FUSION_ALIASES, FUSION_MODES, SCORE_NAMES
 from vigilframe.functions.text import group_id
 from vigilframe.operators.metrics import auroc
-from vigilframe.operators.ordering import match_keys, quantiles
+from vigilframe.operators.ordering import quantiles, wide_quantiles
 
 TEMPERATURE_GRID = tuple(round(0.5 + 0.25 * i, 2) for i in range(15))
 CLASS_GRID = tuple(round(0.05 * i, 2) for i in range(1, 20))
@@ -42,12 +42,14 @@ def canonical_fusion(mode: str) -> str:
 
 def robust_scales(df: DataFrame, names: Sequence[str], directions: Mapping[str, float]) -> dict[str, tuple[float, float]]:
     """Median and floored inter-quartile range per oriented score."""
-    out = {}
-    for n in names:
-        v = S.orient(F.col(n).cast("double"), directions.get(n, 1.0))
-        r = quantiles(df, [], v, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).first()
-        out[n] = (float(r["q50"]), max(float(r["q75"] - r["q25"]), 1e-6))
-    return out
+    values = {n: S.orient(F.col(n).cast("double"), directions.get(n, 1.0)) for n in names}
+    r = wide_quantiles(df, [], values, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).first()
+    return {n: (float(r[f"{n}_q50"]), max(float(r[f"{n}_q75"] - r[f"{n}_q25"]), 1e-6)) for n in names}
+
+
+def _thresholds(df: DataFrame, values: dict[str, Column], q: float) -> dict[str, float]:
+    r = wide_quantiles(df, [], values, {"t": q}).first()
+    return {n: float(r[f"{n}_t"]) for n in values}
 
 
 def normalized_columns(cal: Calibration) -> dict[str, Column]:
@@ -107,9 +109,8 @@ def fit_calibration(
         cal.medians[n], cal.iqrs[n] = med, iqr
     norm = df.select(*[c.alias(n) for n, c in normalized_columns(cal).items()])
     cal.weights = fusion_weights(norm, names, cal.fusion)
-    for n in names:
-        cal.score_thresholds[n] = float(quantiles(norm, [], n, {"t": q}).first()["t"])
-    cal.threshold = float(quantiles(norm, [], fused_column(cal, {n: F.col(n) for n in names}), {"t": q}).first()["t"])
+    cal.score_thresholds = _thresholds(norm, {n: F.col(n) for n in names}, q)
+    cal.threshold = _thresholds(norm, {"fused": fused_column(cal, {n: F.col(n) for n in names})}, q)["fused"]
     return cal
 
 
@@ -126,18 +127,19 @@ def apply_calibration(df: DataFrame, cal: Calibration) -> DataFrame:
 
 
 def fusion_sweep(df: DataFrame, q: float = 0.95, names: Sequence[str] = SCORE_NAMES) -> dict[str, Calibration]:
-    """All fusion modes on the same scores, sharing one normalisation."""
-    base = fit_calibration(df, "mean", q, names=names)
+    """All fusion modes on the same scores, sharing one normalisation and one threshold pass."""
+    base = Calibration(tuple(names), "mean", q, {n: 1.0 for n in names})
+    for n, (med, iqr) in robust_scales(df, names, base.directions).items():
+        base.medians[n], base.iqrs[n] = med, iqr
     norm = df.select(*[c.alias(n) for n, c in normalized_columns(base).items()])
+    votes = _thresholds(norm, {n: F.col(n) for n in names}, q)
     out = {}
     for mode in FUSION_MODES:
-        cal = Calibration(
-            base.names, mode, q, base.directions, base.medians, base.iqrs,
-            fusion_weights(norm, names, mode), base.score_thresholds,
-        )
-        fused = fused_column(cal, {n: F.col(n) for n in names})
-        cal.threshold = float(quantiles(norm, [], fused, {"t": q}).first()["t"])
-        out[mode] = cal
+        weights = fusion_weights(norm, names, mode)
+        out[mode] = Calibration(base.names, mode, q, base.directions, base.medians, base.iqrs, weights, votes)
+    fused = {m: fused_column(cal, {n: F.col(n) for n in names}) for m, cal in out.items()}
+    for mode, t in _thresholds(norm, fused, q).items():
+        out[mode].threshold = t
     return out
 
 
@@ -315,7 +317,3 @@ def score_directions(df: DataFrame, truth: str, names: Sequence[str] = SCORE_NAM
         F.when(flipped, 1 - F.col("auroc")).otherwise(F.col("auroc")).alias("effective_auroc"),
         F.when(flipped, -1.0).otherwise(1.0).alias("direction"),
     )
-
-
-def match_group(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return match_keys(df, table, keys)

@@ -32,7 +32,8 @@ def window_adjacency(
     if variant == "identity":
         return np.eye(n)
     sim, w = window_affinity(x, kind, tau)
-    order = sim.copy() if rank is None else -rank
+    # similarities equal to nine places count as ties, which go to the lower position
+    order = np.round(sim, 9) if rank is None else -rank
     np.fill_diagonal(order, -np.inf)
     mask = np.zeros((n, n))
     if n > 1:

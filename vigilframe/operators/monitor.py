@@ -12,7 +12,7 @@ from vigilframe.functions import scores as S
 from vigilframe.functions.text import attack_tokens
 from vigilframe.operators.joins import asof_backward, entity_order, interval_join, phase_order
 from vigilframe.operators.metrics import auroc
-from vigilframe.operators.ordering import match_keys, quantiles, top_k
+from vigilframe.operators.ordering import match_keys, top_k, wide_quantiles
 
 
 def _ratio(a: Column, b: Column, default: float | None = 0.0) -> Column:
@@ -344,14 +344,12 @@ def entity_diagnostics(det: DataFrame, entity: str, part: str = "window_partitio
             "false_alert_rate": _ratio(F.col("false_alert_windows"), F.col("benign_windows")),
         }
     )
-    for name, value in (
-        ("raw", F.col("raw_ood_score")),
-        ("normalized", F.col("ood_score")),
-        ("benign", F.when(is_part["benign"], F.col("raw_ood_score"))),
-    ):
-        q = quantiles(det, [entity], value, {f"{name}_{k}": p for k, p in QS.items()}, buckets=buckets)
-        out = match_keys(out, q, [entity])
-    return out
+    values = {
+        "raw": F.col("raw_ood_score"),
+        "normalized": F.col("ood_score"),
+        "benign": F.when(is_part["benign"], F.col("raw_ood_score")),
+    }
+    return match_keys(out, wide_quantiles(det, [entity], values, QS, buckets=buckets), [entity])
 
 
 def fleet_diagnostics(diag: DataFrame, source_type: str) -> DataFrame:
@@ -437,9 +435,8 @@ def score_diagnostics(
     base = df.groupBy(group).agg(F.count(F.lit(1)).alias("windows"), F.count_if(error).alias("errors"))
     uniq = df.select(group, F.round(normalized, 8).alias("s")).distinct().groupBy(group).agg(F.count("s").alias("unique_scores"))
     out = match_keys(base, uniq, [group])
-    for name, v in (("raw", F.col(raw)), ("normalized", F.col(normalized)), ("warmup", F.when(warmup, F.col(raw)))):
-        out = match_keys(out, quantiles(df, [group], v, {f"{name}_{k}": p for k, p in QS.items()}, buckets=buckets), [group])
-    return out
+    values = {"raw": F.col(raw), "normalized": F.col(normalized), "warmup": F.when(warmup, F.col(raw))}
+    return match_keys(out, wide_quantiles(df, [group], values, QS, buckets=buckets), [group])
 
 
 def raw_row_counts(det: DataFrame, entity: str) -> DataFrame:

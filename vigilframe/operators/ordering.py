@@ -262,6 +262,30 @@ def quantiles(
     )
 
 
+def wide_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    values: dict[str, Column],
+    probs: dict[str, float],
+    buckets: int | None = None,
+) -> DataFrame:
+    """Quantiles of several values per key in one pass, as columns ``<value>_<prob name>``."""
+    n = buckets if buckets is not None else auto_buckets(df, True)
+    if n <= 1:
+        names = list(probs)
+        ps = [float(probs[k]) for k in names]
+        grouped = df.groupBy(*keys).agg(*[F.percentile(v, ps).alias(f"__q_{k}") for k, v in values.items()])
+        return grouped.select(
+            *keys, *[F.col(f"__q_{k}")[i].alias(f"{k}_{q}") for k in values for i, q in enumerate(names)]
+        )
+    items = F.array(*[F.struct(F.lit(k).alias("__name"), v.cast("double").alias("__value")) for k, v in values.items()])
+    long = df.select(*keys, F.inline(items))
+    q = quantiles(long, [*keys, "__name"], "__value", probs, buckets=n)
+    return q.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("__name") == k, F.col(p))).alias(f"{k}_{p}") for k in values for p in probs]
+    )
+
+
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, name: str = "rank"
 ) -> DataFrame:

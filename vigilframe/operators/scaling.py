@@ -8,18 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.functions.text import finite
-from vigilframe.operators.ordering import match_keys, quantiles
+from vigilframe.operators.ordering import match_keys, wide_quantiles
 
 SMALL_GROUP = "fallback_to_global_due_to_small_group_size"
 
 
 def feature_medians(df: DataFrame, features: Sequence[str], fill: float = 0.0) -> dict[str, float]:
     """Exact training medians; one value per feature comes back to the driver."""
-    out: dict[str, float] = {}
-    for c in features:
-        row = quantiles(df, [], finite(F.col(c)), {"m": 0.5}).first()
-        out[c] = fill if row is None or row["m"] is None else float(row["m"])
-    return out
+    row = wide_quantiles(df, [], {c: finite(F.col(c)) for c in features}, {"m": 0.5}).first()
+    values = {c: None if row is None else row[f"{c}_m"] for c in features}
+    return {c: fill if v is None else float(v) for c, v in values.items()}
 
 
 def extract_features(df: DataFrame, features: Sequence[str], fills: dict[str, float]) -> DataFrame:
