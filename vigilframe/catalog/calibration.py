@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.catalog.registry import query
 from vigilframe.catalog.views import DET, PROTO, REC, SCORES, VEC, VECTOR_CLASSES, detections, r6, records, vectors
+from vigilframe.config import materialize
 from vigilframe.functions.fixed import FUSION_MODES, SCORE_NAMES
 from vigilframe.operators import calibrate as K
 from vigilframe.operators import scaling as Z
@@ -209,7 +210,7 @@ def _modes_table(spark, sf, rows):
 
 @query("a11_fusion_weights", f"WITH {_WEIGHTS} SELECT mode, score, round(w, 5) AS weight FROM wt")
 def fusion_weights(spark, sf):
-    sweep = K.fusion_sweep(_validation(spark, sf).cache())
+    sweep = K.fusion_sweep(materialize(_validation(spark, sf), "scores"))
     rows = [{"mode": m, "score": n, "weight": float(c.weights[n])} for m, c in sweep.items() for n in SCORE_NAMES]
     return _modes_table(spark, sf, rows).withColumn("weight", F.round("weight", 5))
 
@@ -229,7 +230,7 @@ th AS (SELECT mode, quantile_cont(fused, 0.95) AS thr FROM fz WHERE NOT truth_oo
     + " UNION ALL ".join(f"SELECT '{n}', round(t_{n}, 4) FROM st" for n in SCORE_NAMES),
 )
 def global_thresholds(spark, sf):
-    cal = K.fit_calibration(_validation(spark, sf).cache(), "mean")
+    cal = K.fit_calibration(materialize(_validation(spark, sf), "scores"), "mean")
     rows = [{"score": n, "threshold": float(t)} for n, t in {"fused": cal.threshold, **cal.score_thresholds}.items()]
     return _modes_table(spark, sf, rows).withColumn("threshold", F.round("threshold", 4))
 
@@ -242,7 +243,7 @@ def global_thresholds(spark, sf):
     FROM fz JOIN th ON fz.mode = th.mode GROUP BY fz.mode""",
 )
 def fusion_sweep(spark, sf):
-    raw = score_table(spark, sf).cache()
+    raw = materialize(score_table(spark, sf), "scores")
     sweep = K.fusion_sweep(raw.where(~F.col("truth_ood")))
     out = None
     for mode in FUSION_MODES:
@@ -262,7 +263,7 @@ def fusion_sweep(spark, sf):
       AS is_ood FROM fz WHERE mode = 'mean'""",
 )
 def fused_decisions(spark, sf):
-    raw = score_table(spark, sf).cache()
+    raw = materialize(score_table(spark, sf), "scores")
     cal = K.fit_calibration(raw.where(~F.col("truth_ood")), "mean")
     return K.apply_calibration(raw, cal).select(
         "vec_id", F.round("fused", 4).alias("fused"), (F.round("fused", 4) > round(cal.threshold, 4)).alias("is_ood")

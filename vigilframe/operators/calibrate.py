@@ -62,7 +62,11 @@ def normalized_columns(cal: Calibration) -> dict[str, Column]:
 def correlation(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Score correlation as (score_a, score_b, corr); NaN counts as 0, identity for two rows or fewer."""
     pairs = [(a, b) for a in names for b in names]
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c_{a}__{b}") for a, b in pairs]
+    # the built-in corr raises on a constant column in ANSI mode
+    aggs = [
+        F.try_divide(F.covar_pop(F.col(a), F.col(b)), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"c_{a}__{b}")
+        for a, b in pairs
+    ]
     row = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
     items = []
     for a, b in pairs:

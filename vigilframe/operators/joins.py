@@ -59,7 +59,8 @@ def interval_join(
     inside = (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))
     sched = schedule.withColumnRenamed(key, "__key")
     if bucket_width is None and is_small(schedule):
-        return records.join(sched, (F.col(key) == F.col("__key")) & inside, how).drop("__key")
+        # the optimizer's estimate proves this side small
+        return records.join(F.broadcast(sched), (F.col(key) == F.col("__key")) & inside, how).drop("__key")
     if bucket_width is None:
         bucket_width = float(schedule.agg(F.avg(F.col(end) - F.col(start))).first()[0] or 1.0) or 1.0
     slot = lambda c: F.floor(c / F.lit(float(bucket_width))).cast("long")

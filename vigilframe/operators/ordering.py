@@ -61,7 +61,8 @@ def _proxy(df: DataFrame, name: str, asc: bool) -> tuple[Column, bool]:
         value, exact = F.conv(digits, 16, 10).cast("double"), False
     else:
         value, exact = c.cast("double"), True
-    value = F.coalesce(value, F.lit(-1.7e308))
+    # NULL sorts below and NaN above everything, as in the sort order itself
+    value = F.coalesce(F.nanvl(value, F.lit(math.inf)), F.lit(-1.7e308))
     return (value if asc else -value), exact
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilframe.config import materialize
 from vigilframe.functions.fixed import SCORE_NAMES
 from vigilframe.operators import calibrate as K
 from vigilframe.operators import metrics as E
@@ -40,7 +41,7 @@ def evaluate_prototype_model(
     train = windows.where((F.col(part) == "train") & ~F.col(truth_ood))
     model = G.fit_prototypes(train, vector, F.array(label), classes, precision, scale)
     ids = [ident, group, label, truth_ood, part]
-    scored = G.raw_scores(windows, ids, vector, model, train.select(vector), vector).cache()
+    scored = materialize(G.raw_scores(windows, ids, vector, model, train.select(vector), vector), "scores")
     val = scored.where((F.col(part) == "val") & ~F.col(truth_ood))
     pseudo, _ = K.pseudo_ood(val.withColumn("y", multi_hot(F.col(label), classes)), "y", [str(c) for c in classes])
     directions = {r["score_name"]: r["direction"] for r in K.score_directions(pseudo, "pseudo_ood").collect()}

@@ -132,10 +132,11 @@ def truncate_malformed(spark: SparkSession, path: str, schema: T.StructType | st
     fields = F.size(F.split("value", ",", -1))
     head = lines.agg(F.min_by(fields, F.struct("blk", "seq")).alias("n"), F.min(F.struct("blk", "seq")).alias("first")).first()
     at = F.struct("blk", "seq")
+    point = lambda r: F.struct(F.lit(r["blk"]).cast("long").alias("blk"), F.lit(r["seq"]).cast("long").alias("seq"))
     bad = lines.where(fields != head["n"]).agg(F.min(at).alias("bad")).first()["bad"]
-    keep = lines.where(at > F.struct(F.lit(head["first"]["blk"]), F.lit(head["first"]["seq"])))
+    keep = lines.where(at > point(head["first"]))
     if bad is not None:
-        keep = keep.where(at < F.struct(F.lit(bad["blk"]), F.lit(bad["seq"])))
+        keep = keep.where(at < point(bad))
     ddl = schema if isinstance(schema, str) else schema.toDDL()
     return keep.select(F.from_csv("value", ddl).alias("r")).select("r.*")
 
@@ -150,14 +151,27 @@ def pair_union(spark: SparkSession, paths: Sequence[str], fmt: str = "csv") -> D
 
 
 def header_union_files(spark: SparkSession, root: str) -> DataFrame:
-    """Many CSVs with different headers over the union of columns, with folder and file."""
-    frames = []
-    for path in find_csv(spark, root):
-        df = spark.read.csv(path, header=True)
-        frames.append(
-            df.select("*", _folder(F.col("_metadata.file_path")).alias("source_folder"),
-                      F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"))
+    """Many CSVs with different headers over the union of columns, with folder and file.
+
+    Files are grouped by their header line, so there is one read per distinct header.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+        .select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("blk"),
+            F.monotonically_increasing_id().alias("seq"), "value",
+        )
+        .where(F.col("blk") == 0)
+    )
+    heads = lines.groupBy("path").agg(F.min_by("value", "seq").alias("header"))
+    groups = heads.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect()
+    frames = [
+        spark.read.csv(g["paths"], header=True).select(
+            "*", _folder(F.col("_metadata.file_path")).alias("source_folder"),
+            F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"),
         )
+        for g in groups
+    ]
     return header_union(frames)
 
 
