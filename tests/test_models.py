@@ -140,3 +140,21 @@ def test_phase_names(spark):
 def test_fit_subset_priority(spark):
     df = spark.range(200).select(F.when(F.col("id") < 100, "train").otherwise("test").alias("split"), F.when(F.col("id") < 50, "benign").otherwise("dos").alias("label"))
     assert C.choose_fit_subset(df, 4, "split", "label", None)[0] == "train_all"
+
+
+def test_model_tables_round_trip(spark):
+    from vigilframe.config import shared_dir
+    from vigilframe.operators.calibrate import fit_calibration
+    from vigilframe.sources import model_store as MS
+
+    rng = np.random.default_rng(9)
+    df = vectors(spark, rng.normal(size=(50, 3)), rng.integers(0, 2, 50))
+    model = G.fit_prototypes(df, "vec", F.array("label"), [0, 1])
+    root = shared_dir(spark, "store")
+    MS.save_prototypes(spark, model, f"{root}/p")
+    back = MS.load_prototypes(spark, f"{root}/p")
+    assert back.classes == [0, 1] and np.allclose(back.prototypes, model.prototypes) and np.allclose(back.precision, model.precision)
+    cal = fit_calibration(df.select(*[F.col("vec")[i].alias(n) for i, n in enumerate("abc")]), "mean", 0.9, names=["a", "b", "c"])
+    MS.save_calibration(spark, cal, f"{root}/c")
+    assert MS.load_calibration(spark, f"{root}/c") == cal
+    assert MS.load_calibration(spark, f"{root}/c", {"threshold": 7.0}).threshold == 7.0

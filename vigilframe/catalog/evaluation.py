@@ -143,7 +143,7 @@ def metrics_by_group(spark, sf):
 # --- attribution -------------------------------------------------------------------------
 _EV = count_window_sql(8, 4) + """,
 ws AS (SELECT grp, window_idx, grp * 100000 + window_idx AS wid, round(avg(value) / 50, 6) AS fused FROM win GROUP BY ALL),
-ev AS (SELECT record_id, wid, fused, value / sum(value) OVER (PARTITION BY wid) AS att, greatest(0, fused - 0.9) AS excess
+ev AS (SELECT record_id, wid, fused, coalesce(value / sum(value) OVER (PARTITION BY wid), 0) AS att, greatest(0, fused - 0.9) AS excess
        FROM win JOIN ws ON win.grp = ws.grp AND win.window_idx = ws.window_idx)"""
 
 
@@ -157,7 +157,7 @@ def evidence(spark, sf):
         .withColumns(
             {
                 "wid": F.col("grp") * 100000 + F.col("window_idx"),
-                "att": F.col("value") / F.col("total"),
+                "att": F.coalesce(F.try_divide("value", "total"), F.lit(0.0)),
                 "thr": F.lit(0.9),
             }
         )

@@ -65,12 +65,50 @@ for _name in B.BASELINES:
     query(f"m02_baseline_{_name}")(_baseline(_name))
 
 
-@query("m03_prototype_evaluation")
+_NORM = ", ".join(f"(d_{n} * {n} - m_{n}) / i_{n} AS {n}" for n in SCORE_NAMES)
+_DIRS = ", ".join(f"any_value(d) FILTER (score = '{n}') AS d_{n}" for n in SCORE_NAMES)
+_SCALES = ", ".join(
+    f"quantile_cont(d_{n} * {n}, 0.5) AS m_{n}, "
+    f"greatest(quantile_cont(d_{n} * {n}, 0.75) - quantile_cont(d_{n} * {n}, 0.25), 1e-6) AS i_{n}"
+    for n in SCORE_NAMES
+)
+_LONG = " UNION ALL ".join(f"SELECT '{n}' AS score, {n} AS s, label = c AS y FROM val, cl" for n in SCORE_NAMES)
+
+
+@query(
+    "m03_prototype_evaluation",
+    f"""WITH {VEC}, vp AS (SELECT *, CASE WHEN vec_id % 10 < 5 THEN 'train' WHEN vec_id % 10 < 7 THEN 'val' ELSE 'test' END AS part FROM vec),
+    elem AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vp WHERE part = 'train' AND NOT truth_ood),
+    proto AS (SELECT label AS class, list(m ORDER BY i) AS mu FROM (SELECT label, i, avg(x) AS m FROM elem GROUP BY label, i) GROUP BY label),
+    lg AS (SELECT vec_id, class, 4.0 * list_dot_product(v, mu) AS z, list_distance(v, mu) AS dist FROM vp, proto),
+    base AS (SELECT vec_id, 1 - max(1 / (1 + exp(-z))) AS conf, -(max(z) + ln(sum(exp(z - zm)))) AS energy, min(dist) AS proto
+      FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS zm FROM lg) GROUP BY vec_id),
+    sims AS (SELECT a.vec_id, list_cosine_similarity(a.v, b.v) AS s, row_number() OVER (PARTITION BY a.vec_id
+      ORDER BY list_cosine_similarity(a.v, b.v) DESC) AS rn FROM vp a, vp b WHERE b.part = 'train' AND NOT b.truth_ood),
+    raw AS (SELECT vp.vec_id, grp, label, truth_ood, part, conf, energy, proto, knn FROM vp JOIN base USING (vec_id)
+      JOIN (SELECT vec_id, -avg(s) AS knn FROM sims WHERE rn <= 5 GROUP BY vec_id) USING (vec_id)),
+    val AS (SELECT * FROM raw WHERE part = 'val' AND NOT truth_ood),
+    cl AS (SELECT unnest(range(8)) AS c), lo AS ({_LONG}),
+    rk AS (SELECT *, (2 * rank() OVER (PARTITION BY score ORDER BY s) + count(*) OVER (PARTITION BY score, s) - 1) / 2.0 AS r FROM lo),
+    au AS (SELECT score, CASE WHEN (sum(CASE WHEN y THEN r ELSE 0 END) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0)
+      / (count(*) FILTER (y) * count(*) FILTER (NOT y)) < 0.5 THEN -1.0 ELSE 1.0 END AS d FROM rk GROUP BY score),
+    di AS (SELECT {_DIRS} FROM au), sc AS (SELECT {_SCALES} FROM val, di),
+    nm AS (SELECT vec_id, grp, truth_ood, part, {_NORM} FROM raw, di, sc),
+    fu AS (SELECT *, (conf + energy + proto + knn) / 4 AS fused FROM nm),
+    th AS (SELECT quantile_cont(fused, 0.95) AS t FROM fu WHERE part = 'val' AND NOT truth_ood),
+    te AS (SELECT fu.*, fused > t AS hit, (2 * rank() OVER (PARTITION BY grp ORDER BY fused) + count(*) OVER (PARTITION BY grp, fused) - 1)
+      / 2.0 AS r FROM fu, th WHERE part = 'test')
+    SELECT grp, count(*) FILTER (hit AND truth_ood) AS tp, count(*) FILTER (hit AND NOT truth_ood) AS fp,
+      count(*) FILTER (NOT hit AND NOT truth_ood) AS tn, count(*) FILTER (NOT hit AND truth_ood) AS fn,
+      CASE WHEN count(*) FILTER (truth_ood) > 0 AND count(*) FILTER (NOT truth_ood) > 0 THEN
+      round((sum(CASE WHEN truth_ood THEN r ELSE 0 END) - count(*) FILTER (truth_ood) * (count(*) FILTER (truth_ood) + 1) / 2.0)
+      / (count(*) FILTER (truth_ood) * count(*) FILTER (NOT truth_ood)), 6) END AS auroc FROM te GROUP BY grp""",
+)
 def prototype_evaluation(spark, sf):
     part = F.when(F.col("vec_id") % 10 < 5, "train").when(F.col("vec_id") % 10 < 7, "val").otherwise("test")
     v = vectors(spark, sf).withColumn("part", part)
-    out = evaluate_prototype_model(v, "vec_id", "grp", "vec", "label", "truth_ood", "part", VECTOR_CLASSES, precision=True)
-    return out["groups"]
+    out = evaluate_prototype_model(v, "vec_id", "grp", "vec", "label", "truth_ood", "part", VECTOR_CLASSES)
+    return out["groups"].select("grp", "tp", "fp", "tn", "fn", r6("auroc").alias("auroc"))
 
 
 def _ood_points(spark, sf):
@@ -221,6 +259,21 @@ for _variant in ("binary", "directed", "mutual", "sym_weighted"):
 query("j15_graph_cosine_sym_weighted", _graph_sql("cosine", "sym_weighted", 3))(_graph("cosine", "sym_weighted"))
 
 
-@query("j15_graph_random")
+@query(
+    "j15_graph_random",
+    f"""WITH {count_window_sql(8, 8)},
+    f AS (SELECT grp, window_idx, window_pos AS i FROM win),
+    r AS (SELECT a.grp, a.window_idx, a.i AS src, b.i AS dst, row_number() OVER (PARTITION BY a.grp, a.window_idx, a.i ORDER BY
+      substr(md5(concat_ws('|', '5', a.grp, a.window_idx, a.i, b.i)), 1, 12), b.i) AS rn FROM f a JOIN f b ON a.grp = b.grp
+      AND a.window_idx = b.window_idx AND a.i <> b.i),
+    m AS (SELECT grp, window_idx, src, dst FROM r WHERE rn <= 3),
+    x AS (SELECT grp, window_idx, src, dst, count(*) / 2.0 AS w FROM (SELECT grp, window_idx, src, dst FROM m
+      UNION ALL SELECT grp, window_idx, dst, src FROM m) GROUP BY ALL UNION ALL SELECT grp, window_idx, i, i, 1.0 FROM f),
+    d AS (SELECT grp, window_idx, src, sum(w) AS d FROM x GROUP BY ALL)
+    SELECT x.grp, CAST(x.window_idx AS BIGINT) AS window_idx, CAST(x.src AS BIGINT) AS src, CAST(x.dst AS BIGINT) AS dst,
+      round(w / sqrt(a.d * b.d), 5) AS weight FROM x JOIN d a ON a.grp = x.grp AND a.window_idx = x.window_idx AND a.src = x.src
+      JOIN d b ON b.grp = x.grp AND b.window_idx = x.window_idx AND b.src = x.dst""",
+)
 def graph_random(spark, sf):
-    return GR.behaviour_graph(_packed(spark, sf), ["grp", "window_idx"], 3, "cosine", 1.0, "binary", random_seed=5)
+    g = GR.behaviour_graph(_packed(spark, sf), ["grp", "window_idx"], 3, "cosine", 1.0, "binary", random_seed=5)
+    return g.withColumn("weight", F.round("weight", 5))

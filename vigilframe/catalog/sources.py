@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigilframe.catalog.calibration import _FUSED
 from vigilframe.catalog.registry import query
-from vigilframe.catalog.views import DET, REC, detections, r6, records, table, vectors
+from vigilframe.catalog.views import DET, REC, detections, records, table, vectors
 from vigilframe.config import shared_dir
 from vigilframe.operators.merge import select_sources
 from vigilframe.sources import model_store as MS
@@ -175,7 +176,11 @@ def header_union(spark, sf):
     return u.select(F.col("source_folder").alias("folder"), F.col("key").cast("long").alias("key"), "acctbal", "size")
 
 
-@query("s11_model_tables")
+@query(
+    "s11_model_tables",
+    f"""WITH {_FUSED} SELECT raw.vec_id, round(proto, 5) AS proto, round(fused, 4) AS fused FROM raw
+      JOIN fz ON raw.vec_id = fz.vec_id WHERE mode = 'mean'""",
+)
 def model_tables(spark, sf):
     from vigilframe.catalog.calibration import score_table
     from vigilframe.catalog.views import VECTOR_CLASSES
@@ -184,15 +189,15 @@ def model_tables(spark, sf):
 
     root = shared_dir(spark, "model")
     v = vectors(spark, sf)
-    model = G.fit_prototypes(v.where(F.col("label") < 8), "vec", F.array("label"), VECTOR_CLASSES, precision=True)
+    model = G.fit_prototypes(v.where(F.col("label") < 8), "vec", F.array("label"), VECTOR_CLASSES, precision=False)
     MS.save_prototypes(spark, model, f"{root}/prototypes")
     raw = score_table(spark, sf)
     cal = K.fit_calibration(raw.where(~F.col("truth_ood")), "mean")
     MS.save_calibration(spark, cal, f"{root}/calibration")
     back = MS.load_prototypes(spark, f"{root}/prototypes")
     cal2 = MS.load_calibration(spark, f"{root}/calibration")
-    dist = G.distance_scores(v, ["vec_id"], "vec", back).select("vec_id", r6("proto").alias("proto"))
-    fused = K.apply_calibration(raw, cal2).select("vec_id", r6("fused").alias("fused"))
+    dist = G.distance_scores(v, ["vec_id"], "vec", back).select("vec_id", F.round("proto", 5).alias("proto"))
+    fused = K.apply_calibration(raw, cal2).select("vec_id", F.round("fused", 4).alias("fused"))
     return dist.join(fused, "vec_id")
 
 

@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def micros(df: DataFrame, name: str) -> Column:
-    """Epoch microseconds of a timestamp column with or without zone."""
+    """Epoch microseconds of a timestamp column; a column without zone counts as UTC."""
     c = F.col(name)
     if isinstance(df.schema[name].dataType, T.TimestampNTZType):
-        c = c.cast("timestamp")
+        seconds = (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * 1_000_000
+        fraction = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+        return F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + seconds + fraction
     return F.unix_micros(c)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Sides below this size may be handed to every executor.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 # Target size of one ordered bucket (see operators/ordering.py).
-BUCKET_TARGET_BYTES = 128 * 1024 * 1024
+BUCKET_TARGET_BYTES = 32 * 1024 * 1024
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -55,6 +56,12 @@ def window_adjacency(
     return scale[:, None] * adj * scale[None, :]
 
 
+def random_rank(n: int, prefix: str) -> np.ndarray:
+    """Seeded order of the possible neighbours of each record."""
+    digest = [[hashlib.md5(f"{prefix}|{i}|{j}".encode()).hexdigest()[:12] for j in range(n)] for i in range(n)]
+    return np.asarray([[float(int(h, 16)) for h in row] for row in digest]).reshape(n, n)
+
+
 def behaviour_graph(
     packed: DataFrame,
     keys: Sequence[str],
@@ -81,8 +88,7 @@ def behaviour_graph(
                 x = np.stack([np.asarray(v, dtype=np.float64) for v in r["features"]])
                 rank = None
                 if random_seed is not None:
-                    seed = abs(hash((random_seed, *[int(r[c]) for c in keys]))) % (2**32)
-                    rank = np.random.default_rng(seed).random((len(x), len(x)))
+                    rank = random_rank(len(x), "|".join(str(v) for v in (random_seed, *[r[c] for c in keys])))
                 adj = window_adjacency(x, k, kind, tau, variant, normalize, rank)
                 src, dst = np.nonzero(adj)
                 part = pd.DataFrame({"src": src, "dst": dst, "weight": adj[src, dst]})

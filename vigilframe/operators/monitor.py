@@ -130,7 +130,7 @@ def dimension_metrics(records: DataFrame, det: DataFrame, keys: Sequence[str], e
         F.sum("n").alias("record_count"),
         F.sum("attacks").alias("attack_record_count"),
         F.sum("energy").alias("total_energy_wh"),
-        (F.sum("soc") / F.sum("soc_n")).alias("mean_battery_soc"),
+        F.try_divide(F.sum("soc"), F.sum("soc_n")).alias("mean_battery_soc"),
     )
     d = metrics_by_keys(det.where(F.col(entity).isNotNull()), keys)
     joined = match_keys(rec, d, keys)

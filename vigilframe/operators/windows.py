@@ -200,9 +200,19 @@ def input_statistics(long: DataFrame, keys: Sequence[str], features: Sequence[st
     )
 
 
+def has_mixed_labels(label: str) -> Column:
+    """Aggregate: the group shows more than one label.
+
+    Compares two independent hashes (96 bits) of the label: numbers stay in the hash
+    aggregate, while minima of strings would sort every row first.
+    """
+    wide, narrow = F.xxhash64(label), F.crc32(F.col(label).cast("binary"))
+    return (F.min(wide) != F.max(wide)) | (F.min(narrow) != F.max(narrow))
+
+
 def window_mix(long: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Per window: number of distinct labels, kept as min/max to stay a constant-size aggregate."""
-    return long.groupBy(*keys).agg((F.min(label) != F.max(label)).alias("mixed"))
+    """Per window: whether it holds more than one label."""
+    return long.groupBy(*keys).agg(has_mixed_labels(label).alias("mixed"))
 
 
 def mix_statistics(mixed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

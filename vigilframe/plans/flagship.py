@@ -19,7 +19,7 @@ def window_report(
     level = sum((F.col(f) for f in features), F.lit(0.0)) / len(features)
     per_window = long.groupBy(group, "window_idx").agg(
         F.avg(level).alias("score"),
-        (F.min(label) != F.max(label)).alias("mixed"),
+        W.has_mixed_labels(label).alias("mixed"),
         F.max((F.col(label) == ood).cast("int")).alias("ood"),
         F.max((F.col(label) != benign).cast("int")).alias("attack"),
     )
