@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 # Target size of one ordered bucket (see operators/ordering.py).
 BUCKET_TARGET_BYTES = 32 * 1024 * 1024
+# Below this size a whole table may be ordered by one task.
+SINGLE_TASK_BYTES = 4 * 1024 * 1024
 
 
 @dataclass(frozen=True)

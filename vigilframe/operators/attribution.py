@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.operators.ordering import position, top_k
+from vigilframe.operators.ordering import position, settle, top_k
 
 
 def record_suspiciousness(
@@ -40,7 +40,7 @@ def record_suspiciousness(
 def rank_records(scored: DataFrame, record_id: str, name: str = "rank", buckets: int | None = None) -> DataFrame:
     """Global rank by (score, window score, attention) descending, ties by record id."""
     order = ["-score", "-predicted_ood_score", "-attention_weight", record_id]
-    ranked = position(scored, [], order, "__p", buckets=buckets)
+    ranked = position(settle(scored, False, buckets), [], order, "__p", buckets=buckets)
     return ranked.withColumn(name, F.col("__p") + 1).drop("__p")
 
 

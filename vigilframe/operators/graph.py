@@ -10,17 +10,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+STACK_WINDOWS = 512
 VARIANTS = ("binary", "directed", "mutual", "sym_weighted", "identity")
 
 
 def window_affinity(x: np.ndarray, kind: str, tau: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ranking similarity and edge affinity of one window's records."""
+    """Ranking similarity and edge affinity for a stack of windows (windows, records, features)."""
     if kind == "cosine":
-        unit = x / np.clip(np.linalg.norm(x, axis=1, keepdims=True), 1e-8, None)
-        sim = unit @ unit.T
+        unit = x / np.clip(np.linalg.norm(x, axis=2, keepdims=True), 1e-8, None)
+        sim = unit @ unit.transpose(0, 2, 1)
         return sim, np.exp(sim / tau)
     if kind in ("rbf", "euclidean"):
-        d2 = np.square(x[:, None, :] - x[None, :, :]).sum(axis=2)
+        d2 = np.square(x[:, :, None, :] - x[:, None, :, :]).sum(axis=3)
         return -d2, np.exp(-d2 / tau)
     raise ValueError(f"unknown affinity: {kind}")
 
@@ -28,32 +29,36 @@ def window_affinity(x: np.ndarray, kind: str, tau: float) -> tuple[np.ndarray, n
 def window_adjacency(
     x: np.ndarray, k: int, kind: str, tau: float, variant: str, normalize: bool, rank: np.ndarray | None = None
 ) -> np.ndarray:
-    """Dense adjacency of one window; its size is bounded by the window length."""
-    n = len(x)
+    """Dense adjacency of equally long windows; the length bounds its size."""
+    m, n, _ = x.shape
+    loops = np.broadcast_to(np.eye(n), (m, n, n))
     if variant == "identity":
-        return np.eye(n)
+        return loops
+    if variant not in VARIANTS:
+        raise ValueError(f"unknown graph variant: {variant}")
     sim, w = window_affinity(x, kind, tau)
     # similarities equal to nine places count as ties, which go to the lower position
     order = np.round(sim, 9) if rank is None else -rank
-    np.fill_diagonal(order, -np.inf)
-    mask = np.zeros((n, n))
+    order[:, np.arange(n), np.arange(n)] = -np.inf
+    mask = np.zeros((m, n, n))
     if n > 1:
-        k = max(1, min(k, n - 1))
-        near = np.argsort(-order, axis=1, kind="stable")[:, :k]
-        mask[np.arange(n)[:, None], near] = 1.0
-    both = {
-        "binary": lambda: (mask + mask.T) / 2,
-        "directed": lambda: mask * w,
-        "mutual": lambda: mask * w * ((mask > 0) & (mask.T > 0)),
-        "sym_weighted": lambda: (mask * w + (mask * w).T) / 2,
-    }
-    if variant not in both:
-        raise ValueError(f"unknown graph variant: {variant}")
-    adj = both[variant]() + np.eye(n)
+        near = np.argsort(-order, axis=2, kind="stable")[:, :, : max(1, min(k, n - 1))]
+        np.put_along_axis(mask, near, 1.0, axis=2)
+    back = mask.transpose(0, 2, 1)
+    weighted = mask * w
+    if variant == "binary":
+        adj = (mask + back) / 2
+    elif variant == "directed":
+        adj = weighted
+    elif variant == "mutual":
+        adj = weighted * (back > 0)
+    else:
+        adj = (weighted + weighted.transpose(0, 2, 1)) / 2
+    adj = adj + loops
     if not normalize:
         return adj
-    scale = 1 / np.sqrt(np.clip(adj.sum(axis=1), 1e-8, None))
-    return scale[:, None] * adj * scale[None, :]
+    scale = 1 / np.sqrt(np.clip(adj.sum(axis=2), 1e-8, None))
+    return scale[:, :, None] * adj * scale[:, None, :]
 
 
 def random_rank(n: int, prefix: str) -> np.ndarray:
@@ -80,22 +85,24 @@ def behaviour_graph(
     """
     fields = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in keys)
 
+    def edges(rows: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
+        rank = None
+        if random_seed is not None:
+            names = ["|".join(str(v) for v in (random_seed, *r)) for r in rows[list(keys)].itertuples(index=False, name=None)]
+            rank = np.stack([random_rank(x.shape[1], name) for name in names])
+        adj = window_adjacency(x, k, kind, tau, variant, normalize, rank)
+        which, src, dst = np.nonzero(adj)
+        out = {c: rows[c].to_numpy()[which] for c in keys}
+        return pd.DataFrame({**out, "src": src, "dst": dst, "weight": adj[which, src, dst]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = []
-            for row in b.itertuples(index=False):
-                r = row._asdict()
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in r["features"]])
-                rank = None
-                if random_seed is not None:
-                    rank = random_rank(len(x), "|".join(str(v) for v in (random_seed, *[r[c] for c in keys])))
-                adj = window_adjacency(x, k, kind, tau, variant, normalize, rank)
-                src, dst = np.nonzero(adj)
-                part = pd.DataFrame({"src": src, "dst": dst, "weight": adj[src, dst]})
-                for c in reversed(list(keys)):
-                    part.insert(0, c, r[c])
-                parts.append(part)
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            lengths = b["features"].map(len)
+            for n in np.unique(lengths):
+                same = b[lengths == n]
+                for lo in range(0, len(same), STACK_WINDOWS):
+                    part = same.iloc[lo:lo + STACK_WINDOWS]
+                    flat = np.concatenate([np.stack(f) for f in part["features"]]).astype(np.float64)
+                    yield edges(part, flat.reshape(len(part), n, -1))
 
     return packed.select(*keys, F.col("features")).mapInPandas(run, fields + ", src long, dst long, weight double")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.operators.ordering import match_keys, quantiles, running_sums
+from vigilframe.operators.ordering import match_keys, quantiles, running_sums, settle
 
 
 def decision_counts(pred: Column, truth: Column) -> list[Column]:
@@ -45,6 +45,7 @@ def ranked_counts(
         .groupBy(*keys, F.col(score).cast("double").alias("__s"))
         .agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.sum(1 - F.col(truth).cast("long")).alias("neg"))
     )
+    collapsed = settle(collapsed, bool(keys), buckets)
     return running_sums(collapsed, keys, ["-__s"], {"tp": "pos", "fp": "neg"}, buckets=buckets)
 
 

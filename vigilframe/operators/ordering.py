@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilframe.config import BUCKET_TARGET_BYTES, input_bytes
+from vigilframe.config import BUCKET_TARGET_BYTES, SINGLE_TASK_BYTES, input_bytes, materialize
 
 BUCKET = "__bucket"
-MIN_GLOBAL_BUCKETS = 8
+MIN_BUCKETS = 8
 MAX_BUCKETS = 4096
 
 
@@ -31,13 +31,19 @@ def order_hash(seed: object, *cols: str | Column) -> Column:
 
 
 def auto_buckets(df: DataFrame, keyed: bool) -> int:
+    """1 for inputs small enough for a plain window, else a bucket count by table size."""
     size = input_bytes(df)
     if size is None:
         return 256
-    n = math.ceil(size / BUCKET_TARGET_BYTES)
-    if n <= 1:
-        return 1 if keyed else MIN_GLOBAL_BUCKETS
-    return min(max(n * 2, MIN_GLOBAL_BUCKETS), MAX_BUCKETS)
+    if size <= (BUCKET_TARGET_BYTES if keyed else min(SINGLE_TASK_BYTES, BUCKET_TARGET_BYTES)):
+        return 1
+    return min(max(2 * math.ceil(size / BUCKET_TARGET_BYTES), MIN_BUCKETS), MAX_BUCKETS)
+
+
+def settle(df: DataFrame, keyed: bool, buckets: int | None = None) -> DataFrame:
+    """Write a derived table down before a bucketed helper reads it several times."""
+    n = buckets if buckets is not None else auto_buckets(df, keyed)
+    return materialize(df, "settled") if n > 1 else df
 
 
 def _parse(order: Sequence[str]) -> list[tuple[str, bool]]:
@@ -118,9 +124,9 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 def _plan(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int | None):
     n = buckets if buckets is not None else auto_buckets(df, bool(keys))
-    if n <= 1 and keys:
-        return df, list(keys), False
-    return with_bucket(df, order, max(n, 2)), [*keys, BUCKET], True
+    if n <= 1:
+        return df, list(keys) or [F.lit(0)], False
+    return with_bucket(df, order, n), [*keys, BUCKET], True
 
 
 def _over_buckets(keys: Sequence[str]):
@@ -141,7 +147,7 @@ def position(
     rank = F.row_number().over(Window.partitionBy(*local).orderBy(*order_columns(order))) - 1
     ranked = work.withColumn(name, rank.cast("long"))
     if not split:
-        return ranked.withColumn(size_name, F.count(F.lit(1)).over(Window.partitionBy(*keys))) if size_name else ranked
+        return ranked.withColumn(size_name, F.count(F.lit(1)).over(Window.partitionBy(*local))) if size_name else ranked
     totals = work.groupBy(*local).agg(F.count(F.lit(1)).alias("__n"))
     before = _over_buckets(keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -243,6 +249,7 @@ def quantiles(
         .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
+    counts = settle(counts, True, n)
     cum = running_sums(counts, keys, ["__v"], {"__upto": "__c"}, buckets=n)
     totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     joined = _null_safe(cum, totals, keys) if keys else cum.join(F.broadcast(totals))

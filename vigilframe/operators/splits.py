@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilframe.operators.ordering import match_keys, order_hash, position, running_sums
+from vigilframe.operators.ordering import match_keys, order_hash, position, running_sums, settle
 
 
 def interleave(
@@ -19,6 +19,7 @@ def interleave(
     )
     rounds = queued.withColumn("__round", F.floor(F.col("__r") / chunk).cast("long"))
     rounds = rounds.withColumn("__lab", order_hash(seed, F.col("__round"), F.col(label)))
+    rounds = settle(rounds, bool(keys))
     return position(rounds, keys, ["__round", "__lab", "__r"], name).drop("__h", "__r", "__round", "__lab")
 
 
@@ -192,6 +193,7 @@ def assign_groups(
             extra + F.floor((F.col("__i") - border) / F.greatest(small, F.lit(1)))
         )
     elif mode == "stratified":
+        placed = settle(placed, True, buckets)
         sizes = placed.groupBy(split, label).agg(F.count(F.lit(1)).alias("__c"), F.min("__i").alias("__seen"))
         starts = running_sums(sizes, [split], ["__seen"], {"__upto": "__c"}, buckets=1).select(
             split, label, (F.col("__upto") - F.col("__c")).alias("__off")
