@@ -13,7 +13,18 @@ from vigilframe.operators.ordering import match_keys, wide_quantiles
 from vigilframe.streaming import processors as P
 
 
-def _keyed(stream: DataFrame, key: Column) -> DataFrame:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(df: DataFrame) -> None:
+    """Arbitrary keyed state needs the RocksDB store; other providers are replaced for this session."""
+    conf = df.sparkSession.conf
+    if "RocksDB" not in conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def _keyed(stream: DataFrame, key: Column):
+    use_rocksdb(stream)
     return stream.withColumn("key", key).select("key", *P.FIELDS).groupBy("key")
 
 
@@ -44,6 +55,7 @@ def epoch_windows(stream: DataFrame, ts: str, key: str, length: str, hop: str, d
 
 def warmup_thresholds(windows: DataFrame, mode: str = "normalized", q: float = 0.95, static: float = 1.5) -> DataFrame:
     """``windows``: key, window_idx, raw_score, calibrated, benign."""
+    use_rocksdb(windows)
     return windows.groupBy("key").transformWithStateInPandas(
         P.WarmupThresholds(mode, q, static), P.WARMUP_SCHEMA, "Append", "None"
     )
