@@ -11,7 +11,7 @@ from vigilframe.config import shared_dir
 from vigilframe.operators import windows as W
 from vigilframe.streaming import jobs as J
 from vigilframe.streaming.micro_batch import CountWindowBatches
-from vigilframe.streaming.records import file_stream, run_to_table, stream_key
+from vigilframe.streaming.records import file_stream, run_to_table, state_partitions, stream_key
 
 ORDER = ["ts_us", "record_id"]
 # borders of the micro-batches, inside January 2024
@@ -39,7 +39,8 @@ def record_stream(spark, sf, name):
 
 
 def _run(root, stream):
-    return run_to_table(stream, f"{root}/out", f"{root}/ckpt")
+    cores = stream.sparkSession.sparkContext.defaultParallelism
+    return run_to_table(stream, f"{root}/out", f"{root}/ckpt", partitions=cores)
 
 
 def _windows(df):
@@ -281,11 +282,12 @@ def continuous_drift(spark, sf):
     def keep_latest(batch, epoch):
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{root}/out/batch={epoch}")
 
-    q = (
+    writer = (
         drift.writeStream.outputMode("update").foreachBatch(keep_latest).option("checkpointLocation", f"{root}/ckpt")
-        .trigger(availableNow=True).start()
+        .trigger(availableNow=True)
     )
-    q.awaitTermination()
+    with state_partitions(spark, spark.sparkContext.defaultParallelism):
+        writer.start().awaitTermination()
     rows = spark.read.parquet(f"{root}/out")
     last = rows.groupBy("grp").agg(F.max_by(F.struct("rows", "mean", "std", "zero_ratio"), "epoch").alias("r")).select("grp", "r.*")
     return last.select("grp", "rows", F.round("mean", 8).alias("mean"), F.round("std", 5).alias("std"), r6("zero_ratio").alias("zero_ratio"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,12 +46,32 @@ def stream_key(group: str):
     return F.coalesce(group_id(F.col(group)), F.lit(GLOBAL_STREAM_KEY))
 
 
-def run_to_table(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process everything available into a Parquet table and return it."""
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None) -> Iterator[None]:
+    """Number of state partitions for streams started inside; the session setting is put back."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if n:
+        spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def run_to_table(
+    stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", partitions: int | None = None
+) -> DataFrame:
+    """Process everything available into a Parquet table and return it.
+
+    A stream keeps the state partition count it starts with, so it is an argument here.
+    """
     spark = stream.sparkSession
-    query = (
+    writer = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", sink)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True)
     )
-    query.awaitTermination()
+    with state_partitions(spark, partitions):
+        query = writer.start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(sink)
