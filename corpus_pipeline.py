@@ -1,9 +1,89 @@
-"""Corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token output."""
+"""Corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token output.
 
-STAGES = []
+Each stage takes the documents that the one before it kept and returns documents; the last one returns what its token
+files hold. Null ids are kept by all stages; stages that decide by document decide alike for repeated rows.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigilframe.config import shared_dir
+from vigilframe.llm.common import small_side
+from vigilframe.llm.curriculum import mix
+from vigilframe.llm.decontaminate import contamination
+from vigilframe.llm.neardup import near_duplicates
+from vigilframe.llm.quality import quality
+from vigilframe.llm.tokens import token_output
+from vigilframe.session import ship
+
+# Equality of token files cannot be stated in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows whose (doc_id, text_hash) is not among the rejected ones."""
+    rejected = small_side(rejected.select("doc_id", "text_hash").distinct())
+    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("d.text") == F.col("r.text_hash"))
+    return docs.alias("d").join(rejected.alias("r"), same, "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the outlier test rejects."""
+    ship(spark)
+    return _without(docs, quality(docs).where("not kept"))
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that of the smallest id."""
+    ship(spark)
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    ship(spark)
+    return _without(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix reads at least half of their words; texts stay whole."""
+    ship(spark)
+    times = F.round(F.try_divide("taken", "size")).cast("int")
+    reads = mix(docs).where("taken > 0").groupBy("doc_id", "source", "text_hash").agg(F.max(times).alias("n")).where("n > 0")
+    same = (
+        F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))
+        & F.col("d.source").eqNullSafe(F.col("m.source"))
+        & (F.xxhash64("d.text") == F.col("m.text_hash"))
+    )
+    kept = docs.alias("d").join(small_side(reads).alias("m"), same)
+    return kept.select("d.*", F.explode(F.sequence(F.lit(1), F.col("m.n"))).alias("__copy")).drop("__copy")
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the token files of the mix hold."""
+    ship(spark)
+    return token_output(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicate_groups),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token output", token_files),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents table; each stage's documents are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = shared_dir(spark, name.replace(" ", "-")) + uuid.uuid4().hex[:4]
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -66,7 +66,7 @@ def mix(
     A source is summed in many hash buckets whose totals are carried on, so a source with most rows is never one group.
     All sums are of whole numbers: reruns and other partitionings give the same rows.
 
-    Returns doc_id, source, size, source_size, target, taken, copies (whole and part reads of it), position (of the
+    Returns doc_id, text_hash, source, size, source_size, target, taken, copies (whole and part reads of it), position (of the
     first; null if none), rows by position, unread ones last. Null texts have size 0 and are never read; a null source
     is one source; repeated rows count each by itself; an empty table gives no rows. Other columns are not read.
     """
@@ -75,6 +75,7 @@ def mix(
         F.col(source).alias("source"),
         F.size(split_words(F.col(text))).cast("long").alias("size"),
         F.xxhash64(F.col(doc_id)).alias("h"),
+        F.xxhash64(F.col(text)).alias("text_hash"),
     )
     rows = materialize(rows, "sizes")
     targets = materialize(source_targets(rows, weights, ramps, cap), "targets")
@@ -90,7 +91,7 @@ def mix(
     placed = bucketed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.alias("p").join(
         small_side(totals).alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.bucket") == F.col("b.bucket"))
-    ).select("p.doc_id", "p.source", "p.size", (F.col("inside") + F.col("bucket_start")).alias("start"))
+    ).select("p.doc_id", "p.text_hash", "p.source", "p.size", (F.col("inside") + F.col("bucket_start")).alias("start"))
     placed = placed.alias("p").join(
         small_side(targets).alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))
     ).select("p.*", "source_size", "target", "ramp")
@@ -102,6 +103,6 @@ def mix(
     late = (-(1 - a) + F.sqrt((1 - a) * (1 - a) + 4 * a * demand)) / (2 * a)
     position = F.when(taken > 0, F.when(a == 0, demand).otherwise(late))
     out = placed.select(
-        "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.alias("copies"), position.alias("position")
+        "doc_id", "text_hash", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.alias("copies"), position.alias("position")
     )
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")

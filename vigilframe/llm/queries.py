@@ -51,7 +51,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilframe.llm.curriculum import mix
 
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query("op9_near_duplicates")
@@ -59,3 +59,34 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilframe.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_outliers")
+def op3_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilframe.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilframe.llm.tokens import token_output
+
+    return token_output(table(spark, sf_dir, "documents"))
+
+
+@query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilframe.llm.langid import identify
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    docs = table(spark, sf_dir, "documents")
+    said = identify(docs, docs.where(~held_out))
+    return said.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op4_personal_data")
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilframe.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents")).drop("text_hash")
