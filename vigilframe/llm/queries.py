@@ -90,3 +90,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilframe.llm.pii import personal_data
 
     return personal_data(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op6_main_text")
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilframe.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
