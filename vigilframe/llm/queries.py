@@ -97,3 +97,21 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilframe.llm.html_text import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op10_merkle_fixity")
+def op10_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of the pages in which every page with id 7 modulo 50 has a byte changed."""
+    from vigilframe.llm.warc import fixity
+
+    pages = table(spark, sf_dir, "pages")
+    hurt = F.concat(F.lit("~"), F.substring("html", 2, 1 << 30))
+    replica = pages.withColumn("html", F.when((F.col("page_id") % 50 == 7) & (F.octet_length("html") > 0), hurt).otherwise(F.col("html")))
+    return fixity(pages, replica)
+
+
+@query("op7_licenses")
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilframe.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("text_hash")
