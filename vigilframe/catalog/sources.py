@@ -16,21 +16,28 @@ from vigilframe.sources import readers as S
 @query(
     "s01_load_records",
     """SELECT f AS format, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders,
-      (SELECT unnest(['csv', 'jsonl', 'json', 'parquet']) AS f) GROUP BY f""",
+      (SELECT unnest(['csv', 'jsonl', 'json', 'parquet', 'containers.json']) AS f) GROUP BY f""",
 )
 def load_records(spark, sf):
+    """Every format back through the loader; the last one spreads the table over documents of all kinds."""
     root = shared_dir(spark, "load")
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    for kind in ("csv", "jsonl", "parquet"):
+    for kind in ("csv", "jsonl", "json", "parquet"):
         S.save_records(o, f"{root}/o.{kind}")
-    packed = o.groupBy(F.floor(F.col("o_orderkey") / 500).alias("b")).agg(
-        F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("records")
+    turn = F.floor(F.col("o_orderkey") / 500) % 4
+    packed = o.groupBy(F.floor(F.col("o_orderkey") / 500).alias("b"), turn.alias("turn")).agg(
+        F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("rows")
     )
-    S.save_records(packed.select("records"), f"{root}/o.json")
+    held = [F.when(F.col("turn") == i, F.col("rows")).alias(c) for i, c in enumerate(S.CONTAINERS)]
+    packed = packed.select(*held, F.when(F.col("turn") == 3, F.col("rows")).alias("array"))
+    lines = packed.select(F.coalesce(F.to_json("array"), F.to_json(F.struct(*S.CONTAINERS))).alias("value"))
+    lines.write.text(f"{root}/containers.json")
     out = None
-    for kind in ("csv", "jsonl", "json", "parquet"):
-        d = S.load_records(spark, f"{root}/o.{kind}") if kind != "json" else S._json_documents(spark.read.json(f"{root}/o.json"))
-        one = d.agg(F.lit(kind).alias("format"), F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    for name in ("o.csv", "o.jsonl", "o.json", "o.parquet", "containers.json"):
+        d = S.load_records(spark, f"{root}/{name}")
+        one = d.agg(
+            F.lit(name.removeprefix("o.")).alias("format"), F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")
+        )
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.operators.ordering import match_keys, quantiles, running_sums, settle
+from vigilframe.operators.ordering import match_small, quantiles, running_sums, settle
 
 
 def decision_counts(pred: Column, truth: Column) -> list[Column]:
@@ -51,7 +51,7 @@ def ranked_counts(
 
 def _with_totals(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     totals = ranked.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return match_keys(ranked, totals, keys) if keys else ranked.join(F.broadcast(totals))
+    return match_small(ranked, totals, keys) if keys else ranked.join(F.broadcast(totals))
 
 
 def _both(value: Column) -> Column:
@@ -145,7 +145,7 @@ def multilabel_summary(long: DataFrame, window: Sequence[str], keys: Sequence[st
         .groupBy(*keys)
         .agg(F.avg("same").alias("subset_accuracy"))
     )
-    return match_keys(f, exact, keys) if keys else f.join(F.broadcast(exact))
+    return match_small(f, exact, keys) if keys else f.join(F.broadcast(exact))
 
 
 def mean_average_precision(long: DataFrame, score: str = "p", buckets: int | None = None) -> DataFrame:

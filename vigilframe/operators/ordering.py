@@ -2,9 +2,10 @@
 
 Ranks, running sums, neighbour values and quantiles depend on the order of all rows
 of a group, and one group may hold a third of the table. Every helper here therefore
-splits the order key into buckets by cut points, works inside (group, bucket), and
-carries the small per-bucket totals across buckets. Inputs whose tables are
-small take the plain per-group window instead.
+deals rows into ranges of the real order columns, works inside (group, range), and
+carries the small per-range totals on. The ranges are Spark's own, so every type and
+NULL, NaN and infinity lie as the sort puts them. Inputs whose tables are small take
+the plain per-group window instead, with the same result.
 """
 
 from __future__ import annotations
@@ -12,16 +13,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vigilframe.config import BUCKET_TARGET_BYTES, SINGLE_TASK_BYTES, input_bytes, materialize
 
 BUCKET = "__bucket"
 MIN_BUCKETS = 8
-MAX_BUCKETS = 4096
+# Beyond this many, buckets grow instead (1 GB each at 100 TB): the ranges are found from a sample per bucket.
+MANY_BUCKETS = 100_000
+# Per-key tables of counted size up to this go to every executor.
+SMALL_ROWS = 1_000_000
+SALTS = 64
 
 
 def order_hash(seed: object, *cols: str | Column) -> Column:
@@ -37,7 +40,7 @@ def auto_buckets(df: DataFrame, keyed: bool) -> int:
         return 256
     if size <= (BUCKET_TARGET_BYTES if keyed else min(SINGLE_TASK_BYTES, BUCKET_TARGET_BYTES)):
         return 1
-    return min(max(2 * math.ceil(size / BUCKET_TARGET_BYTES), MIN_BUCKETS), MAX_BUCKETS)
+    return min(max(2 * math.ceil(size / BUCKET_TARGET_BYTES), MIN_BUCKETS), MANY_BUCKETS)
 
 
 def settle(df: DataFrame, keyed: bool, buckets: int | None = None) -> DataFrame:
@@ -55,59 +58,14 @@ def order_columns(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in _parse(order)]
 
 
-def _proxy(df: DataFrame, name: str, asc: bool) -> tuple[Column, bool]:
-    """A double that is monotone in the column, and whether it is one-to-one."""
-    dtype = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(dtype, T.TimestampType):
-        value, exact = F.unix_micros(c).cast("double"), True
-    elif isinstance(dtype, T.StringType):
-        # the first six UTF-8 bytes as a 48-bit integer
-        digits = F.substring(F.rpad(F.hex(F.encode(F.substring(c, 1, 6), "UTF-8")), 12, "0"), 1, 12)
-        value, exact = F.conv(digits, 16, 10).cast("double"), False
-    else:
-        value, exact = c.cast("double"), True
-    # NULL sorts below and NaN above everything, as in the sort order itself
-    value = F.coalesce(F.nanvl(value, F.lit(math.inf)), F.lit(-1.7e308))
-    return (value if asc else -value), exact
-
-
-def _cuts(df: DataFrame, proxy: Column, n: int) -> list[float]:
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(proxy, probs, max(10 * n, 1000)).alias("c")).first()
-    return sorted(row["c"] or [])
-
-
 def with_bucket(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """Add an order-preserving bucket number.
+    """Add a bucket number that is monotone in the order, and settle the table.
 
-    A cut value that repeats is a heavy value: it gets a bucket to itself, which the
-    next order column splits further.
+    Buckets are ranges of the whole order tuple, so a heavy first column is split by the next ones. Rows that tie in
+    all order columns share a bucket.
     """
-    parsed = _parse(order)
-    proxy, exact = _proxy(df, *parsed[0])
-    cuts = _cuts(df, proxy, n)
-    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b}) if exact else []
-    points = sorted(set(cuts) | {math.nextafter(v, math.inf) for v in heavy})
-    out = _bucketize(df, proxy, points, BUCKET)
-    if heavy and len(parsed) > 1:
-        second, _ = _proxy(df, *parsed[1])
-        sub = sorted(set(_cuts(df.where(proxy.isin(heavy)), second, n)))
-        out = _bucketize(out, second, sub, "__sub")
-        out = out.withColumn(
-            BUCKET, F.col(BUCKET) * (n + 1) + F.when(proxy.isin(heavy), F.col("__sub")).otherwise(0)
-        ).drop("__sub")
-    return out
-
-
-def _bucketize(df: DataFrame, value: Column, points: list[float], name: str) -> DataFrame:
-    if not points:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    split = Bucketizer(
-        splits=[-math.inf, *points, math.inf], inputCol="__proxy", outputCol=name, handleInvalid="keep"
-    )
-    out = split.transform(df.withColumn("__proxy", value)).drop("__proxy")
-    return out.withColumn(name, F.col(name).cast("long"))
+    dealt = df.repartitionByRange(n, *order_columns(order))
+    return materialize(dealt.withColumn(BUCKET, F.spark_partition_id().cast("long")), "ranges")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -261,6 +219,8 @@ def quantiles(
             aggs.append(F.max(F.when((start <= rank) & (rank < F.col("__upto")), F.col("__v"))).alias(f"{name}__{side}"))
         aggs.append(F.max(at - F.floor(at)).alias(f"{name}__frac"))
     picked = joined.groupBy(*keys).agg(*aggs)
+    if keys:  # a key without a value keeps its row
+        picked = _null_safe(df.select(*keys).distinct(), picked, keys)
     return picked.select(
         *keys,
         *[
@@ -305,3 +265,19 @@ def top_k(
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Public name of the null-safe equi-join."""
     return _null_safe(left, right, keys, how)
+
+
+def match_small(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join rows to a per-key table so that no key's rows meet in one task.
+
+    Where the rows are few, Spark chooses. Else the per-key table is written and counted: it goes to every executor if
+    it is small, and otherwise it is repeated under salts that the rows are dealt over.
+    """
+    if auto_buckets(left, True) <= 1:
+        return _null_safe(left, right, keys, how)
+    right = materialize(right, "per-key")
+    if right.count() <= SMALL_ROWS:
+        return _null_safe(left, F.broadcast(right), keys, how)
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
+    spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return _null_safe(salted, spread, [*keys, "__salt"], how).drop("__salt")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.functions.text import finite
-from vigilframe.operators.ordering import match_keys, wide_quantiles
+from vigilframe.operators.ordering import match_small, wide_quantiles
 
 SMALL_GROUP = "fallback_to_global_due_to_small_group_size"
 
@@ -73,7 +73,7 @@ def apply_group_scaler(df: DataFrame, scaler: DataFrame, group: str, features: S
     own = scaler.where((F.col("level") == 0) & F.col("fallback_reason").isNull()).select(
         group, F.lit(True).alias("__own"), *names
     )
-    joined = match_keys(df, own, [group])
+    joined = match_small(df, own, [group])
     cols = {}
     for c in features:
         mean = F.coalesce(F.col(f"{c}__mean"), F.lit(float(top[f"{c}__mean"] or 0.0)))

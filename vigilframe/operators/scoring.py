@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.config import is_small
+from vigilframe.operators.ordering import match_keys
 
 BLOCK_ROWS = 2048
+# A bank of more rows is never collected, whatever its estimated size.
+BANK_ROWS = 200_000
 
 
 @dataclass
@@ -158,41 +161,64 @@ def score_windows(df: DataFrame, ids: Sequence[str], vector: str, scorer: Scorer
     return keep.mapInPandas(run, schema)
 
 
+def _distances(x: np.ndarray, model: PrototypeModel, t: float) -> dict[str, np.ndarray]:
+    logits = model.scale * (x @ model.prototypes.T)
+    z = logits / max(t, 1e-6)
+    top = z.max(axis=1, keepdims=True)
+    energy = -t * (top[:, 0] + np.log(np.exp(z - top).sum(axis=1)))
+    best = np.full(len(x), np.inf)
+    for mu in model.prototypes:
+        diff = x - mu
+        dist = np.square(diff).sum(axis=1) if model.precision is None else np.einsum("nd,nd->n", diff @ model.precision, diff)
+        best = np.minimum(best, dist)
+    return {"conf": 1 - (1 / (1 + np.exp(-z))).max(axis=1), "energy": energy, "proto": np.sqrt(np.clip(best, 0, None))}
+
+
+def _nearest(x: np.ndarray, bank: np.ndarray, k: int) -> np.ndarray:
+    kk = min(max(1, k), len(bank))
+    return -np.partition(_unit(x) @ bank.T, -kk, axis=1)[:, -kk:].mean(axis=1)
+
+
+def _batched(keep: DataFrame, ids: Sequence[str], names: Sequence[str], score) -> DataFrame:
+    """Columns ``names`` of a function of the vectors, beside the ids."""
+    fields = ", ".join(f"`{c}` {keep.schema[c].dataType.simpleString()}" for c in ids)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), BLOCK_ROWS):
+                part = batch.iloc[lo:lo + BLOCK_ROWS]
+                frame = part[list(ids)].copy()
+                for name, values in score(np.stack(part["__x"].to_numpy()).astype(np.float64)).items():
+                    frame[name] = values
+                yield frame
+
+    return keep.mapInPandas(run, fields + "".join(f", {n} double" for n in names))
+
+
+def _vectors(df: DataFrame, ids: Sequence[str], vector: str) -> DataFrame:
+    return df.select(*ids, F.col(vector).cast("array<double>").alias("__x"))
+
+
 def distance_scores(
     df: DataFrame, ids: Sequence[str], vector: str, model: PrototypeModel, temperature: float = 1.0
 ) -> DataFrame:
     """conf, energy and proto per window from the prototype model."""
-    keep = df.select(*ids, F.col(vector).cast("array<double>").alias("__x"))
-    fields = ", ".join(f"`{c}` {keep.schema[c].dataType.simpleString()}" for c in ids)
-    protos, scale, prec = model.prototypes, model.scale, model.precision
     t = float(temperature)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b) == 0:
-                continue
-            x = np.stack(b["__x"].to_numpy()).astype(np.float64)
-            logits = scale * (x @ protos.T)
-            z = logits / max(t, 1e-6)
-            top = z.max(axis=1, keepdims=True)
-            energy = -t * (top[:, 0] + np.log(np.exp(z - top).sum(axis=1)))
-            conf = 1 - (1 / (1 + np.exp(-z))).max(axis=1)
-            best = np.full(len(x), np.inf)
-            for mu in protos:
-                diff = x - mu
-                dist = np.square(diff).sum(axis=1) if prec is None else np.einsum("nd,nd->n", diff @ prec, diff)
-                best = np.minimum(best, dist)
-            frame = b[list(ids)].copy()
-            frame["conf"], frame["energy"], frame["proto"] = conf, energy, np.sqrt(np.clip(best, 0, None))
-            yield frame
-
-    return keep.mapInPandas(run, fields + ", conf double, energy double, proto double")
+    return _batched(_vectors(df, ids, vector), ids, ("conf", "energy", "proto"), lambda x: _distances(x, model, t))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.clip(np.linalg.norm(x, axis=1, keepdims=True), 1e-8, None)
 
 
+def _small_bank(df: DataFrame, bank: DataFrame, bank_vector: str):
+    """The bank as a broadcast matrix if its size and its counted rows are small, else None."""
+    if not is_small(bank) or bank.count() > BANK_ROWS:
+        return None
+    rows = bank.select(F.col(bank_vector).cast("array<double>").alias("b")).collect()
+    return df.sparkSession.sparkContext.broadcast(_unit(np.asarray([r["b"] for r in rows], dtype=np.float64)))
+
+
 def knn_scores(
     df: DataFrame, ids: Sequence[str], vector: str, bank: DataFrame, bank_vector: str, k: int = 5
 ) -> DataFrame:
@@ -202,24 +228,11 @@ def knn_scores(
     blocks of bounded size; each window chunk meets each block once and keeps only its k
     best of that block, so k rows per block are merged instead of all pairs.
     """
-    keep = df.select(*ids, F.col(vector).cast("array<double>").alias("__x"))
+    keep = _vectors(df, ids, vector)
+    shared = _small_bank(df, bank, bank_vector)
+    if shared is not None:
+        return _batched(keep, ids, ("knn",), lambda x: {"knn": _nearest(x, shared.value, k)})
     fields = ", ".join(f"`{c}` {keep.schema[c].dataType.simpleString()}" for c in ids)
-    if is_small(bank):
-        rows = bank.select(F.col(bank_vector).cast("array<double>").alias("b")).collect()
-        shared = df.sparkSession.sparkContext.broadcast(_unit(np.asarray([r["b"] for r in rows], dtype=np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b = shared.value
-            kk = min(max(1, k), len(b))
-            for batch in batches:
-                for lo in range(0, len(batch), BLOCK_ROWS):
-                    part = batch.iloc[lo:lo + BLOCK_ROWS]
-                    sim = _unit(np.stack(part["__x"].to_numpy()).astype(np.float64)) @ b.T
-                    frame = part[list(ids)].copy()
-                    frame["knn"] = -np.partition(sim, -kk, axis=1)[:, -kk:].mean(axis=1)
-                    yield frame
-
-        return keep.mapInPandas(run, fields + ", knn double")
     return blocked_knn(keep, ids, fields, bank, bank_vector, k)
 
 
@@ -271,6 +284,13 @@ def raw_scores(
     temperature: float = 1.0,
     k: int = 5,
 ) -> DataFrame:
-    """conf, energy, proto and knn of every window."""
-    dist = distance_scores(df, ids, vector, model, temperature)
-    return dist.join(knn_scores(df, ids, vector, bank, bank_vector, k), list(ids))
+    """conf, energy, proto and knn of every window, in one pass where the bank is small. Ids may be null."""
+    shared = _small_bank(df, bank, bank_vector)
+    if shared is None:
+        dist = distance_scores(df, ids, vector, model, temperature)
+        return match_keys(dist, knn_scores(df, ids, vector, bank, bank_vector, k), list(ids), how="inner")
+    t = float(temperature)
+    names = ("conf", "energy", "proto", "knn")
+    return _batched(
+        _vectors(df, ids, vector), ids, names, lambda x: {**_distances(x, model, t), "knn": _nearest(x, shared.value, k)}
+    )

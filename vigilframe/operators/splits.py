@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilframe.operators.ordering import match_keys, order_hash, position, running_sums, settle
+from vigilframe.operators.ordering import match_keys, match_small, order_hash, position, running_sums, settle
 
 
 def interleave(
@@ -55,7 +55,7 @@ def stratified_split(df: DataFrame, label: str, record_id: str, seed: int) -> Da
     if bad:
         raise ValueError(f"labels too small for a three-way split: {bad}")
     placed = position(df.withColumn("__h", order_hash(seed, record_id)), [label], ["__h", record_id], "__p")
-    joined = match_keys(placed, cuts, [label])
+    joined = match_small(placed, cuts, [label])
     split = (
         F.when(F.col("__p") < F.col("n_train"), "train")
         .when(F.col("__p") < F.col("n_train") + F.col("n_val"), "val")
@@ -163,7 +163,7 @@ def take_quota(df: DataFrame, alloc: DataFrame, label: str, quota: str, record_i
     """Seeded down-sampling to the quota of each label."""
     placed = position(df.withColumn("__h", order_hash(seed, record_id)), [label], ["__h", record_id], "__p")
     limits = alloc.select(label, F.col(quota).alias("__q"))
-    return match_keys(placed, limits, [label], "inner").where(F.col("__p") < F.col("__q")).drop("__h", "__p", "__q")
+    return match_small(placed, limits, [label], "inner").where(F.col("__p") < F.col("__q")).drop("__h", "__p", "__q")
 
 
 def oversample_target(final: Column, raw: Column, factor: float) -> Column:
@@ -198,7 +198,7 @@ def assign_groups(
         starts = running_sums(sizes, [split], ["__seen"], {"__upto": "__c"}, buckets=1).select(
             split, label, (F.col("__upto") - F.col("__c")).alias("__off")
         )
-        placed = match_keys(placed, starts, [split, label])
+        placed = match_small(placed, starts, [split, label])
         placed = position(placed, [split, label], order, "__k", buckets=buckets)
         index = (F.col("__k") + F.col("__off")) % groups
     else:
@@ -232,7 +232,7 @@ def resample(df: DataFrame, needs: DataFrame, label: str, record_id: str, seed:
     A row at queue position p is copied once for every j = p, p+n, p+2n, ... below the need.
     """
     placed = position(df.withColumn("__h", order_hash(seed, record_id)), [label], ["__h", record_id], "__p")
-    joined = match_keys(placed, needs.select(label, F.col(n).alias("__n"), F.col("copies").alias("__c")), [label])
+    joined = match_small(placed, needs.select(label, F.col(n).alias("__n"), F.col("copies").alias("__c")), [label])
     real = df.withColumns({"row_origin": F.lit("real"), "copy_no": F.lit(0).cast("long")})
     made = (
         joined.where(F.col("__c") > F.col("__p"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.functions.text import is_ood_record
-from vigilframe.operators.ordering import match_keys, position, top_k
+from vigilframe.operators.ordering import match_keys, match_small, position, top_k
 
 
 def assign_count_windows(pos: str, n: str, size: int, stride: int) -> tuple[Column, Column]:
@@ -85,7 +85,7 @@ def time_windows(
     bounds = df.groupBy(group).agg(F.min(ts_micros).alias("__t0"), F.max(ts_micros).alias("__t1"))
     k = F.floor((F.col(ts_micros) - F.col("__t0")) / F.lit(hop)).cast("long")
     placed = (
-        match_keys(df, bounds, [group])
+        match_small(df, bounds, [group])
         .withColumn("window_idx", F.explode(F.array(k - 1, k)))
         .where(F.col("window_idx") >= 0)
         .withColumn("window_start", F.col("__t0") + F.col("window_idx") * hop)

@@ -28,18 +28,32 @@ def load_records(spark: SparkSession, path: str, fmt: str | None = None, schema:
     if kind in ("jsonl", "ndjson"):
         return reader.json(path)
     if kind == "json":
-        return _json_documents(reader.json(path, multiLine=True))
+        return _json_documents(reader.json(path, multiLine=not _is_lines(spark, path)))
     if kind in ("parquet", "pq"):
         return reader.parquet(path)
     raise ValueError(f"unsupported record format: {path}")
 
 
+def _is_lines(spark: SparkSession, path: str) -> bool:
+    """Whether every line is a document of its own, as ``save_records`` writes them, and not part of a longer one."""
+    text = F.trim("value")
+    broken = spark.read.text(path).where((text != "") & F.try_parse_json(text).isNull())
+    return broken.limit(1).count() == 0
+
+
 def _json_documents(doc: DataFrame) -> DataFrame:
-    """An array of objects, an object holding records/data/items, or a single object."""
+    """Arrays of objects, objects holding records, data or items (the first that a document has), and single objects."""
     held = [c for c in CONTAINERS if c in doc.columns and isinstance(doc.schema[c].dataType, T.ArrayType)]
     if not held:
         return doc
-    return doc.select(F.explode(F.col(held[0])).alias("r")).select("r.*")
+    parts, free = [], F.lit(True)
+    for c in held:
+        parts.append(doc.where(free & F.col(c).isNotNull()).select(F.explode(c).alias("r")).select("r.*"))
+        free = free & F.col(c).isNull()
+    single = [c for c in doc.columns if c not in held]
+    if single:
+        parts.append(doc.where(free).select(*single))
+    return header_union(parts)
 
 
 def save_records(df: DataFrame, path: str, fmt: str | None = None) -> None:

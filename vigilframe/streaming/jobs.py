@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.operators.monitor import input_drift
-from vigilframe.operators.ordering import match_keys, wide_quantiles
+from vigilframe.operators.ordering import match_small, wide_quantiles
 from vigilframe.streaming import processors as P
 
 
@@ -70,12 +70,12 @@ def warmup_thresholds_batch(
     quantiles of the windows before it.
     """
     first = windows.groupBy("key").agg(F.min(F.when(~F.col("benign"), F.col("window_idx"))).alias("__freeze"))
-    d = match_keys(windows, first, ["key"])
+    d = match_small(windows, first, ["key"])
     early = d.where(F.col("window_idx") < F.col("__freeze"))
     stats = wide_quantiles(
         early, ["key"], {"s": F.col("raw_score")}, {"q25": 0.25, "q50": 0.5, "q75": 0.75, "top": q}
     )
-    out = match_keys(d, stats, ["key"])
+    out = match_small(d, stats, ["key"])
     collecting = F.col("__freeze").isNull() | (F.col("window_idx") < F.col("__freeze"))
     known = F.col("s_q50").isNotNull()
     iqr = F.greatest(F.col("s_q75") - F.col("s_q25"), F.lit(eps))
