@@ -47,8 +47,7 @@ def feature_extraction(spark, sf):
 def feature_medians(spark, sf):
     d = _dirty(spark, sf)
     med = Z.feature_medians(d, ["a", "b"])
-    pairs = F.array(*[F.struct(F.lit(k).alias("feature"), F.lit(v).alias("median")) for k, v in med.items()])
-    return d.limit(1).select(F.inline(pairs))
+    return spark.createDataFrame([(k, v) for k, v in med.items()], "feature string, median double")
 
 
 @query(
@@ -170,12 +169,8 @@ na AS (SELECT vec_id, grp, label, truth_ood, """ + ", ".join(f"({n} - m_{n}) / i
 def robust_scaling(spark, sf):
     val = _validation(spark, sf)
     scales = K.robust_scales(val, SCORE_NAMES, {})
-    items = F.array(
-        *[F.struct(F.lit(n).alias("score"), F.lit(m).alias("median"), F.lit(i).alias("iqr")) for n, (m, i) in scales.items()]
-    )
-    return vectors(spark, sf).limit(1).select(F.inline(items)).select(
-        "score", F.round("median", 5).alias("median"), F.round("iqr", 5).alias("iqr")
-    )
+    rows = spark.createDataFrame([(n, m, i) for n, (m, i) in scales.items()], "score string, median double, iqr double")
+    return rows.select("score", F.round("median", 5).alias("median"), F.round("iqr", 5).alias("iqr"))
 
 
 _CORR = " UNION ALL ".join(
@@ -202,17 +197,16 @@ wt AS (SELECT 'correlation_aware' AS mode, score, w / sum(w) OVER () AS w FROM c
     (SELECT unnest(['conf', 'energy', 'proto', 'knn']) AS m))"""
 
 
-def _modes_table(spark, sf, rows):
+def _modes_table(spark, rows):
     fields = list(rows[0])
-    items = F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in rows])
-    return vectors(spark, sf).limit(1).select(F.inline(items))
+    return spark.createDataFrame([tuple(r[f] for f in fields) for r in rows], fields)
 
 
 @query("a11_fusion_weights", f"WITH {_WEIGHTS} SELECT mode, score, round(w, 5) AS weight FROM wt")
 def fusion_weights(spark, sf):
     sweep = K.fusion_sweep(materialize(_validation(spark, sf), "scores"))
     rows = [{"mode": m, "score": n, "weight": float(c.weights[n])} for m, c in sweep.items() for n in SCORE_NAMES]
-    return _modes_table(spark, sf, rows).withColumn("weight", F.round("weight", 5))
+    return _modes_table(spark, rows).withColumn("weight", F.round("weight", 5))
 
 
 _FUSED = _WEIGHTS + """,
@@ -232,7 +226,7 @@ th AS (SELECT mode, quantile_cont(fused, 0.95) AS thr FROM fz WHERE NOT truth_oo
 def global_thresholds(spark, sf):
     cal = K.fit_calibration(materialize(_validation(spark, sf), "scores"), "mean")
     rows = [{"score": n, "threshold": float(t)} for n, t in {"fused": cal.threshold, **cal.score_thresholds}.items()]
-    return _modes_table(spark, sf, rows).withColumn("threshold", F.round("threshold", 4))
+    return _modes_table(spark, rows).withColumn("threshold", F.round("threshold", 4))
 
 
 @query(
@@ -453,7 +447,7 @@ def score_directions(spark, sf):
 
 @query(
     "m08_deployment_threshold",
-    f"""WITH {VEC}, p AS (SELECT vec_id, label, 1 - list_max(list_transform(list_slice(v, 1, 10), lambda z: 1 / (1 + exp(-z / 1.5))))
+    f"""WITH {VEC}, p AS (SELECT vec_id, label, 1 - list_max(list_transform(v, lambda z: 1 / (1 + exp(-z / 1.5))))
       AS conf FROM vec)
     SELECT round(quantile_cont(conf, 0.9), 6) AS threshold, count(*) AS validation_windows FROM p WHERE label < 8""",
 )
@@ -461,7 +455,7 @@ def deployment_threshold(spark, sf):
     from vigilframe.functions import scores as S
 
     v = vectors(spark, sf).where(F.col("label") < 8)
-    p = v.select(F.transform(F.slice("vec", 1, 10), lambda z: S.sigmoid(z, 1.5)).alias("p"))
+    p = v.select(F.transform("vec", lambda z: S.sigmoid(z, 1.5)).alias("p"))
     conf = p.select(S.binary_uncertainty(F.col("p"))["conf"].alias("conf"))
     t = quantiles(conf, [], "conf", {"threshold": 0.9})
     n = conf.agg(F.count(F.lit(1)).alias("validation_windows"))

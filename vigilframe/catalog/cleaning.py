@@ -10,6 +10,7 @@ from vigilframe.functions import text as X
 from vigilframe.operators import clean as C
 from vigilframe.operators import merge as M
 from vigilframe.operators import quality as Q
+from vigilframe.operators import windows as W
 from vigilframe.operators.ordering import position
 
 ORDER = ["ts_us", "record_id"]
@@ -462,14 +463,16 @@ def merge_summary(spark, sf):
     SELECT split, 'records' AS kind, 'all' AS value, count(*) AS n FROM s GROUP BY 1
     UNION ALL SELECT split, 'group', CAST(grp AS VARCHAR), count(*) FROM s GROUP BY 1, 3
     UNION ALL SELECT split, 'label', label, count(*) FROM s GROUP BY 1, 3
-    UNION ALL SELECT split, 'ood_label', label, count(*) FROM s WHERE label = 'error' GROUP BY 1, 3""",
+    UNION ALL SELECT split, 'ood_label', label, count(*) FROM s WHERE label = 'error' GROUP BY 1, 3
+    UNION ALL SELECT split, 'windows', 'all', CAST(sum((n - 8) // 4 + 1) AS BIGINT) FROM (SELECT split, grp, count(*) AS n FROM s GROUP BY ALL) WHERE n >= 8 GROUP BY 1
+    UNION ALL SELECT split, 'window_group', CAST(grp AS VARCHAR), CAST((n - 8) // 4 + 1 AS BIGINT) FROM (SELECT split, grp, count(*) AS n FROM s GROUP BY ALL) WHERE n >= 8""",
 )
 def split_summary(spark, sf):
-    r = records(spark, sf).select(
-        F.when(F.col("k") < 70, "train").otherwise("test").alias("split"), F.array("label").alias("labels"), "grp",
-        (F.col("label") == "error").alias("ood"),
-    )
-    return Q.split_summary(r, "split", "labels", "grp", "ood")
+    split = F.when(F.col("k") < 70, "train").otherwise("test").alias("split")
+    r = records(spark, sf).select("record_id", "ts_us", split, F.array("label").alias("labels"), "grp", (F.col("label") == "error").alias("ood"))
+    keyed = r.withColumn("key", F.concat_ws(":", "split", "grp"))
+    windows = W.count_windows(keyed, "key", ["ts_us", "record_id"], 8, 4).select("key", "split", "grp", "window_idx").distinct()
+    return Q.split_summary(r, "split", "labels", "grp", "ood", windows)
 
 
 @query(

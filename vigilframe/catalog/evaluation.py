@@ -50,6 +50,23 @@ def mean_average_precision(spark, sf):
     return E.mean_average_precision(long, "z").select(r6("map").alias("map"))
 
 
+@query(
+    "a26_id_metrics_by_group",
+    f"""WITH {_PRED}, cc AS (SELECT vec_id % 7 AS grp, class, sum(pred * y) AS tp, sum(pred * (1 - y)) AS fp, sum((1 - pred) * y) AS fn,
+      sum((1 - pred) * (1 - y)) AS tn FROM pr GROUP BY ALL),
+    cf AS (SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM cc),
+    c1 AS (SELECT *, 2 * p * r / greatest(p + r, 1e-12) AS f1 FROM cf),
+    s AS (SELECT grp, avg(ok) AS acc FROM (SELECT vec_id % 7 AS grp, vec_id, min(CAST(pred = y AS INT)) AS ok FROM pr GROUP BY ALL) GROUP BY grp)
+    SELECT c1.grp, round(2 * sum(tp) / greatest(2 * sum(tp) + sum(fp) + sum(fn), 1), 6) AS micro_f1, round(avg(f1), 6) AS macro_f1,
+      round((sum(fp) + sum(fn)) / (sum(tp) + sum(fp) + sum(fn) + sum(tn)), 6) AS hamming_loss,
+      round(any_value(acc), 6) AS subset_accuracy FROM c1 JOIN s ON c1.grp = s.grp GROUP BY c1.grp""",
+)
+def id_metrics_by_group(spark, sf):
+    long = _pred_long(spark, sf).withColumn("grp", F.col("vec_id") % 7)
+    m = E.multilabel_summary(long, ["vec_id"], ["grp"])
+    return m.select("grp", *[r6(c).alias(c) for c in m.columns if c != "grp"])
+
+
 @query(
     "a20_per_class_rates",
     f"WITH {_PER} SELECT class AS class_idx, CAST(support AS BIGINT) AS support, round(p, 6) AS precision, round(r, 6) AS recall, "
@@ -142,7 +159,7 @@ def metrics_by_group(spark, sf):
 
 # --- attribution -------------------------------------------------------------------------
 _EV = count_window_sql(8, 4) + """,
-ws AS (SELECT grp, window_idx, grp * 100000 + window_idx AS wid, round(avg(value) / 50, 6) AS fused FROM win GROUP BY ALL),
+ws AS (SELECT grp, window_idx, grp * 4294967296 + window_idx AS wid, round(avg(value) / 50, 6) AS fused FROM win GROUP BY ALL),
 ev AS (SELECT record_id, wid, fused, coalesce(value / sum(value) OVER (PARTITION BY wid), 0) AS att, greatest(0, fused - 0.9) AS excess
        FROM win JOIN ws ON win.grp = ws.grp AND win.window_idx = ws.window_idx)"""
 
@@ -156,7 +173,7 @@ def evidence(spark, sf):
         match_keys(long, per, ["grp", "window_idx"])
         .withColumns(
             {
-                "wid": F.col("grp") * 100000 + F.col("window_idx"),
+                "wid": F.col("grp") * (1 << 32) + F.col("window_idx"),
                 "att": F.coalesce(F.try_divide("value", "total"), F.lit(0.0)),
                 "thr": F.lit(0.9),
             }

@@ -182,12 +182,12 @@ def hypothesis_text(spark, sf):
 
 @query(
     "f12_baseline_uncertainty",
-    f"""WITH {VEC}, p AS (SELECT vec_id, list_transform(list_slice(v, 1, 10), lambda z: 1 / (1 + exp(-z / 1.5))) AS p FROM vec)
+    f"""WITH {VEC}, p AS (SELECT vec_id, list_transform(v, lambda z: 1 / (1 + exp(-z / 1.5))) AS p FROM vec)
     SELECT vec_id, round(list_max(p), 6) AS max_prob, round(1 - list_max(p), 6) AS conf,
       round(-list_sum(list_transform(p, lambda q: ln(1 + exp(ln(q / (1 - q)))))), 6) AS energy FROM p""",
 )
 def baseline_uncertainty(spark, sf):
-    v = vectors(spark, sf).select("vec_id", F.transform(F.slice("vec", 1, 10), lambda z: S.sigmoid(z, 1.5)).alias("p"))
+    v = vectors(spark, sf).select("vec_id", F.transform("vec", lambda z: S.sigmoid(z, 1.5)).alias("p"))
     return v.select("vec_id", *[r6(c).alias(n) for n, c in S.binary_uncertainty(F.col("p")).items()])
 
 

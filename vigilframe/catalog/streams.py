@@ -243,15 +243,18 @@ def degenerate_windows(spark, sf):
 @query(
     "st09_ground_truth",
     f"""WITH {count_window_sql(8, 4)} SELECT grp, CAST(window_idx AS BIGINT) AS window_idx,
-      string_agg(DISTINCT label, ',' ORDER BY label) AS labels, count(*) FILTER (label <> 'view') AS attack_records,
-      count(*) FILTER (label = 'error') AS ood_records, bool_or(label <> 'view') AS attack_active, bool_or(label = 'error') AS is_ood
+      string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+      coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (label <> 'view'), '') AS attack_types,
+      count(*) FILTER (label = 'view') AS benign_records, count(*) FILTER (label NOT IN ('view', 'error')) AS attack_records,
+      count(*) FILTER (label = 'error') AS ood_records, count(*) AS truth_records, bool_or(label <> 'view') AS attack_active, bool_or(label = 'error') AS is_ood
     FROM win GROUP BY ALL""",
 )
 def ground_truth(spark, sf):
     long = W.count_windows(records(spark, sf), "grp", ORDER, 8, 4)
     packed = W.pack_windows(long, ["grp", "window_idx"], ["record_id", "label"])
     g = J.ground_truth(packed, ["grp", "window_idx"], "view", "error")
-    return g.withColumns({c: F.col(c).cast("long") for c in ("attack_records", "ood_records")})
+    g = g.withColumn("truth_records", F.size("truth_records"))
+    return g.withColumns({c: F.col(c).cast("long") for c in ("benign_records", "attack_records", "ood_records", "truth_records")})
 
 
 @query(

@@ -65,8 +65,13 @@ def merge_summary(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     return g.select(name.alias("dimension"), value.alias("value"), "n")
 
 
-def split_summary(df: DataFrame, split: str, labels: str, group: str, is_ood: str) -> DataFrame:
-    """Records, label, OOD-label and group distribution per split as (split, kind, value, n)."""
+def split_summary(
+    df: DataFrame, split: str, labels: str, group: str, is_ood: str, windows: DataFrame | None = None
+) -> DataFrame:
+    """Records, label, OOD-label and group distribution per split as (split, kind, value, n).
+
+    ``windows`` (one row per window with the split and group columns) adds window and window-group counts.
+    """
     base = df.select(split, F.col(labels).alias("labels"), F.col(group).cast("string").alias("g"), F.col(is_ood).alias("o"))
     items = F.flatten(
         F.array(
@@ -78,7 +83,15 @@ def split_summary(df: DataFrame, split: str, labels: str, group: str, is_ood: st
             ).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)")),
         )
     )
-    return base.select(split, F.inline(items)).groupBy(split, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    out = base.select(split, F.inline(items)).groupBy(split, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    if windows is None:
+        return out
+    kinds = F.array(
+        F.struct(F.lit("windows").alias("kind"), F.lit("all").alias("value")),
+        F.struct(F.lit("window_group").alias("kind"), F.coalesce(F.col(group).cast("string"), F.lit("__ungrouped__")).alias("value")),
+    )
+    counted = windows.select(split, F.inline(kinds)).groupBy(split, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    return out.unionByName(counted)
 
 
 def group_statistics(df: DataFrame, group: str, label: str, id_classes: Sequence[str]) -> DataFrame:

@@ -108,15 +108,21 @@ def online_detection(
 
 
 def ground_truth(windows: DataFrame, keys: list[str], benign: str, ood: str) -> DataFrame:
-    """Truth of each window from its packed records."""
+    """Truth of each window from its packed records; out-of-distribution records count apart from other attacks."""
+    attack = lambda r: r["label"] != benign
     labels = F.array_sort(F.array_distinct(F.transform("records", lambda r: r["label"])))
     return windows.select(
         *keys,
         F.array_join(labels, ",").alias("labels"),
-        F.size(F.filter("records", lambda r: r["label"] != benign)).alias("attack_records"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("records", attack), lambda r: r["label"]))), ",").alias("attack_types"),
+        F.size(F.filter("records", lambda r: ~attack(r))).alias("benign_records"),
+        F.size(F.filter("records", lambda r: attack(r) & (r["label"] != ood))).alias("attack_records"),
         F.size(F.filter("records", lambda r: r["label"] == ood)).alias("ood_records"),
         F.exists("records", lambda r: r["label"] != benign).alias("attack_active"),
         F.exists("records", lambda r: r["label"] == ood).alias("is_ood"),
+        F.transform(
+            "records", lambda r: F.struct(r["record_id"].alias("record_id"), r["label"].alias("label"), attack(r).alias("attack_active"), (r["label"] == ood).alias("is_ood"))
+        ).alias("truth_records"),
     )
 
 
