@@ -107,7 +107,7 @@ def test_baselines_separate_classes_and_keep_constant_labels(spark, name):
     x = np.concatenate([rng.normal(size=(60, 3)) - 2, rng.normal(size=(60, 3)) + 2])
     y = [[int(i >= 60), 1] for i in range(120)]
     df = spark.createDataFrame([(i, [float(v) for v in r], t) for i, (r, t) in enumerate(zip(x, y))], "id int, vec array<double>, y array<int>")
-    p = B.MultiLabelModel(name).fit(df, "vec", "y", 2).predict(df, "vec").orderBy("id").collect()
+    p = B.MultiLabelModel(name, settings=B.LIGHT[name]).fit(df, "vec", "y", 2).predict(df, "vec").orderBy("id").collect()
     first = np.array([r["probs"][0] for r in p])
     assert ((first > 0.5) == (np.arange(120) >= 60)).mean() > 0.97
     assert {r["probs"][1] for r in p} == {1.0}

@@ -54,7 +54,7 @@ def window_scoring(spark, sf):
 def _baseline(name):
     def run(spark, sf):
         v = vectors(spark, sf).withColumn("y", multi_hot(F.col("label"), VECTOR_CLASSES))
-        model = B.MultiLabelModel(name).fit(v.where(F.col("label") < 8), "vec", "y", len(VECTOR_CLASSES))
+        model = B.MultiLabelModel(name, settings=B.LIGHT[name]).fit(v.where(F.col("label") < 8), "vec", "y", len(VECTOR_CLASSES))
         p = model.predict(v, "vec")
         return p.select("vec_id", "label", r6(F.array_max("probs")).alias("max_prob"), F.size("probs").alias("labels"))
 

@@ -12,6 +12,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import MaxAbsScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,31 +23,55 @@ from vigilframe.operators.ordering import order_hash, position
 BASELINES = ("linear_svm", "random_forest", "boosted_trees", "mlp")
 
 
-def _classifier(name: str, label: str, width: int, seed: int):
+# Sizes of a full fit; any of them can be given as ``settings``.
+SETTINGS = {
+    "linear_svm": {"maxIter": 200, "regParam": 5e-4},
+    "random_forest": {"numTrees": 200, "maxDepth": 30},
+    "boosted_trees": {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"},
+    "mlp": {"hidden": (128, 64), "maxIter": 300},
+}
+# Smaller fits for quick looks; the registered queries use them.
+LIGHT = {
+    "linear_svm": {"maxIter": 20},
+    "random_forest": {"numTrees": 20, "maxDepth": 6},
+    "boosted_trees": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1},
+    "mlp": {"hidden": (32,), "maxIter": 60},
+}
+
+
+def _classifier(name: str, label: str, width: int, seed: int, settings: dict):
     common = {"featuresCol": "features", "labelCol": label, "predictionCol": f"{label}_hat"}
     if name == "linear_svm":
-        return LinearSVC(maxIter=20, rawPredictionCol=f"{label}_raw", **common)
+        return LinearSVC(rawPredictionCol=f"{label}_raw", weightCol=f"{label}_weight", **common, **settings)
     tree = {**common, "rawPredictionCol": f"{label}_raw", "probabilityCol": f"{label}_prob"}
     if name == "random_forest":
-        return RandomForestClassifier(numTrees=20, maxDepth=6, seed=seed, **tree)
+        return RandomForestClassifier(seed=seed, **tree, **settings)
     if name == "boosted_trees":
-        model = GBTClassifier(maxIter=10, maxDepth=4, seed=seed, **common)
+        model = GBTClassifier(seed=seed, **common, **settings)
         return model.setRawPredictionCol(f"{label}_raw").setProbabilityCol(f"{label}_prob")
     if name == "mlp":
-        return MultilayerPerceptronClassifier(layers=[width, 32, 2], maxIter=60, seed=seed, **tree)
+        rest = {k: v for k, v in settings.items() if k != "hidden"}
+        return MultilayerPerceptronClassifier(layers=[width, *settings["hidden"], 2], seed=seed, **tree, **rest)
     raise ValueError(f"unknown baseline: {name}")
 
 
 class MultiLabelModel:
-    """One binary Spark ML model per label; a label with one value keeps that value."""
+    """One binary Spark ML model per label; a label with one value keeps that value.
 
-    def __init__(self, name: str, seed: int = 42):
+    Features are scaled by their largest absolute value; the linear machine weighs both values of a label alike.
+    ``settings`` replace single entries of SETTINGS.
+    """
+
+    def __init__(self, name: str, seed: int = 42, settings: dict | None = None):
         self.name, self.seed = name, seed
+        self.settings = {**SETTINGS[name], **(settings or {})}
         self.models: list = []
 
     def fit(self, df: DataFrame, vector: str, labels: str, n_labels: int) -> MultiLabelModel:
         y = [F.col(labels)[i].cast("double").alias(f"y{i}") for i in range(n_labels)]
-        data = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), *y).cache()
+        raw = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("raw"), *y)
+        self.scaler = MaxAbsScaler(inputCol="raw", outputCol="features").fit(raw)
+        data = self.scaler.transform(raw).cache()
         means = data.agg(F.max(F.size(vector_to_array("features"))).alias("d"), *[F.avg(f"y{i}").alias(f"y{i}") for i in range(n_labels)]).first()
         self.models = []
         for i in range(n_labels):
@@ -54,13 +79,15 @@ class MultiLabelModel:
             if share in (0.0, 1.0):
                 self.models.append(float(share))
             else:
-                self.models.append(_classifier(self.name, f"y{i}", means["d"], self.seed).fit(data))
+                weight = F.when(F.col(f"y{i}") > 0.5, 0.5 / share).otherwise(0.5 / (1 - share))
+                model = _classifier(self.name, f"y{i}", means["d"], self.seed, self.settings)
+                self.models.append(model.fit(data.withColumn(f"y{i}_weight", weight)))
         data.unpersist()
         return self
 
     def predict(self, df: DataFrame, vector: str) -> DataFrame:
         """Adds ``probs``: one probability per label."""
-        out = df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+        out = self.scaler.transform(df.withColumn("raw", array_to_vector(F.col(vector).cast("array<double>"))))
         probs = []
         for i, m in enumerate(self.models):
             if isinstance(m, float):
@@ -127,22 +154,23 @@ def tree_depths(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
         at[rows] = np.where(below, tree["left"][at[rows]], tree["right"][at[rows]])
 
 
-def isolation_forest(train: DataFrame, ident: str, vector: str, trees: int = 200, seed: int = 42) -> list[dict]:
-    """Trees grown in parallel on seeded subsamples.
+def isolation_forest(
+    train: DataFrame, ident: str, vector: str, trees: int = 200, seed: int = 42, subsample: int = SUBSAMPLE
+) -> list[dict]:
+    """Trees grown in parallel, each on ``subsample`` rows drawn from the whole table.
 
-    The pool is the ``trees * 256`` rows first in hash order; tree t takes 256 consecutive
-    ones, wrapping when the table is smaller. Only the grown trees reach the driver.
+    Rows are put in a seeded hash order; tree t takes the ``subsample`` rows from place t * subsample on, wrapping where
+    the table is smaller. Only the grown trees reach the driver.
     """
-    pool = (
-        train.select(order_hash(seed, ident).alias("h"), F.col(vector).cast("array<double>").alias("x"))
-        .orderBy("h").limit(trees * SUBSAMPLE)
-    )
-    ranked = position(pool, [], ["h"], "r", size_name="m", buckets=8)
-    span = F.least(F.col("m"), F.lit(SUBSAMPLE))
-    tree_ids = F.sequence(F.lit(0), F.lit(trees - 1))
-    placed = ranked.withColumn("tree", F.explode(tree_ids)).where(
-        F.pmod(F.col("r") - F.col("tree") * SUBSAMPLE, F.col("m")) < span
+    rows = train.select(order_hash(seed, ident).alias("h"), F.col(vector).cast("array<double>").alias("x"))
+    ranked = position(rows, [], ["h"], "r", size_name="m")
+    span = F.least(F.col("m"), F.lit(subsample))
+    wraps = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.col("r") - t * subsample, F.col("m")) < span
     )
+    own = F.floor(F.col("r") / subsample).cast("int")
+    tree_ids = F.when(F.col("m") < trees * subsample, wraps).when(own < trees, F.array(own))
+    placed = ranked.where(F.col("r") < trees * subsample).withColumn("tree", F.explode(tree_ids))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
