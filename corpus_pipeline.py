@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilframe.config import shared_dir
+from vigilframe.config import materialize, shared_dir
 from vigilframe.llm.common import small_side
 from vigilframe.llm.curriculum import mix
 from vigilframe.llm.decontaminate import contamination
@@ -38,10 +38,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest id."""
+    """One document of each group: that of the smallest id, and of rows that repeat an id the smallest one."""
     ship(spark)
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+    repeated = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = small_side(materialize(repeated, "repeated"))
+    once = left.join(repeated, "doc_id", "left_anti")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    many = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r"))
+    return once.unionByName(many.select("doc_id", "r.*")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
