@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.config import materialize
@@ -19,8 +19,6 @@ ROWS = 3
 # The permuted domain: shingles are hashed into 62 bits, their places in it.
 DOMAIN = 1 << 62
 SHIFT = 0x1E3779B97F4A7C15 % DOMAIN
-# A pair at a similarity of 0.8 has 39 of 48 equal 4-bit coordinates (deviation 2.7); fewer than this are not compared.
-LEAST_EQUAL = 26
 PERCENT = 80
 # Shingles permuted at once; a document is never cut.
 BLOCK = 1 << 16
@@ -81,16 +79,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(doc_id, digest, n_shingles, bands, code): band hashes and 4 bits of each coordinate, packed into longs."""
+    """(doc_id, digest, n_shingles, bands): a hash of each band's coordinates."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = BANDS * ROWS
-        shifts = np.array([4 * (i % 16) for i in range(k)], np.uint64)
         for ids, digests, sets in _blocks(batches, size):
             lengths = np.array([len(s) for s in sets])
             some = lengths > 0
             bands = np.zeros((len(ids), BANDS), np.uint64)
-            code = np.zeros((len(ids), (k + 15) // 16), np.uint64)
             if some.any():
                 starts = np.concatenate([[0], np.cumsum(lengths[some])[:-1]])
                 minima = circulant_minima(np.concatenate(sets), starts)
@@ -98,16 +93,14 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 for r in range(ROWS):
                     band = _mix(band * np.uint64(0x9E3779B97F4A7C15) + minima[:, r::ROWS])
                 bands[some] = band
-                nibbles = (minima & np.uint64(15)) << shifts
-                code[some] = np.bitwise_or.reduceat(nibbles, np.arange(0, k, 16), axis=1)
-            flat = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]) for x in (bands, code)]
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(lengths, pa.int64()), *[x.cast(pa.list_(pa.int64())) for x in flat]],
-                ["doc_id", "digest", "n_shingles", "bands", "code"],
+                [pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(lengths, pa.int64()), flat.cast(pa.list_(pa.int64()))],
+                ["doc_id", "digest", "n_shingles", "bands"],
             )
 
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.col(text)).alias("digest"), F.col(text).cast("binary").alias("t"))
-    return base.mapInArrow(sign, "doc_id long, digest string, n_shingles long, bands array<long>, code array<long>")
+    return base.mapInArrow(sign, "doc_id long, digest string, n_shingles long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, node: str, text: str, size: int) -> DataFrame:
@@ -123,18 +116,6 @@ def shingle_sets(docs: DataFrame, node: str, text: str, size: int) -> DataFrame:
     return base.mapInArrow(collect, "node long, s array<long>")
 
 
-def equal_coordinates(a: Column, b: Column) -> Column:
-    """How many 4-bit coordinates two codes share."""
-    k = BANDS * ROWS
-    differing = None
-    for i in range((k + 15) // 16):
-        x = a[i].bitwiseXOR(b[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        differing = F.bit_count(x) if differing is None else differing + F.bit_count(x)
-    return F.lit(k) - differing
-
-
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
@@ -144,6 +125,32 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
+def prefix_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that can reach the similarity, from (node, component, s) rows.
+
+    Each set is ordered by rarity among the rows. Similar sets share one of their first 20 % of shingles, and the first
+    shared one leaves room for the overlap that the similarity needs (positional bound); sizes must be near too. A text
+    whose own changes fill its prefix meets nobody, however large the group around it is.
+    """
+    rows = rows.select("node", "component", F.size("s").alias("n"), "s")
+    single = rows.select("node", "component", "n", F.explode_outer("s").alias("x"))
+    counts = single.groupBy("x").agg(F.count("*").alias("df"))
+    ordered = single.join(counts, "x").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
+    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    prefix = ordered.select("node", "component", "n", F.posexplode_outer(F.slice("o", 1, first.cast("int"))).alias("at", "t"))
+    prefix = materialize(prefix.where("t.df > 1").select("node", "component", "n", "at", F.col("t.x").alias("x")), "prefix")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    near = (
+        (F.col("a.x") == F.col("b.x"))
+        & (F.col("a.node") < F.col("b.node"))
+        & (F.col("a.component") != F.col("b.component"))
+        & (100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n"))
+        & ((100 + PERCENT) * most >= PERCENT * (F.col("a.n") + F.col("b.n")))
+    )
+    return a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
     """Group documents whose sets of ``size``-word shingles have a Jaccard similarity of 0.8 or more.
 
@@ -152,9 +159,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
        bucket of n costs n comparisons. Links are confirmed on the full sets; components of the links settle most buckets.
     3. In buckets that hold more than one component, each node outside of its bucket's smallest node's component is
        compared with one member of each of its buckets, drawn anew by every band.
-    4. In buckets that still hold more than one component, all pairs across components whose sizes and packed
-       coordinates allow a similarity of 0.8 are compared. Nothing is capped: a link can be missed only if its two
-       documents share no band (chance 1e-5 at 0.8, less above) or differ in too many coordinates (5e-6).
+    4. What still lies in buckets of more than one component goes through an exact prefix-filtered join on its sets.
+       Nothing is capped: a link can be missed only if its two documents share no band (chance 1e-5 at a similarity of
+       0.8, less above) and nothing else links them.
 
     Returns doc_id, n_shingles, component_id, kept, one row per different (doc_id, text). A text without words and a
     null text have no shingles and stay alone. Rows that share a doc_id are one node with the links of all its texts.
@@ -162,7 +169,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     sig = materialize(signatures(docs, doc_id, text, size), "signatures")
     nodes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("code").alias("code")
+        F.min("doc_id").alias("node"), F.first("bands").alias("bands")
     )
     nodes = materialize(nodes, "nodes")
 
@@ -194,20 +201,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = links.unionByName(more)
     parts = connected_components(links)
 
-    rest = unsettled(parts).join(nodes.select("node", "n", "bands", "code"), "node")
-    a, b = rest.alias("a"), rest.alias("b")
-    shares_earlier = F.coalesce(
-        F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), F.lit(True)) - 1 < F.col("a.band"), F.lit(False)
-    )
-    near = (
-        (F.col("a.bucket") == F.col("b.bucket"))
-        & (F.col("a.node") < F.col("b.node"))
-        & (F.col("a.component") != F.col("b.component"))
-        & (100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n"))
-        & (equal_coordinates(F.col("a.code"), F.col("b.code")) >= LEAST_EQUAL)
-        & ~shares_earlier
-    )
-    last = a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    rest = unsettled(parts).select("node", "component").distinct()
+    last = prefix_pairs(rest.join(sets, "node"))
     links = links.unionByName(materialize(_linked(last, sets), "links"))
     parts = connected_components(links)
 
