@@ -59,20 +59,20 @@ def running_totals(df: DataFrame, order: list[Column], values: dict[str, Column]
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge table (a, b); the component is its smallest node.
 
-    Each round takes the smallest label around a node and then the label of that label, so long chains halve.
+    Each round takes the smallest label around a node and then the label of that label, so long chains halve. Labels
+    are broadcast while they are counted to be few, so that a round is one grouped minimum; else they are joined by shuffle.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
-    both = both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
+    both = both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other")))
     both = materialize(both, "edges")
     labels = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component"))
     labels = materialize(labels, "labels")
     while True:
-        around = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        step = labels.join(around, "node").select(
-            "node", F.col("component").alias("was"), F.least("component", "near").alias("component")
-        )
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        step = step.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("far", "component")).alias("component"))
+        known = small_side(labels)
+        around = both.join(known.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
+        step = around.join(known, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        far = known.select(F.col("node").alias("component"), F.col("component").alias("far"))
+        step = step.join(far, "component").select("node", "was", F.least("component", "far").alias("component"))
         step = materialize(step, "labels")
         moved = step.where("was <> component").limit(1).count()
         labels = step.select("node", "component")

@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def unsettled(parts: DataFrame) -> DataFrame:
         """Bucket rows, with components, of the buckets that hold more than one component."""
-        placed = met.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = met.join(small_side(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
         return materialize(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "unsettled")
 
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = links.unionByName(materialize(_linked(last, sets), "links"))
     parts = connected_components(links)
 
-    member = nodes.select("digest", "node").join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    member = nodes.select("digest", "node").join(small_side(parts), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = sig.select("doc_id", "digest", "n_shingles").join(member, "digest", "left")
     # An id can stand under several texts; all of them belong to the smallest component of any.
     same = out.where("doc_id is not null").groupBy("doc_id").agg(F.min("component").alias("c"), F.count("*").alias("k"))
