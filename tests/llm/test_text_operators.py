@@ -176,7 +176,7 @@ def test_base_spans_equal_the_patterns(documents):
 
     r = random.Random(2)
     texts = ["".join(r.choice("ab1.@-_+ ()9é4\n") for _ in range(r.randint(0, 50))) for _ in range(5000)]
-    texts += [x.text for x in documents.select("text").collect()] + ["9" * 5000 + ".1.1.1", "a@b.c_d@e.f", "4" * 6 + " " + "4242424242424242"]
+    texts += [x.text for x in documents.select("text").collect()] + ["9" * 400 + ".1.1.1", "a@b.c_d@e.f", "4" * 6 + " " + "4242424242424242"]
     for t in texts:
         assert base_spans(t) == _spans(t)
 
