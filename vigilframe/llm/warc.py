@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from vigilframe.config import materialize, shared_dir
 
 # Children of a node.
 FANOUT = 16
-RECORDS_PER_FILE = 2000
+RECORDS_PER_FILE = 1000
 _END = "\r\n\r\n"
 
 
@@ -42,7 +43,7 @@ def write_warc(pages: DataFrame, folder: str, files: int, page_id: str = "page_i
         F.col(page_id).alias("id"), F.col(url).cast("string").alias("u"), warc_record(F.col(page_id), F.col(url), F.col(content)).alias("value")
     )
     rows = rows.repartition(files, "id", "u").sortWithinPartitions("id", "u", "value").select("value")
-    rows.write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    rows.write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(folder)
 
 
 def _records(data: bytes) -> Iterator[tuple[int, int, str, bytes]]:
@@ -69,12 +70,13 @@ def _records(data: bytes) -> Iterator[tuple[int, int, str, bytes]]:
 
 
 def read_warc(spark, folder: str) -> DataFrame:
-    """(file, seq, offset, length, record_id, digest) of every record; the digest is of the record's bytes."""
+    """(file, seq, offset, length, record_id, digest) of every record; offsets are those of the unpacked file, the digest is of the record's bytes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content")):
                 data = content.as_py()
+                data = gzip.decompress(data) if path.as_py().endswith(".gz") else data
                 rows = [(i, at, n, name, hashlib.sha256(data[at : at + n]).hexdigest()) for i, (at, n, name, _) in enumerate(_records(data))]
                 columns = list(zip(*rows)) or [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -83,7 +85,7 @@ def read_warc(spark, folder: str) -> DataFrame:
                     ["file", "seq", "offset", "length", "record_id", "digest"],
                 )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(folder).select("path", "content")
     return files.mapInArrow(read, "file string, seq long, offset long, length long, record_id string, digest string")
 
 
@@ -149,7 +151,7 @@ def _parents_of(nodes: DataFrame, levels: int) -> DataFrame:
 
 def shards(records: DataFrame) -> DataFrame:
     """Name shards by the order of their files' names, which two replicas written alike share."""
-    return records.withColumn("shard", F.regexp_replace(F.regexp_extract("file", r"[^/]*$", 0), r"^(part-\d+)-.*-c(\d+)\.txt$", "$1-$2"))
+    return records.withColumn("shard", F.regexp_replace(F.regexp_extract("file", r"[^/]*$", 0), r"^(part-\d+)-.*-c(\d+)\.txt(?:\.gz)?$", "$1-$2"))
 
 
 def fixity(pages: DataFrame, replica: DataFrame, page_id: str = "page_id", url: str = "url", content: str = "html") -> DataFrame:
