@@ -21,8 +21,8 @@ from vigilframe.llm.common import small_side
 END_ID = 1
 SEQUENCE = 2048
 BATCH = 128
-# Words kept with their ids per worker; when full, all are forgotten.
-CACHE_WORDS = 600_000
+# Words kept with their ids per worker (some 400 MB at most); when full, all are forgotten.
+CACHE_WORDS = 2_000_000
 
 
 class WordIds(dict):
@@ -34,6 +34,9 @@ class WordIds(dict):
     could matter are given to the tokenizer as they are.
     """
 
+    # Bytes of letters, digits, white space, full stops, commas, and of characters beyond ASCII.
+    _plain = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum() or chr(b) in " \t\n\r\x0b\x0c.,")
+    _odd = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ɏ]|İ")
     _whole = re.compile("[\x1c-\x1f]")
     _as_is = re.compile("<\\||[İɐ-\U0010ffff]")
     _joined = re.compile(r"(?:[^\w\s]|_)[.,]|[.,](?:[^\w\s]|_)")
@@ -59,7 +62,11 @@ class WordIds(dict):
         return i
 
     def _learn(self) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)]
+        model = self.tokenizer.model
+        # For a word of ASCII letters in lower case, the steps before the model change nothing.
+        plain = [w.isascii() and w.isalpha() and w.islower() for w in self.new]
+        others = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(self.new, plain) if not p], add_special_tokens=False))
+        ids = [[t.id for t in model.tokenize(w)] if p else next(others).ids for w, p in zip(self.new, plain)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         start = self.ends[self.known - 1] if self.known else 0
         need, count = int(start + lengths.sum()), self.known + len(ids)
@@ -72,9 +79,13 @@ class WordIds(dict):
         self.known, self.new = count, []
 
     def of(self, text: str) -> np.ndarray:
-        if self._whole.search(text):
+        if not text.encode("utf-8", "replace").translate(None, self._plain) and (text.isascii() or not self._odd.search(text)):
+            text = text.lower()
+            if not any(pair in text for pair in ("..", ",,", ".,", ",.")):
+                text = text.replace(".", " .").replace(",", " ,")
+        elif self._whole.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-        if not self._as_is.search(text):
+        elif not self._as_is.search(text):
             text = text.lower()
             if not self._joined.search(text):
                 text = text.replace(".", " .").replace(",", " ,")
