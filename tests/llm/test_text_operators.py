@@ -13,7 +13,7 @@ from vigilframe.llm.decontaminate import contamination
 from vigilframe.llm.licenses import scan
 from vigilframe.llm.neardup import near_duplicates, prefix_pairs
 from vigilframe.llm.pii import base_spans, personal_data
-from vigilframe.llm.quality import chi2_cdf, chi2_quantile, quality
+from vigilframe.llm.quality import TAIL, chi2_cdf, chi2_quantile, quality
 
 SF = "/root/testdata/sf0.001"
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -146,6 +146,27 @@ def test_quality_rejects_junk_and_keeps_clean_documents(shipped):
     assert share[1] >= 0.99 and share[0] <= 0.5
 
 
+def test_quality_rejects_most_junk_at_the_stated_rate(shipped):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (shipped.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality(docs).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k"))
+    share = {r.quality: r.k for r in got.collect()}
+    assert 1 - share[1] <= 2 * TAIL and share[0] <= 0.05
+
+
+def test_quality_rejects_single_faults(documents):
+    """Few symbols, mostly equal lines or many repeats are each enough; one symbol in a short text is not."""
+    clean = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i % 23)}rd" for i in range(200))
+    rows = documents.select(F.lit("en").alias("lang"), F.lit("s").alias("source"), "doc_id", "text")
+    bad = [
+        (90_001, clean.replace(" ", " # ", 40)), (90_002, "\n".join([clean] + [f"{clean[:30]}"] * 30)), (90_003, " ".join([clean, clean[:400]])),
+        (90_004, clean[:400] + " %"),
+    ]
+    extra = documents.sparkSession.createDataFrame([("en", "s", i, t) for i, t in bad], "lang string, source string, doc_id long, text string")
+    got = {r.doc_id: r for r in quality(rows.unionByName(extra)).where("doc_id > 90000 and not base_failed").collect()}
+    assert not got[90_001].kept and got[90_004].kept
+
+
 def test_chi_square():
     assert abs(chi2_quantile(0.95, 5) - 11.0705) < 1e-3 and abs(chi2_cdf(6.6257, 5) - 0.75) < 1e-4
 

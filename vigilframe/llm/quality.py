@@ -19,13 +19,18 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 # Statistics are whole thousandths, so sums over any partitioning are equal to the last digit.
 SCALE = 1000
-# Name and least standard deviation of each transformed statistic.
-FEATURES = (("f_length", 80), ("f_symbols", 70), ("f_lines", 150), ("f_repeats", 150), ("f_capitals", 80))
-# Share of the rows that the estimate concentrates on, rows that a group needs, and the chance of a larger distance
-# for a row of the estimated normal distribution.
+# Name of each transformed statistic, what it is a mean over, and how many of these one event counts: a repeat is a
+# 3-word window that stands twice. A mean over n has, square-rooted, a counting noise of sqrt(event / n) / 2 whatever
+# its size (a word's length varies by about half of its mean, so the logarithm of the mean length has it too).
+FEATURES = (
+    ("f_length", "n_words", 1), ("f_symbols", "word_chars", 1), ("f_lines", "n_lines", 1),
+    ("f_repeats", "n_words", 6), ("f_capitals", "n_letters", 1),
+)
+# Share of the rows that the estimate concentrates on, rows that a group needs, and the share of normal rows that may be
+# rejected.
 KEEP_SHARE = 0.75
 MIN_ROWS = 100
-TAIL = 1e-7
+TAIL = 1e-3
 STEPS = 5
 BINS_PER_E = 16
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals")
@@ -81,7 +86,7 @@ def _features() -> list[Column]:
         F.sqrt(_ratio("n_repeat_words", "n_words")),
         F.sqrt(_ratio("n_capitals", "n_letters")),
     )
-    return [F.round(v * SCALE).cast("long").alias(name) for v, (name, _) in zip(values, FEATURES)]
+    return [F.round(v * SCALE).cast("long").alias(name) for v, (name, *_) in zip(values, FEATURES)]
 
 
 def chi2_cdf(x: float, d: int) -> float:
@@ -106,8 +111,20 @@ def chi2_quantile(p: float, d: int) -> float:
     return high
 
 
-def _inverse(cell: str, n: int, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    least = np.array([s for _, s in FEATURES], float) ** 2
+def typical_sizes(rows: DataFrame) -> list[int]:
+    """Medians, over all rows, of what each statistic is a mean over."""
+    of = sorted({n for _, n, _ in FEATURES})
+    found = rows.agg(*[F.percentile_approx(n, 0.5, 10000).alias(n) for n in of]).first()
+    return [max(1, found[n] or 1) for _, n, _ in FEATURES]
+
+
+def least_deviations(typical: list[int]) -> list[float]:
+    """Counting noise of each statistic in a text of typical size; no estimate can be finer."""
+    return [SCALE / 2 * math.sqrt(event / n) for (_, _, event), n in zip(FEATURES, typical)]
+
+
+def _inverse(cell: str, n: int, mean: np.ndarray, cov: np.ndarray, least: list[float]) -> pd.DataFrame:
+    least = np.array(least, float) ** 2
     cov = cov + np.diag(np.maximum(least - np.diag(cov), 0))
     return pd.DataFrame({"cell": [cell], "n": [n], "mean": [mean.tolist()], "precision": [np.linalg.inv(cov).ravel().tolist()]})
 
@@ -115,13 +132,16 @@ def _inverse(cell: str, n: int, mean: np.ndarray, cov: np.ndarray) -> pd.DataFra
 _MODEL = "cell string, n long, mean array<double>, precision array<double>"
 
 
-def _start(group: pd.DataFrame) -> pd.DataFrame:
-    r = group.iloc[0]
-    spread = np.array([r[f"d_{name}"] for name, _ in FEATURES], float) * 1.4826
-    return _inverse(r["cell"], r["n"], np.array([r[f"m_{name}"] for name, _ in FEATURES], float), np.diag(spread**2))
+def _start(least: list[float]):
+    def start(group: pd.DataFrame) -> pd.DataFrame:
+        r = group.iloc[0]
+        spread = np.array([r[f"d_{name}"] for name, *_ in FEATURES], float) * 1.4826
+        return _inverse(r["cell"], r["n"], np.array([r[f"m_{name}"] for name, *_ in FEATURES], float), np.diag(spread**2), least)
+
+    return start
 
 
-def _concentrate(share: float | None):
+def _concentrate(share: float | None, least: list[float]):
     """Estimate from the nearest rows of a cell: a share of them, or those below the 97.5 % distance."""
     d = len(FEATURES)
     limit = chi2_quantile(0.975 if share is None else share, d)
@@ -142,14 +162,18 @@ def _concentrate(share: float | None):
         for i in range(d):
             for j in range(i, d):
                 cov[i, j] = cov[j, i] = int(chosen[f"s{i}_{j}"].sum()) / k - mean[i] * mean[j]
-        return _inverse(group["cell"].iloc[0], total, mean, cov * factor)
+        return _inverse(group["cell"].iloc[0], total, mean, cov * factor, least)
 
     return estimate
 
 
-def _distance() -> Column:
+def _distance(typical: list[int]) -> Column:
+    """Squared distance; a text of less than typical size has more noise, and its deviations count for less by it."""
     d = len(FEATURES)
-    off = [F.col(name) - F.col("mean")[i] for i, (name, _) in enumerate(FEATURES)]
+    off = [
+        (F.col(name) - F.col("mean")[i]) * F.sqrt(F.least(F.lit(1.0), F.col(n) / F.lit(float(typical[i]))))
+        for i, (name, n, _) in enumerate(FEATURES)
+    ]
     parts = [off[i] * off[j] * F.col("precision")[i * d + j] * (1 if i == j else 2) for i in range(d) for j in range(i, d)]
     total = parts[0]
     for p in parts[1:]:
@@ -157,15 +181,15 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def fit_outliers(rows: DataFrame) -> DataFrame:
-    """(cell, n, mean, precision) from rows of a cell and transformed statistics.
+def fit_outliers(rows: DataFrame, typical: list[int]) -> DataFrame:
+    """(cell, n, mean, precision) from rows of a cell, counts and transformed statistics.
 
     Starts at the median and median deviation of each statistic; each concentration step keeps the nearest 75 % of a
     cell's rows and estimates anew, and a last one keeps those within the 97.5 % distance. A step is one pass that adds
     up counts, sums and products per cell and distance bin before anything is shuffled, so a cell's size does not
     matter; choosing the bins and inverting the matrix is done per cell on its few bins.
     """
-    names = [n for n, _ in FEATURES]
+    names, least = [n for n, *_ in FEATURES], least_deviations(typical)
     middle = rows.groupBy("cell").agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 10000).alias(f"m_{c}") for c in names])
     middle = materialize(middle, "medians")
     spread = rows.join(small_side(middle), "cell").groupBy("cell").agg(
@@ -173,18 +197,18 @@ def fit_outliers(rows: DataFrame) -> DataFrame:
         *[F.first(f"m_{c}").alias(f"m_{c}") for c in names],
         *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 10000).alias(f"d_{c}") for c in names],
     )
-    model = materialize(spread.groupBy("cell").applyInPandas(_start, _MODEL), "model")
+    model = materialize(spread.groupBy("cell").applyInPandas(_start(least), _MODEL), "model")
     d = len(names)
     for step in range(STEPS + 1):
         near = rows.join(small_side(model.drop("n")), "cell")
-        near = near.withColumn("bin", F.floor(F.log(_distance() + 1e-6) * BINS_PER_E))
+        near = near.withColumn("bin", F.floor(F.log(_distance(typical) + 1e-6) * BINS_PER_E))
         sums = near.groupBy("cell", "bin").agg(
             F.count("*").alias("k"),
             *[F.sum(names[i]).alias(f"s{i}") for i in range(d)],
             *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)],
         )
         share = KEEP_SHARE if step < STEPS else None
-        model = materialize(sums.groupBy("cell").applyInPandas(_concentrate(share), _MODEL), "model")
+        model = materialize(sums.groupBy("cell").applyInPandas(_concentrate(share, least), _MODEL), "model")
     return model
 
 
@@ -194,7 +218,8 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     A document fails the base rules with fewer than 50 words, or if over half of its words lie in repeated 3-word
     windows. Of the others, the vector of transformed statistics (mean word length, symbols, equal lines, repeats,
     capitals) is compared with its language's and source's robust estimate; a squared Mahalanobis distance that a
-    normal row exceeds with a chance of 1e-7 rejects it. Groups of fewer than 100 rows are estimated together with
+    normal row exceeds with a chance of TAIL rejects it. No deviation is taken to be less than the counting noise of a
+    text of the rows' own median size. Groups of fewer than 100 rows are estimated together with
     the other such groups of their language, or, if those are few too, of all languages; if these are fewer than 100
     as well, nothing is rejected by distance.
 
@@ -232,10 +257,11 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
         same = F.col("r.lang").eqNullSafe(F.col("p.lang")) & F.col("r.source").eqNullSafe(F.col("p.source"))
         return rows.alias("r").join(small_side(placed).alias("p"), same, "left").select("r.*", "p.cell")
 
-    names = [n for n, _ in FEATURES]
-    model = fit_outliers(with_cell(fit).select("cell", *names))
+    typical = typical_sizes(fit)
+    sizes = sorted({n for _, n, _ in FEATURES})
+    model = fit_outliers(with_cell(fit).select("cell", *sizes, *[n for n, *_ in FEATURES]), typical)
     model = model.where(F.col("n") >= MIN_ROWS).drop("n")
-    judged = with_cell(counted).join(small_side(model), "cell", "left").withColumn("distance", _distance())
+    judged = with_cell(counted).join(small_side(model), "cell", "left").withColumn("distance", _distance(typical))
     limit = chi2_quantile(1 - TAIL, len(FEATURES))
     return judged.select(
         "doc_id", "text_hash", *_COUNTS[:5], "base_failed", "distance",
