@@ -115,3 +115,44 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilframe.llm.licenses import scan
 
     return scan(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op11_sharding")
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilframe.llm.sharding import assign
+
+    return assign(table(spark, sf_dir, "documents")).drop("key", "tie").withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+runs AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+words AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM runs GROUP BY 1),
+places AS (SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase
+           FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM runs, range(1, 6) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_ AS (SELECT DISTINCT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, a
+           FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS s FROM cand, range(2, 5) t(m) WHERE m < k)),
+keep AS (SELECT c.* FROM cand c WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a)),
+cuts AS (SELECT lang, phrase, a, cut, array_to_string(w[:cut], ' ') AS p, array_to_string(w[cut + 1:], ' ') AS q FROM (SELECT *, unnest(range(1, k)) AS cut FROM keep)),
+scored AS (SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, n.n, CAST((1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+           FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.p JOIN f r ON r.lang = c.lang AND r.phrase = c.q JOIN words n ON n.lang = c.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", COLLOCATIONS_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilframe.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilframe.llm.variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
