@@ -17,7 +17,6 @@ RANGE_BYTES = 1 << 30
 RANGE_ROWS = 1_000_000
 # Groups of rows with one key up to this share of a shard stay together.
 WHOLE = 0.005
-ROUNDS = 6
 _KEY = ("key", "doc_id", "tie")
 
 
@@ -55,9 +54,10 @@ def ranges(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     total, count = rows.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count("*")).first()
     limit = max(1.0, min(total / (shards * RANGES_PER_SHARD), float(RANGE_BYTES)))
     row_limit = min(RANGE_ROWS, max(1, count // (shards * RANGES_PER_SHARD)))
-    rows = rows.withColumn("m", F.col("w") / limit + F.lit(1.0 / row_limit)).withColumn("range", F.lit(0).cast("long"))
+    # A row of more than a range's weight counts as one range, so that it does not hide its neighbours from the sample.
+    rows = rows.withColumn("m", F.least(F.col("w") / limit, F.lit(1.0)) + F.lit(1.0 / row_limit)).withColumn("range", F.lit(0).cast("long"))
     was = None
-    for _ in range(ROUNDS):
+    for left in reversed(range(62 // FANOUT.bit_length())):  # numbers of ranges are paths and must fit 62 bits
         sizes = rows.groupBy("range").agg(
             F.sum("w").alias("weight"), F.count("*").alias("rows"), F.max("w").alias("largest"), F.sum("m").alias("measure")
         )
@@ -66,15 +66,14 @@ def ranges(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
         pieces = F.least(F.ceil(2 * F.col("measure")), F.lit(FANOUT)).cast("int")
         full = materialize(sizes.where(over).select("range", pieces.alias("pieces"), "measure"), "overfull")
         now = (sizes.count(), full.count())
-        if not now[1] or now == was:
-            break
+        if not now[1] or now == was or not left:
+            return rows, sizes.select("range", "weight", "rows")
         was = now
         bounds = materialize(splitters(rows, full), "splitters")
         bounds = small_side(bounds, 1_000_000 // FANOUT)
         part = F.coalesce(place_in(F.col("bounds"), F.struct(*_KEY)), F.lit(0))
         rows = rows.join(bounds, "range", "left").withColumn("range", F.col("range") * (FANOUT + 1) + part).drop("bounds")
         rows = materialize(rows, "ranged")
-    return rows, sizes.select("range", "weight", "rows")
 
 
 def assign(
