@@ -1,5 +1,7 @@
 """Mixing, token files, language, pages and audits."""
 
+import gzip
+import hashlib
 import html
 import re
 import zlib
@@ -10,12 +12,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vigilframe.config import shared_dir
-from vigilframe.llm import html_text, queries
+from vigilframe.llm import html_text, queries, warc
 from vigilframe.llm.curriculum import mix, source_targets
 from vigilframe.llm.html_pages import labelled_pages
 from vigilframe.llm.langid import identify
 from vigilframe.llm.tokens import SequenceReader, token_output, write_tokens
-from vigilframe.llm.warc import audit, fixity, read_warc, shards, write_warc
+from vigilframe.llm.warc import audit, fixity
 
 SF = "/root/testdata/sf0.001"
 
@@ -145,27 +147,55 @@ def test_viterbi_equals_all_paths():
 
 def test_audit_finds_damage(shipped):
     pages = shipped.read.parquet(f"{SF}/pages.parquet")
-    odd = pages.unionByName(shipped.createDataFrame([(None, None, None), (1, "u", ""), (2, "u", "WARC/1.0\r\n\r\nWARC/1.0\r\nx: 1\r\n\r\n")], pages.schema))
+    long = "".join(map(chr, np.random.default_rng(1).integers(33, 0x2FFF, 400_000)))
+    more = [(None, None, None), (1, "u", ""), (2, "u", "WARC/1.0\r\n\r\nWARC/1.0\r\nx: 1\r\n\r\n"), (9, "v", long)] + [(3, "u", "same")] * 50 + [(None, None, f"x{i}") for i in range(40)]
+    odd = pages.unionByName(shipped.createDataFrame(more, pages.schema)).withColumns({c: F.lit(1) for c in ("i", "u", "t", "file", "copies", "shard")})
     hurt = odd.withColumn("html", F.when(F.col("page_id") == 7, F.concat("html", F.lit("x"))).otherwise(F.col("html")))
     got = fixity(odd, hurt).toPandas()
     assert len(got) == odd.count()
     bad = got[got.status != "intact"]
-    assert 7 in set(bad.page_id) and (got[got.page_id == 7].status == "damaged").all()
+    assert set(bad.page_id) == {7} and (bad.status == "damaged").all()
+    record = warc.read_record(*bad.iloc[0][["file", "offset", "length"]])
+    assert record.startswith(b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:7>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n")
+    html_of = {r.page_id: r.html for r in pages.collect()}
+    assert record.endswith(b"\r\n\r\n" + html_of[7].encode() + b"\r\n\r\n") and hashlib.sha256(record).hexdigest() == bad.iloc[0].digest
+    lost = fixity(odd, odd.where("page_id is null or page_id <> 9")).toPandas()
+    assert (lost[lost.page_id == 9].status == "missing").all() and set(lost.status) <= {"intact", "missing", "damaged"}
     assert (fixity(odd, odd).toPandas().status == "intact").all()
     assert fixity(pages.where("false"), pages.where("false")).count() == 0
 
 
+def test_files_are_bounded_and_damage_on_disk_is_found(shipped, monkeypatch):
+    """A page longer than a file's bound ends a file; bytes changed on disk cost one record, cut files those behind the cut."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "CHUNK", 1000)
+    noise = "".join(map(chr, np.random.default_rng(2).integers(33, 0x2FFF, 60_000)))
+    rows = [(i, f"u{i}", f"page {i} " * (i % 40) + noise[i * 50 : i * 50 + 400]) for i in range(300)] + [(1000, "long", noise)]
+    folder = "file://" + shared_dir(shipped, "warc").removeprefix("file://")
+    index = warc.write_warc(shipped.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    at = index.toPandas().sort_values(["file", "offset"])
+    assert at.file.nunique() > 2 and len(at) == 301
+    for _, g in at.groupby("file"):
+        assert (g.offset.iloc[1:].to_numpy() == (g.offset + g.length).iloc[:-1].to_numpy()).all()
+        assert (g.offset < 20_000).all()
+    held = warc.read_back(index).toPandas()
+    assert sorted(held.digest) == sorted(at.digest)
+    file = at[at.page_id == "1000"].iloc[0].file
+    inside = at[(at.file == file) & (at.page_id != "1000")]
+    one, cut = inside.iloc[3], at[at.page_id == "1000"].iloc[0]
+    path = file.removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    data[one.offset + 2 : one.offset + one.length] = b"\x00" * (one.length - 2)
+    open(path, "wb").write(data[: cut.offset + 500])
+    now = warc.read_back(index).toPandas().merge(at, on="page_id")
+    assert set(now[now.digest_x != now.digest_y].page_id) == {one.page_id, "1000"}
+    joined = gzip.decompress(open(at.iloc[0].file.removeprefix("file://"), "rb").read()) if at.iloc[0].file != file else b"WARC/1.0"
+    assert joined.startswith(b"WARC/1.0")
+
+
 def test_audit_of_lost_and_added_records(shipped):
     rows = [("a", i, i * 10, 10, f"d{i}") for i in range(300)] + [("b", i, i * 10, 10, f"e{i}") for i in range(5)]
     make = lambda r: shipped.createDataFrame(r, "shard string, seq long, offset long, length long, digest string")
     changed = [r if r[:2] != ("a", 123) else (*r[:4], "bad") for r in rows if r[:2] != ("b", 4)] + [("c", 0, 0, 10, "new")]
     got = {(r.shard, r.seq, r.status) for r in audit(make(rows), make(changed)).collect()}
     assert got == {("a", 123, "damaged"), ("b", 4, "missing"), ("c", 0, "extra")}
-
-
-def test_warc_offsets(shipped):
-    folder = shared_dir(shipped, "warc")
-    write_warc(shipped.read.parquet(f"{SF}/pages.parquet"), folder, 2)
-    for _, g in shards(read_warc(shipped, folder)).toPandas().groupby("file"):
-        g = g.sort_values("seq")
-        assert (g.offset.iloc[1:].to_numpy() == (g.offset + g.length).iloc[:-1].to_numpy()).all()
