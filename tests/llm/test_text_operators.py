@@ -218,3 +218,37 @@ def test_licences_of_lines(shipped, odd):
         assert got[r.doc_id] == ",".join(sorted(f for f, m in marks.items() if m in (r.text or "")))
 
 
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 the authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice appear in all copies."""
+
+
+def test_licences_of_wrapped_dual_and_unseen_notices(documents):
+    texts = [
+        (90_001, MIT_TEXT), (90_002, BSD_TEXT), (90_003, ISC_TEXT),
+        (90_004, "This crate may be used under the MIT License or the Apache License, Version 2.0, at your choice."),
+        (90_005, "This work is licensed under the Quux Public License, version 2.0, as published by the Quux group."),
+        (None, "Released under the MIT License."),
+        (90_006, "The licence of the story was lost, and nobody in the village knew under the old oak who wrote it."),
+        (90_007, "This work is licensed under the GNU Affero General Public License, version 3."),
+    ]
+    extra = documents.sparkSession.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r for r in scan(documents.unionByName(extra, allowMissingColumns=True)).collect()}
+    families = {i: got[i].families for i, _ in texts}
+    assert families == {90_001: "mit", 90_002: "bsd", 90_003: "isc", 90_004: "apache,mit", 90_005: "", None: "mit", 90_006: "", 90_007: "agpl"}
+    assert got[90_005].n_unknown == 1 and got[90_006].n_unknown == 0 and got[90_001].n_paragraphs == 3
