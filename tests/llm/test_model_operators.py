@@ -133,6 +133,39 @@ def test_blocks():
     assert html_text.leaf_blocks("") == []
 
 
+def test_pages_without_end_tags():
+    """End tags of head, body and paragraphs may be left out; a head ends with the first thing that is not its own."""
+    page = "<html><head><meta charset=x><title>t</title><style>p{}</style>"
+    for rest in ("<body><p>one<p>two", "<p>one<p>two", "one<p>two", "<b>one</b><div>two"):
+        assert [b.text for b in html_text.leaf_blocks(page + rest)] == ["one", "two"]
+    assert [b.text for b in html_text.leaf_blocks("<head><script>x</script></head><p>a<!-- b <p>c")] == ["a"]
+    assert [(b.text, b.link_chars) for b in html_text.leaf_blocks("<p>a <a href=x>bc</a> d<p><a>e</p>f")] == [("a bc d", 2), ("e", 1), ("f", 0)]
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for piece in ("<div>", "<div class=x>w", "<center>", "<b>x", "<i><b>", "</p>", "<!", "<a ", "<a '\">", "<li>y", "<table><tr><td>z", "</script", "<p><a>", "&"):
+        html_text.leaf_blocks(piece * 100_000 + "<p>end")
+    html_text.leaf_blocks("".join(f"<div class=k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}>" for i in range(20_000)))
+    assert time.time() - began < 60
+
+
+def test_main_text_of_a_page_of_another_hand(shipped):
+    """A layout that no generator of this library draws."""
+    words = "the river ran past the mill, and the miller's two sons watched the boats go down to the sea until evening came."
+    page = (
+        "<!doctype html><html lang=en><head><meta charset=utf-8><title>River</title><link rel=stylesheet href=a.css>"
+        "<body class='layout wide'><div id=top-bar><a href=/>Home</a> <a href=/news>News</a> <a href=/about>About us</a></div>"
+        f"<main><article class=post><h1>The river</h1><p>{words.capitalize()}<p>{words.capitalize()} {words.capitalize()}</article></main>"
+        "<aside class=sidebar><ul><li><a href=/1>Most read</a><li><a href=/2>Subscribe</a></ul></aside>"
+        "<footer>Copyright © 2020. <a href=/terms>Terms</a> <a href=/privacy>Privacy</a></footer>"
+    )
+    got = html_text.extract_text(shipped.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
+    assert words.capitalize() in got.text and "Subscribe" not in got.text and "Terms" not in got.text and "Home" not in got.text
+
+
 def test_viterbi_equals_all_paths():
     import itertools
     import random

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import html
-import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -22,28 +22,58 @@ EPOCHS = 6
 RATE = 0.3
 SHRINK = 1e-4
 
-# Elements of HTML that do not end a block, that have no content, whose content is not text,
-# and that an opening block element ends.
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
-    "sub sup time tt u var wbr".split()
-)
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math head title select option textarea".split())
-RAW_TEXT = frozenset("script style title textarea iframe".split())
+# Elements of HTML that do not end a block, that have no content, whose content is not text, whose
+# content is not markup, and that a head holds.
+INLINE = frozenset((
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
+    "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+RAW = frozenset(("script", "style", "template", "noscript", "iframe", "object", "svg", "math", "head", "title", "select", "option", "textarea"))
+RAW_TEXT = frozenset(("script", "style", "title", "textarea", "iframe"))
+IN_HEAD = frozenset(("base", "head", "html", "link", "meta", "noscript", "script", "style", "template", "title"))
+# What an opening element ends, and the elements in which it ends nothing further out.
+ENDS = {"li": ("li", ("ul", "ol")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr",)), "th": ("th", ("tr",))}
+ENDS_PARAGRAPH = ("p", ("article", "section", "div", "td", "li", "body"))
+# Attributes have a bounded number of parts, so that stray quotes cost no more than that for each tag.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]{0,10000}+\"|'[^']{0,10000}+'|[^'\">]++){0,200}+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
+_OPEN_COMMENT = re.compile(r"<!--.*", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+@lru_cache(maxsize=1 << 16)
+def _slot(s: str) -> int:
+    h = 2166136261
+    for c in s.encode():
+        h = (h ^ c) * 16777619 & 0xFFFFFFFF
+    return h % WEIGHTS
+
+
+@dataclass(frozen=True)
+class Path:
+    """The ancestors of a block: slots of all their tags and name words, the two nearest marks, and how many they are."""
+
+    slots: frozenset[int] = frozenset()
+    near: tuple[str, ...] = ()
+    depth: int = 0
+
+    def child(self, mark: str) -> Path:
+        """The path one element further in; slots that are known already are shared, so depth alone costs nothing."""
+        tag, *words = mark.split(" ")
+        own = {_slot("t:" + tag), *(_slot("n:" + w) for w in words)}
+        slots = self.slots if own <= self.slots else self.slots | own
+        return Path(slots, (*self.near[-1:], mark), min(self.depth + 1, 8))
+
+
 @dataclass
 class Block:
     """A run of text between block borders: its ancestors' marks and how much of it is link text."""
 
-    path: tuple[str, ...]
+    path: Path
     text: str
     link_chars: int
 
@@ -51,95 +81,97 @@ class Block:
 @dataclass
 class _Open:
     name: str
-    mark: str
-    raw: bool = False
+    path: Path
+    links: int = 0
 
 
 @dataclass
 class _Tree:
-    """Open elements and the text gathered since the last block border."""
+    """Open block elements and the text gathered since the last block border. Every step takes constant time on average."""
 
-    open: list[_Open] = field(default_factory=list)
+    open: list[_Open] = field(default_factory=lambda: [_Open("", Path())])
+    places: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
-    path: tuple[str, ...] = ()
-    raw: bool = False
-    linked: bool = False
+    raw: int = 0
+    links: int = 0
 
     def text(self, raw: str) -> None:
+        if self.raw and self.open[-1].name == "head" and raw.strip():
+            self._pop_to(len(self.open) - 1)
         if self.raw:
             return
         said = html.unescape(raw) if "&" in raw else raw
         self.parts.append(said)
-        if self.linked:
+        if self.links:
             self.link_chars += len(said.strip())
 
-    def changed(self) -> None:
-        self.raw = any(o.raw for o in self.open)
-        self.linked = any(o.name == "a" for o in self.open)
-
     def border(self) -> None:
         if self.parts:
             words = "".join(self.parts).split()
             if words:
-                self.blocks.append(Block(self.path, " ".join(words), self.link_chars))
+                self.blocks.append(Block(self.open[-1].path, " ".join(words), self.link_chars))
             self.parts, self.link_chars = [], 0
-        self.path = tuple(o.mark for o in self.open if o.name not in INLINE)
+
+    def _pop_to(self, size: int) -> None:
+        while len(self.open) > size:
+            gone = self.open.pop()
+            self.places[gone.name].pop()
+            self.raw -= gone.name in RAW
+            self.links -= gone.links
+
+    def _nearest(self, name: str) -> int:
+        at = self.places.get(name)
+        return at[-1] if at else 0
 
     def start(self, name: str, attributes: str) -> None:
-        if name not in INLINE:
-            self.border()
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th") or name not in VOID:
-                self._end_implied(name)
+        if self.raw and name not in IN_HEAD and self._nearest("head"):
+            self._pop_to(self._nearest("head"))
+        if name == "a":
+            self.open[-1].links += 1
+            self.links += 1
+        if name in INLINE:
+            return
+        self.border()
+        ended, within = ENDS.get(name, ENDS_PARAGRAPH)
+        at = self._nearest(ended)
+        if at and all(at > self._nearest(x) for x in within if x != ended):
+            self._pop_to(at)
         if name not in VOID:
             mark = name
             if attributes.strip():
                 names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
                 mark = " ".join([name, *sorted({w.lower() for w in _WORD.findall(names)})])
-            self.open.append(_Open(name, mark, name in RAW))
-            self.changed()
-            if name not in INLINE:
-                self.path = tuple(o.mark for o in self.open if o.name not in INLINE)
-
-    def _end_implied(self, name: str) -> None:
-        closes = {"li": ("li", ("ul", "ol")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr",)), "th": ("th", ("tr",))}
-        wanted, stops = closes.get(name, ("p", ("article", "section", "div", "td", "li", "body")))
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].name == wanted:
-                del self.open[i:]
-                return
-            if self.open[i].name in stops:
-                return
+            self.places[name].append(len(self.open))
+            self.open.append(_Open(name, self.open[-1].path.child(mark)))
+            self.raw += name in RAW
 
     def end(self, name: str) -> None:
-        if name not in INLINE:
-            self.border()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].name == name:
-                if name in INLINE:
-                    del self.open[i]
-                else:
-                    del self.open[i:]
-                break
-            if name in INLINE and self.open[i].name not in INLINE:
-                break
-        self.changed()
-        if name not in INLINE:
-            self.path = tuple(o.mark for o in self.open if o.name not in INLINE)
+        if name == "a" and self.open[-1].links:
+            self.open[-1].links -= 1
+            self.links -= 1
+        if name in INLINE:
+            return
+        self.border()
+        if self._nearest(name):
+            self._pop_to(self._nearest(name))
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks in page order; scripts, styles, heads and other elements that are no text have none."""
     tree, at, n = _Tree(), 0, len(page)
+    last = page.rfind(">")
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at) if at <= last else _OPEN_COMMENT.search(page, at)
         if m is None:
             tree.text(page[at:])
             break
         if m.start() > at:
             tree.text(page[at : m.start()])
         at = m.end()
+        if m.re is _OPEN_COMMENT:
+            break
         name = m.group(2) or m.group(5)
         if name is None:
             continue
@@ -150,7 +182,7 @@ def leaf_blocks(page: str) -> list[Block]:
         attributes = m.group(3) or m.group(6) or ""
         if name in RAW_TEXT:
             tree.border()
-            close = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
+            close = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at) if at <= last else None
             at = close.end() if close else n
             continue
         tree.start(name, attributes)
@@ -160,26 +192,15 @@ def leaf_blocks(page: str) -> list[Block]:
     return tree.blocks
 
 
-@lru_cache(maxsize=1 << 16)
-def _slot(s: str) -> int:
-    h = 2166136261
-    for c in s.encode():
-        h = (h ^ c) * 16777619 & 0xFFFFFFFF
-    return h % WEIGHTS
-
-
-def path_features(path: tuple[str, ...]) -> list[int]:
+def path_features(path: Path) -> list[int]:
     """Slots of the tags and name words of all ancestors, and of those nearest to the text."""
-    found = set()
-    for i, mark in enumerate(path):
+    found = set(path.slots)
+    for mark in path.near:
         tag, *words = mark.split(" ")
-        found.add("t:" + tag)
-        found.update("n:" + w for w in words)
-        if i >= len(path) - 2:
-            found.add(f"p:{tag}")
-            found.update("q:" + w for w in words)
-    found.add(f"depth:{min(len(path), 8)}")
-    return [_slot(f) for f in sorted(found)]
+        found.add(_slot(f"p:{tag}"))
+        found.update(_slot("q:" + w) for w in words)
+    found.add(_slot(f"depth:{path.depth}"))
+    return sorted(found)
 
 
 def text_key(block: Block) -> tuple[int, ...]:
@@ -204,7 +225,7 @@ class ChainField:
     def __init__(self) -> None:
         self.weights = np.zeros(WEIGHTS)
         self.moves = np.zeros((2, 2))
-        self.paths: dict[tuple[str, ...], float] = {}
+        self.paths: dict[Path, float] = {}
         self.texts: dict[tuple[int, ...], float] = {}
 
     def score(self, block: Block) -> float:
@@ -280,14 +301,16 @@ def main_text(model: ChainField, page: str | None) -> str:
     return " ".join(b.text for b, y in zip(blocks, labels) if y)
 
 
-def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
-    """Main text of every page, by a field trained on labelled pages of many layouts and decoded by Viterbi.
+def extract_text(
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", train_pages: int = TRAIN_PAGES
+) -> DataFrame:
+    """Main text of every page, by a field trained on ``train_pages`` labelled pages of many layouts and decoded by Viterbi.
 
     Returns page_id, url, text, n_chars, a row per row of ``pages``. Null and empty pages, and pages of which no block
     is main text, have an empty text. Markup that never ends is text. Blocks are kept or left out whole, whatever their
     length. Repeated rows get equal texts. Other columns are not read.
     """
-    model = train(labelled_pages(TRAIN_PAGES))
+    model = train(labelled_pages(train_pages))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
