@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vigilframe.catalog.registry import query
-from vigilframe.catalog.views import REC, count_window_sql, r6, records
+from vigilframe.catalog.calibration import _FUSED, score_table
+from vigilframe.catalog.monitoring import uav_detections
+from vigilframe.catalog.registry import SQL, query
+from vigilframe.catalog.views import REC, VECTOR_CLASSES, count_window_sql, r6, records, vectors
 from vigilframe.catalog.windows import _adaptive_sql
-from vigilframe.config import shared_dir
+from vigilframe.config import materialize, shared_dir
+from vigilframe.functions.fixed import SCORE_NAMES
+from vigilframe.operators import calibrate as K
+from vigilframe.operators import scoring as G
 from vigilframe.operators import windows as W
 from vigilframe.streaming import jobs as J
+from vigilframe.streaming.detection import FusedDetectionBatches, save_snapshot
 from vigilframe.streaming.micro_batch import CountWindowBatches
+from vigilframe.streaming.state_tables import ScoreDiagnosticsBatches, WarmupBatches
 from vigilframe.streaming.records import file_stream, run_to_table, state_partitions, stream_key
 
 ORDER = ["ts_us", "record_id"]
@@ -18,24 +26,39 @@ ORDER = ["ts_us", "record_id"]
 CUTS = [1704067200000000 + d * 86400000000 for d in (9, 18)]
 
 
+# files of a slice, read as one micro-batch
+FILES = 4
+
+
+def write_slices(parts, root):
+    """A folder per arrival slice, oldest first; rows lie in the files in no order."""
+    for i, part in enumerate(parts):
+        part.repartition(FILES).write.parquet(f"{root}/slice={i}")
+
+
 def record_files(spark, sf, root):
     """The record view as one folder per arrival slice."""
     r = records(spark, sf)
     edges = [None, *CUTS, None]
-    for i in range(len(edges) - 1):
-        part = r
-        if edges[i] is not None:
-            part = part.where(F.col("ts_us") >= edges[i])
-        if edges[i + 1] is not None:
-            part = part.where(F.col("ts_us") < edges[i + 1])
-        part.coalesce(1).write.parquet(f"{root}/slice={i}")
+    parts = []
+    for low, high in zip(edges, edges[1:]):
+        part = r if low is None else r.where(F.col("ts_us") >= low)
+        parts.append(part if high is None else part.where(F.col("ts_us") < high))
+    write_slices(parts, root)
     return r.schema
 
 
 def record_stream(spark, sf, name):
     root = shared_dir(spark, name)
     schema = record_files(spark, sf, f"{root}/in")
-    return root, file_stream(spark, f"{root}/in/*", schema, files_per_trigger=1)
+    return root, file_stream(spark, f"{root}/in/*", schema, files_per_trigger=FILES)
+
+
+def _sink(root, stream, sink):
+    """Run a ``foreachBatch`` sink over everything available and read its output."""
+    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{sink.root}/out")
 
 
 def _run(root, stream):
@@ -56,22 +79,30 @@ _W2 = (
 @query("st01_stream_count_windows", _W2)
 def stream_count_windows(spark, sf):
     root, s = record_stream(spark, sf, "st01")
-    return _windows(_run(root, J.count_windows(s, stream_key("grp"), 8, 4)))
+    out = _sink(root, s, CountWindowBatches(f"{root}/state", "grp", ORDER, 8, 4))
+    return out.select("grp", "window_idx", "window_pos", "record_id")
 
 
 @query("st01_stream_adaptive_windows", _adaptive_sql(True))
 def stream_adaptive_windows(spark, sf):
     root, s = record_stream(spark, sf, "st01a")
-    return _windows(_run(root, J.adaptive_windows(s, stream_key("grp"), 8, 4, 4, 32)))
+    out = _sink(root, s, CountWindowBatches(f"{root}/state", "grp", ORDER, 8, 4, adaptive=(4, 32)))
+    return out.select("grp", "window_idx", "window_pos", "record_id")
 
 
 @query("st01_micro_batch_count_windows", _W2)
 def micro_batch_count_windows(spark, sf):
+    """With forced ranges, as large tables take them."""
     root, s = record_stream(spark, sf, "st01m")
-    sink = CountWindowBatches(f"{root}/state", "grp", ORDER, 8, 4)
-    q = s.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/state/out").select("grp", "window_idx", "window_pos", "record_id")
+    out = _sink(root, s, CountWindowBatches(f"{root}/state", "grp", ORDER, 8, 4, buckets=8))
+    return out.select("grp", "window_idx", "window_pos", "record_id")
+
+
+@query("st01_keyed_state_count_windows", _W2)
+def keyed_state_count_windows(spark, sf):
+    """The same windows from a state machine per key."""
+    root, s = record_stream(spark, sf, "st01k")
+    return _windows(_run(root, J.count_windows(s, stream_key("grp"), 8, 4)))
 
 
 _W3 = f"""WITH {REC}, b AS (SELECT grp, min(ts_us) AS t0, max(ts_us) AS t1 FROM rec GROUP BY grp),
@@ -113,9 +144,8 @@ def late_records(spark, sf):
     """The oldest slice arrives last: its records precede every open window."""
     root = shared_dir(spark, "st03")
     r = records(spark, sf)
-    r.where(F.col("ts_us") >= CUTS[0]).coalesce(1).write.parquet(f"{root}/in/slice=0")
-    r.where(F.col("ts_us") < CUTS[0]).coalesce(1).write.parquet(f"{root}/in/slice=1")
-    s = file_stream(spark, f"{root}/in/*", r.schema, files_per_trigger=1)
+    write_slices([r.where(F.col("ts_us") >= CUTS[0]), r.where(F.col("ts_us") < CUTS[0])], f"{root}/in")
+    s = file_stream(spark, f"{root}/in/*", r.schema, files_per_trigger=FILES)
     out = _run(root, J.time_windows(s, stream_key("grp"), DAY, 8))
     return out.where("kind = 'late'").groupBy(F.col("key").cast("long").alias("grp")).agg(F.count(F.lit(1)).alias("late"))
 
@@ -129,7 +159,7 @@ def late_records(spark, sf):
 def global_stream_key(spark, sf):
     root, s = record_stream(spark, sf, "st04")
     keyed = s.withColumn("g", F.when(F.col("k") >= 50, F.col("grp").cast("string")).otherwise(" "))
-    out = _run(root, J.count_windows(keyed, stream_key("g"), 8, 8))
+    out = _sink(root, keyed.withColumn("key", stream_key("g")), CountWindowBatches(f"{root}/state", "key", ORDER, 8, 8))
     return out.groupBy("key").agg(F.count_distinct("window_idx").alias("windows"))
 
 
@@ -171,18 +201,23 @@ def _warm_out(df):
     )
 
 
-def _warm_stream(spark, sf, name, mode):
+def _warm_stream(spark, sf, name):
     root = shared_dir(spark, name)
     w = warm_windows(spark, sf)
-    for i, cond in enumerate((F.col("window_idx") < 5, F.col("window_idx").between(5, 9), F.col("window_idx") > 9)):
-        w.where(cond).coalesce(1).write.parquet(f"{root}/in/slice={i}")
-    s = file_stream(spark, f"{root}/in/*", w.schema, files_per_trigger=1)
-    return _warm_out(_run(root, J.warmup_thresholds(s, mode)))
+    write_slices([w.where(c) for c in (F.col("window_idx") < 5, F.col("window_idx").between(5, 9), F.col("window_idx") > 9)], f"{root}/in")
+    return root, file_stream(spark, f"{root}/in/*", w.schema, files_per_trigger=FILES)
 
 
 @query("st05_warmup_stream", _warm_sql("normalized"))
 def warmup_stream(spark, sf):
-    return _warm_stream(spark, sf, "st05", "normalized")
+    root, s = _warm_stream(spark, sf, "st05")
+    return _warm_out(_run(root, J.warmup_thresholds(s, "normalized")))
+
+
+@query("st05_warmup_state_tables", _warm_sql("normalized"))
+def warmup_state_tables(spark, sf):
+    root, s = _warm_stream(spark, sf, "st05t")
+    return _warm_out(_sink(root, s, WarmupBatches(f"{root}/state")))
 
 
 @query("st05_warmup_batch", _warm_sql("normalized"))
@@ -192,7 +227,14 @@ def warmup_batch(spark, sf):
 
 @query("st06_raw_score_selection", _warm_sql("raw"))
 def raw_score_selection(spark, sf):
-    return _warm_stream(spark, sf, "st06", "raw")
+    root, s = _warm_stream(spark, sf, "st06")
+    return _warm_out(_run(root, J.warmup_thresholds(s, "raw")))
+
+
+@query("st06_raw_state_tables", _warm_sql("raw"))
+def raw_state_tables(spark, sf):
+    root, s = _warm_stream(spark, sf, "st06t")
+    return _warm_out(_sink(root, s, WarmupBatches(f"{root}/state", "raw")))
 
 
 def mean_score(x):
@@ -226,6 +268,58 @@ def online_detection(spark, sf):
     )
 
 
+# windows of four vectors per group, scored against the model of the known classes' single vectors
+_FUSED_ROWS = _FUSED + """,
+pv AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY vec_id) - 1 AS p, count(*) OVER (PARTITION BY grp) AS n FROM vec),
+wm AS (SELECT grp, CAST(p // 4 AS BIGINT) AS window_idx, count(*) FILTER (label >= 6) AS attack_records, bool_or(truth_ood) AS truth_ood FROM pv
+  WHERE (p // 4) * 4 + 4 <= n GROUP BY ALL),
+wl AS (SELECT grp, window_idx, i, avg(x) AS m FROM (SELECT grp, CAST(p // 4 AS BIGINT) AS window_idx, unnest(v) AS x,
+  generate_subscripts(v, 1) AS i FROM pv WHERE (p // 4) * 4 + 4 <= n) GROUP BY ALL),
+wv AS (SELECT grp, window_idx, list(m ORDER BY i) AS v FROM wl GROUP BY ALL),
+wz AS (SELECT grp, window_idx, 4.0 * list_dot_product(v, mu) AS z, list_distance(v, mu) AS dist FROM wv, proto),
+wb AS (SELECT grp, window_idx, 1 - max(1 / (1 + exp(-z))) AS conf, -(max(z) + ln(sum(exp(z - zm)))) AS energy, min(dist) AS proto
+  FROM (SELECT *, max(z) OVER (PARTITION BY grp, window_idx) AS zm FROM wz) GROUP BY ALL),
+wk AS (SELECT grp, window_idx, -avg(s) AS knn FROM (SELECT a.grp, a.window_idx, list_cosine_similarity(a.v, b.v) AS s,
+  row_number() OVER (PARTITION BY a.grp, a.window_idx ORDER BY list_cosine_similarity(a.v, b.v) DESC) AS rn FROM wv a, vec b WHERE b.label < 8)
+  WHERE rn <= 5 GROUP BY ALL),
+wr AS (SELECT wb.*, knn, attack_records, truth_ood, attack_records = 0 AND NOT truth_ood AS benign, """ + ", ".join(
+    f"({n} - m_{n}) / i_{n} AS n_{n}" for n in SCORE_NAMES
+) + """ FROM wb JOIN wk USING (grp, window_idx) JOIN wm USING (grp, window_idx), rs),
+wf AS (SELECT *, (n_conf + n_energy + n_proto + n_knn) / 4 AS fused, (conf + energy + proto + knn) / 4 AS raw_score FROM wr),
+we AS (SELECT grp, min(window_idx) FILTER (NOT benign) AS fz FROM wf GROUP BY 1),
+ws AS (SELECT grp, quantile_cont(raw_score, 0.5) AS md, greatest(quantile_cont(raw_score, 0.75) - quantile_cont(raw_score, 0.25), 1e-6) AS iq
+  FROM wf JOIN we USING (grp) WHERE window_idx < fz GROUP BY 1)
+SELECT CAST(wf.grp AS VARCHAR) AS key, window_idx, round(conf, 5) AS conf, round(energy, 5) AS energy, round(proto, 5) AS proto, round(knn, 5) AS knn,
+  round(fused, 3) AS fused, CASE greatest(n_conf, n_energy, n_proto, n_knn) WHEN n_conf THEN 'conf' WHEN n_energy THEN 'energy'
+    WHEN n_proto THEN 'proto' ELSE 'knn' END AS dominant_source,
+  fz IS NULL OR window_idx < fz AS collecting, CASE WHEN truth_ood THEN 'ood' WHEN attack_records > 0 THEN 'attack' ELSE 'benign' END AS window_partition,
+  CASE WHEN fz IS NULL OR window_idx < fz THEN 'warmup_collecting' WHEN md IS NULL THEN 'normalized_static_no_warmup' ELSE 'normalized_static' END
+    AS threshold_source, CASE WHEN NOT (fz IS NULL OR window_idx < fz) THEN round(CASE WHEN md IS NULL THEN fused ELSE (raw_score - md) / iq END, 2) END AS score
+FROM wf JOIN we USING (grp) LEFT JOIN ws USING (grp)"""
+
+
+@query("st07_fused_rows", f"WITH {_FUSED_ROWS}")
+def fused_rows(spark, sf):
+    root = shared_dir(spark, "st07f")
+    v = vectors(spark, sf)
+    known = v.where(F.col("label") < 8)
+    model = G.fit_prototypes(known, "vec", F.array("label"), VECTOR_CLASSES, precision=False, scale=4.0)
+    cal = K.fit_calibration(materialize(score_table(spark, sf).where(~F.col("truth_ood")), "scores"), "mean")
+    save_snapshot(spark, f"{root}/models", 1, model, cal, known)
+    third = F.ntile(3).over(Window.partitionBy("grp").orderBy("vec_id"))
+    sliced = materialize(v.withColumn("slice", third), "slices")
+    write_slices([sliced.where(F.col("slice") == i).drop("slice") for i in (1, 2, 3)], f"{root}/in")
+    stream = file_stream(spark, f"{root}/in/*", v.schema, files_per_trigger=FILES)
+    sink = FusedDetectionBatches(
+        f"{root}/state", f"{root}/models", "grp", ["vec_id"], 4, 4, "vec", "vec_id", benign=F.col("label") < 6, ood=F.col("truth_ood")
+    )
+    out = _sink(root, stream, sink)
+    return out.select(
+        "key", "window_idx", *[F.round(n, 5).alias(n) for n in SCORE_NAMES], F.round("fused", 3).alias("fused"), "dominant_source", "collecting",
+        "window_partition", "threshold_source", F.round("score", 2).alias("score"),
+    )
+
+
 @query(
     "st08_degenerate_windows",
     f"""WITH {REC}, d AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ts_us, record_id) - 1 AS p,
@@ -268,7 +362,8 @@ def ground_truth(spark, sf):
 def split_keyed_replay(spark, sf):
     root, s = record_stream(spark, sf, "st10")
     split = F.when(F.col("label") == "error", "test_ood").otherwise("test_id")
-    out = _run(root, J.count_windows(s, F.concat_ws(":", split, F.col("grp").cast("string")), 4, 4))
+    keyed = s.withColumn("key", F.concat_ws(":", split, F.col("grp").cast("string")))
+    out = _sink(root, keyed, CountWindowBatches(f"{root}/state", "key", ORDER, 4, 4))
     return out.select("key", "window_idx", "window_pos", "record_id")
 
 
@@ -294,3 +389,17 @@ def continuous_drift(spark, sf):
     rows = spark.read.parquet(f"{root}/out")
     last = rows.groupBy("grp").agg(F.max_by(F.struct("rows", "mean", "std", "zero_ratio"), "epoch").alias("r")).select("grp", "r.*")
     return last.select("grp", "rows", F.round("mean", 8).alias("mean"), F.round("std", 5).alias("std"), r6("zero_ratio").alias("zero_ratio"))
+
+
+@query("st11_score_diagnostics", SQL["a50_score_diagnostics"])
+def stream_score_diagnostics(spark, sf):
+    """The last update of each group equals the batch table."""
+    root = shared_dir(spark, "st11s")
+    d = uav_detections(spark, sf).select("grp", "ts_us", "raw_ood_score", "ood_score", "label", "k")
+    write_slices([d.where(F.col("ts_us") < CUTS[0]), d.where((F.col("ts_us") >= CUTS[0]) & (F.col("ts_us") < CUTS[1])), d.where(F.col("ts_us") >= CUTS[1])], f"{root}/in")
+    s = file_stream(spark, f"{root}/in/*", d.schema, files_per_trigger=FILES)
+    sink = ScoreDiagnosticsBatches(f"{root}/state", "grp", "raw_ood_score", "ood_score", F.col("label") == "view", F.col("k") == 0)
+    rows = _sink(root, s, sink)
+    names = [c for c in rows.columns if c not in ("grp", "epoch")]
+    last = rows.groupBy("grp").agg(F.max_by(F.struct(*names), "epoch").alias("r")).select("grp", "r.*")
+    return last.select(*[r6(c).alias(c) if t == "double" else c for c, t in last.dtypes])

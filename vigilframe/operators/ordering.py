@@ -207,20 +207,27 @@ def quantiles(
         .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    counts = settle(counts, True, n)
-    cum = running_sums(counts, keys, ["__v"], {"__upto": "__c"}, buckets=n)
-    totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    picked = counted_quantiles(settle(counts, True, n), keys, "__v", "__c", probs, buckets=n)
+    if keys:  # a key without a value keeps its row
+        picked = _null_safe(df.select(*keys).distinct(), picked, keys)
+    return picked
+
+
+def counted_quantiles(
+    counts: DataFrame, keys: Sequence[str], value: str, count: str, probs: dict[str, float], buckets: int | None = None
+) -> DataFrame:
+    """The same quantiles from different values and how often each stands."""
+    cum = running_sums(counts, keys, [value], {"__upto": count}, buckets=buckets)
+    totals = counts.groupBy(*keys).agg(F.sum(count).alias("__n"))
     joined = _null_safe(cum, totals, keys) if keys else cum.join(F.broadcast(totals))
-    start = F.col("__upto") - F.col("__c")
+    start = F.col("__upto") - F.col(count)
     aggs = []
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("__n") - 1)
         for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            aggs.append(F.max(F.when((start <= rank) & (rank < F.col("__upto")), F.col("__v"))).alias(f"{name}__{side}"))
+            aggs.append(F.max(F.when((start <= rank) & (rank < F.col("__upto")), F.col(value))).alias(f"{name}__{side}"))
         aggs.append(F.max(at - F.floor(at)).alias(f"{name}__frac"))
     picked = joined.groupBy(*keys).agg(*aggs)
-    if keys:  # a key without a value keeps its row
-        picked = _null_safe(df.select(*keys).distinct(), picked, keys)
     return picked.select(
         *keys,
         *[

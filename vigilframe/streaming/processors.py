@@ -10,6 +10,7 @@ input limit bounds how many that are. Where one key dominates, use
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -144,27 +145,75 @@ WARMUP_SCHEMA = (
 )
 
 
+class CountedScores:
+    """Different scores with their counts, in sorted blocks whose totals give ranks without a walk over all scores."""
+
+    BLOCK = 256
+
+    def __init__(self, counts: Iterator[tuple[float, int]] = ()):
+        held = sorted(counts)
+        self.blocks = [[[v for v, _ in part], [n for _, n in part]] for i in range(0, len(held), self.BLOCK) if (part := held[i : i + self.BLOCK])]
+        self.totals = [sum(b[1]) for b in self.blocks]
+        self.changed: dict[float, int] = {}
+
+    def __len__(self) -> int:
+        return sum(self.totals)
+
+    def add(self, score: float) -> None:
+        if not self.blocks:
+            self.blocks, self.totals = [[[], []]], [0]
+        at = max(bisect.bisect_right(self.blocks, score, key=lambda b: b[0][0] if b[0] else score) - 1, 0)
+        values, counts = self.blocks[at]
+        i = bisect.bisect_left(values, score)
+        if i < len(values) and values[i] == score:
+            counts[i] += 1
+        else:
+            values.insert(i, score)
+            counts.insert(i, 1)
+        self.totals[at] += 1
+        self.changed[score] = counts[i]
+        if len(values) > 2 * self.BLOCK:
+            half = len(values) // 2
+            self.blocks[at : at + 1] = [[values[:half], counts[:half]], [values[half:], counts[half:]]]
+            self.totals[at : at + 1] = [sum(counts[:half]), sum(counts[half:])]
+
+    def _at(self, rank: int) -> float:
+        for (values, counts), total in zip(self.blocks, self.totals):
+            if rank < total:
+                for v, n in zip(values, counts):
+                    if rank < n:
+                        return v
+                    rank -= n
+            rank -= total
+        raise IndexError(rank)
+
+    def quantile(self, p: float) -> float:
+        at = p * (len(self) - 1)
+        low, high = self._at(math.floor(at)), self._at(math.ceil(at))
+        return low + (high - low) * (at - math.floor(at))
+
+
 class WarmupState:
     """COLLECTING until the first non-benign window, then FROZEN."""
 
-    def __init__(self, scores: list[float], frozen: tuple | None, mode: str, q: float, static: float, eps: float):
-        self.scores, self.frozen = sorted(scores), frozen
+    def __init__(self, scores: Iterator[tuple[float, int]], frozen: tuple | None, mode: str, q: float, static: float, eps: float):
+        self.scores, self.frozen = CountedScores(scores), frozen
         self.mode, self.q, self.static, self.eps = mode, q, static, eps
 
     def stats(self) -> tuple[float, float, float] | None:
-        if not self.scores:
+        if not len(self.scores):
             return None
-        q25, q50, q75, top = np.quantile(np.asarray(self.scores), [0.25, 0.5, 0.75, self.q])
-        return float(q50), float(max(q75 - q25, self.eps)), float(top)
+        q25, q50, q75, top = (self.scores.quantile(p) for p in (0.25, 0.5, 0.75, self.q))
+        return q50, max(q75 - q25, self.eps), top
 
     def step(self, raw: float, calibrated: float, benign: bool) -> dict:
         if self.frozen is None:
             if benign:
-                bisect.insort(self.scores, raw)
+                self.scores.add(raw)
             else:
                 s = self.stats()
                 self.frozen = (s is not None, *(s or (None, None, None)))
-                self.scores = []
+                self.scores = CountedScores()
         if self.frozen is not None:
             known, med, iqr, top = self.frozen
             stats = (med, iqr, top) if known else None
@@ -191,34 +240,51 @@ class WarmupState:
         }
 
 
+class WarmupStore:
+    """A key's warm-up in the state store: a map of different scores to counts until it is frozen, then four numbers.
+
+    Only counts that a batch changed are written. With ``idle_ms`` the state of a key that had no window for so long
+    expires, and the key starts anew; the stream then needs the time mode ``ProcessingTime``.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, idle_ms: int | None = None):
+        self.counts = handle.getMapState("scores", "s double", "n long", ttlDurationMs=idle_ms)
+        self.frozen = handle.getValueState("frozen", "known boolean, med double, iqr double, top double", ttlDurationMs=idle_ms)
+
+    def load(self, args: tuple) -> WarmupState:
+        frozen = tuple(self.frozen.get()) if self.frozen.exists() else None
+        held = [(k[0], v[0]) for k, v in self.counts.iterator()] if frozen is None and self.counts.exists() else []
+        return WarmupState(held, frozen, *args)
+
+    def save(self, state: WarmupState) -> None:
+        if state.frozen is None:
+            for score, n in state.scores.changed.items():
+                self.counts.updateValue((score,), (n,))
+            return
+        if not self.frozen.exists() and self.counts.exists():
+            self.counts.clear()
+        self.frozen.update(state.frozen)
+
+
 class WarmupThresholds(StatefulProcessor):
     """Benign warm-up thresholding over the windows of each key, in window order."""
 
-    def __init__(self, mode: str = "normalized", q: float = 0.95, static: float = 1.5, eps: float = 1e-6):
-        self.args = (mode, q, static, eps)
+    def __init__(self, mode: str = "normalized", q: float = 0.95, static: float = 1.5, eps: float = 1e-6, idle_ms: int | None = None):
+        self.args, self.idle_ms = (mode, q, static, eps), idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.scores = handle.getListState("scores", "s double")
-        self.frozen = handle.getValueState("frozen", "known boolean, med double, iqr double, top double")
+        self.store = WarmupStore(handle, self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frames = [r for r in rows if len(r)]
         if not frames:
             return
         pdf = pd.concat(frames).sort_values("window_idx", kind="stable")
-        frozen = tuple(self.frozen.get()) if self.frozen.exists() else None
-        held = [r[0] for r in self.scores.get()] if frozen is None and self.scores.exists() else []
-        state = WarmupState(held, frozen, *self.args)
+        state = self.store.load(self.args)
         out = []
         for idx, raw, cal, benign in pdf[["window_idx", "raw_score", "calibrated", "benign"]].itertuples(index=False, name=None):
             out.append({"key": key[0], "window_idx": int(idx), **state.step(float(raw), float(cal), bool(benign))})
-        if state.frozen is not None:
-            if frozen is None:
-                self.frozen.update(state.frozen)
-                if self.scores.exists():
-                    self.scores.clear()
-        elif state.scores:
-            self.scores.put([(s,) for s in state.scores])
+        self.store.save(state)
         yield pd.DataFrame(out)
 
     def close(self) -> None:
@@ -243,8 +309,7 @@ class OnlineDetector(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.buffer = handle.getListState("buffer", BUFFER_SCHEMA)
         self.place = handle.getValueState("place", "offset long, next_start long")
-        self.scores = handle.getListState("scores", "s double")
-        self.frozen = handle.getValueState("frozen", "known boolean, med double, iqr double, top double")
+        self.store = WarmupStore(handle)
 
     def _row(self, key: str, idx: int, recs: list[tuple], state: WarmupState) -> dict:
         labels = sorted({r[2] for r in recs if r[2]})
@@ -279,9 +344,7 @@ class OnlineDetector(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         buf = [tuple(r) for r in self.buffer.get()] if self.buffer.exists() else []
         offset, start = self.place.get() if self.place.exists() else (0, 0)
-        frozen = tuple(self.frozen.get()) if self.frozen.exists() else None
-        held = [r[0] for r in self.scores.get()] if frozen is None and self.scores.exists() else []
-        state = WarmupState(held, frozen, "normalized", 0.95, self.static, 1e-6)
+        state = self.store.load(("normalized", 0.95, self.static, 1e-6))
         buf += _ordered(rows)
         out = []
         while start - offset + self.size <= len(buf):
@@ -295,12 +358,7 @@ class OnlineDetector(StatefulProcessor):
         elif self.buffer.exists():
             self.buffer.clear()
         self.place.update((offset, start))
-        if state.frozen is not None and frozen is None:
-            self.frozen.update(state.frozen)
-            if self.scores.exists():
-                self.scores.clear()
-        elif state.frozen is None and state.scores:
-            self.scores.put([(s,) for s in state.scores])
+        self.store.save(state)
         if out:
             yield pd.DataFrame(out)
 
