@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vigilframe.llm import queries as Q
 from vigilframe.llm.decontaminate import contamination
 from vigilframe.llm.licenses import scan
+from vigilframe.llm import neardup
 from vigilframe.llm.neardup import near_duplicates, prefix_pairs
 from vigilframe.llm.pii import base_spans, personal_data
 from vigilframe.llm.quality import TAIL, chi2_cdf, chi2_quantile, quality
@@ -116,6 +117,35 @@ def test_prefix_join_finds_every_similar_pair(shipped):
     assert want and want <= got
 
 
+def test_repeated_rows_where_hubs_settle_nothing(shipped, monkeypatch):
+    """All links come from the prefix join; ids repeat, with equal and with other texts of the same size."""
+    import random
+
+    r, rows = random.Random(8), []
+    for g in range(6):
+        base = [f"a{g}x{i}" for i in range(60)]
+        for k in range(5):
+            words = list(base)
+            words[r.randrange(60)] = f"n{g}{k}"
+            rows += [(10 * g + k, " ".join(words))] * r.choice([1, 6, 40])
+        rows.append((10 * g, " ".join(reversed(base))))
+    hubs, calls = neardup._linked, []
+    monkeypatch.setattr(neardup, "_linked", lambda p, s: hubs(p.where("false") if len(calls) < 2 else p, s) if calls.append(1) is None else None)
+    monkeypatch.setattr(neardup, "PAIRS_PER_PART", 2)
+    calls.extend([])
+    got = near_duplicates(shipped.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == _components(rows)[0]
+
+
+def test_recall_of_near_copies(shipped):
+    """All pairs of sf0.01 by an inverted index of shingles, against the components."""
+    docs = shipped.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    component, _ = _components(rows)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert got == component
+
+
 def _counts(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)

@@ -11,7 +11,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 SPACES = r"[\x20\x09-\x0D]+"
 # A side of a join is handed to every executor only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 20_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -60,7 +60,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge table (a, b); the component is its smallest node.
 
     Each round takes the smallest label around a node and then the label of that label, so long chains halve. Labels
-    are broadcast while they are counted to be few, so that a round is one grouped minimum; else they are joined by shuffle.
+    are joined by shuffle, but for a number that is no burden to anybody.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
     both = both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other")))

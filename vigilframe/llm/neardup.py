@@ -22,6 +22,8 @@ SHIFT = 0x1E3779B97F4A7C15 % DOMAIN
 PERCENT = 80
 # Shingles permuted at once; a document is never cut.
 BLOCK = 1 << 16
+# Pairs of one document that one task compares.
+PAIRS_PER_PART = 200
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -103,39 +105,47 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     return base.mapInArrow(sign, "doc_id long, digest string, n_shingles long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, node: str, text: str, size: int) -> DataFrame:
-    """(node, s): the full set of each text."""
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, digest, k, s): the full set of each text, from (node, digest, k, t) rows."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, sets in _blocks(batches, size):
+        for ids, others, sets in _blocks(batches, size):
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = pa.array(np.concatenate(sets).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["node", "s"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([o["digest"] for o in others], pa.string()), pa.array([o["k"] for o in others], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                ["node", "digest", "k", "s"],
+            )
 
-    base = docs.select(F.col(node).cast("long").alias("node"), F.lit("").alias("d"), F.col(text).cast("binary").alias("t"))
-    return base.mapInArrow(collect, "node long, s array<long>")
+    base = texts.select(F.col("node").cast("long").alias("node"), F.struct("digest", "k").alias("o"), F.col("t").cast("binary").alias("t"))
+    return base.mapInArrow(collect, "node long, digest string, k long, s array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
+    """Those of the pairs (a, b) whose full sets are similar enough. A ``b`` of many pairs is joined in parts."""
+    counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_PER_PART).cast("int").alias("parts")).where("parts > 1")
+    counts = materialize(counts, "parts")
+    dealt = pairs.join(small_side(counts), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).alias("part"))
     left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb")).join(small_side(counts), "b", "left")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(left, "a").join(right, "b")
+    joined = dealt.join(left, "a").join(right, ["b", "part"])
     return joined.where(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
 def prefix_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that can reach the similarity, from (node, component, s) rows.
+    """Pairs (a, b) of different components that can reach the similarity, from (node, digest, component, s) rows.
 
     Each set is ordered by rarity among the rows. Similar sets share one of their first 20 % of shingles, and the first
     shared one leaves room for the overlap that the similarity needs (positional bound); sizes must be near too. A text
     whose own changes fill its prefix meets nobody, however large the group around it is.
     """
-    rows = rows.select("node", "component", F.size("s").alias("n"), "s")
-    single = rows.select("node", "component", "n", F.explode_outer("s").alias("x"))
+    rows = rows if "digest" in rows.columns else rows.withColumn("digest", F.lit(""))
+    rows = rows.select("node", "digest", "component", F.size("s").alias("n"), "s")
+    single = rows.select("node", "digest", "component", "n", F.explode_outer("s").alias("x"))
     counts = single.groupBy("x").agg(F.count("*").alias("df"))
-    ordered = single.join(counts, "x").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
+    ordered = single.join(counts, "x").groupBy("node", "digest", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
     first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     prefix = ordered.select("node", "component", "n", F.posexplode_outer(F.slice("o", 1, first.cast("int"))).alias("at", "t"))
     prefix = materialize(prefix.where("t.df > 1").select("node", "component", "n", "at", F.col("t.x").alias("x")), "prefix")
@@ -163,22 +173,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
        Nothing is capped: a link can be missed only if its two documents share no band (chance 1e-5 at a similarity of
        0.8, less above) and nothing else links them.
 
-    Returns doc_id, n_shingles, component_id, kept, one row per different (doc_id, text). A text without words and a
-    null text have no shingles and stay alone. Rows that share a doc_id are one node with the links of all its texts.
+    Returns doc_id, n_shingles, component_id, kept, a row per row of ``docs``; rows repeated in all are kept or not alike.
+    A text without words and a null text have no shingles and stay alone. Rows that share a doc_id are one node with the
+    links of all its texts.
     A row without a doc_id is kept and linked with nothing (component null). Other columns are not read.
     """
     sig = materialize(signatures(docs, doc_id, text, size), "signatures")
-    nodes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("bands").alias("bands")
-    )
-    nodes = materialize(nodes, "nodes")
+    each = sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "doc_id").agg(F.count("*").alias("k"), F.first("bands").alias("bands"))
+    nodes = each.groupBy("digest").agg(F.min(F.struct("doc_id", "k")).alias("m"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.select("digest", F.col("m.doc_id").alias("node"), F.col("m.k").alias("k"), "bands"), "nodes")
 
     rows = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     crowded = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
     met = materialize(rows.join(crowded, "bucket").select("bucket", "band", "node", "hub"), "buckets")
-    met_nodes = materialize(met.select("node").distinct(), "met")
-    texts = docs.select(F.col(doc_id).alias("node"), F.col(text).alias("t")).join(small_side(met_nodes), "node")
-    sets = materialize(shingle_sets(texts, "node", "t", size), "sets")
+    wanted = nodes.select("node", "digest", "k").join(met.select("node").distinct(), "node", "left_semi")
+    wanted = materialize(wanted, "met")
+    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.md5(F.col(text)).alias("digest"), F.col(text).alias("t"))
+    sets = materialize(shingle_sets(texts.join(small_side(wanted), ["node", "digest"]), size), "sets")
+    # Rows that the input repeats are one set.
+    repeated = materialize(sets.where("k > 1").dropDuplicates(["node", "digest"]), "sets")
+    sets = sets.where("k = 1").unionByName(repeated)
 
     hubs = met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = materialize(_linked(hubs, sets), "links")
