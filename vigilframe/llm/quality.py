@@ -24,17 +24,19 @@ SCALE = 1000
 # its size (a word's length varies by about half of its mean, so the logarithm of the mean length has it too).
 FEATURES = (
     ("f_length", "n_words", 1), ("f_symbols", "word_chars", 1), ("f_lines", "n_lines", 1),
-    ("f_repeats", "n_words", 6), ("f_capitals", "n_letters", 1),
+    ("f_repeats", "n_words", 6),
 )
 # Share of the rows that the estimate concentrates on, rows that a group needs, and the share of normal rows that may be
 # rejected.
 KEEP_SHARE = 0.75
 MIN_ROWS = 100
 TAIL = 1e-3
-STEPS = 5
+# Starts of the estimate, the most concentration steps, and the least fall of the determinant's logarithm that goes on.
+STARTS = 3
+STEPS = 12
+FALL = 1e-3
 BINS_PER_E = 16
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals")
-_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
 def count_text(text: bytes) -> tuple[int, ...]:
@@ -54,9 +56,7 @@ def count_text(text: bytes) -> tuple[int, ...]:
             if often[g] > 1:
                 repeats += i + 3 - max(i, end)
                 end = i + 3
-    capitals = len(text) - len(text.translate(None, _CAPITALS))
-    letters = capitals + len(text) - len(text.translate(None, _CAPITALS.lower()))
-    return n, chars, symbols, len(lines) - len(set(lines)), repeats, len(lines), letters, capitals
+    return n, chars, symbols, len(lines) - len(set(lines)), repeats, len(lines)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +84,6 @@ def _features() -> list[Column]:
         F.sqrt(_ratio("n_symbols", "word_chars")),
         F.sqrt(_ratio("n_dup_lines", "n_lines")),
         F.sqrt(_ratio("n_repeat_words", "n_words")),
-        F.sqrt(_ratio("n_capitals", "n_letters")),
     )
     return [F.round(v * SCALE).cast("long").alias(name) for v, (name, *_) in zip(values, FEATURES)]
 
@@ -123,20 +122,33 @@ def least_deviations(typical: list[int]) -> list[float]:
     return [SCALE / 2 * math.sqrt(event / n) for (_, _, event), n in zip(FEATURES, typical)]
 
 
-def _inverse(cell: str, n: int, mean: np.ndarray, cov: np.ndarray, least: list[float]) -> pd.DataFrame:
+def _estimate(cell: str, start: int, n: int, mean: np.ndarray, cov: np.ndarray, least: list[float]) -> pd.DataFrame:
     least = np.array(least, float) ** 2
     cov = cov + np.diag(np.maximum(least - np.diag(cov), 0))
-    return pd.DataFrame({"cell": [cell], "n": [n], "mean": [mean.tolist()], "precision": [np.linalg.inv(cov).ravel().tolist()]})
+    fields = {"cell": [cell], "start": [start], "n": [n], "mean": [mean.tolist()], "precision": [np.linalg.inv(cov).ravel().tolist()]}
+    return pd.DataFrame({**fields, "log_det": [float(np.linalg.slogdet(cov)[1])]})
 
 
-_MODEL = "cell string, n long, mean array<double>, precision array<double>"
+_MODEL = "cell string, start int, n long, mean array<double>, precision array<double>, log_det double"
 
 
 def _start(least: list[float]):
+    """Estimates of a cell to start from: independent statistics, and the correlations of bounded and of projected deviations."""
+    d = len(FEATURES)
+
     def start(group: pd.DataFrame) -> pd.DataFrame:
         r = group.iloc[0]
-        spread = np.array([r[f"d_{name}"] for name, *_ in FEATURES], float) * 1.4826
-        return _inverse(r["cell"], r["n"], np.array([r[f"m_{name}"] for name, *_ in FEATURES], float), np.diag(spread**2), least)
+        middle = np.array([r[f"m_{name}"] for name, *_ in FEATURES], float)
+        spread = np.maximum(np.array([r[f"d_{name}"] for name, *_ in FEATURES], float) * 1.4826, least)
+        out = [_estimate(r["cell"], 0, r["n"], middle, np.diag(spread**2), least)]
+        for k, kind in enumerate(("t", "u")):
+            sums = np.array([[r[f"{kind}{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)], float)
+            scale = np.sqrt(np.maximum(np.diag(sums), 1.0))
+            # Never quite singular.
+            relation = 0.95 * sums / np.outer(scale, scale)
+            np.fill_diagonal(relation, 1.0)
+            out.append(_estimate(r["cell"], k + 1, r["n"], middle, relation * np.outer(spread, spread), least))
+        return pd.concat(out)
 
     return start
 
@@ -162,7 +174,7 @@ def _concentrate(share: float | None, least: list[float]):
         for i in range(d):
             for j in range(i, d):
                 cov[i, j] = cov[j, i] = int(chosen[f"s{i}_{j}"].sum()) / k - mean[i] * mean[j]
-        return _inverse(group["cell"].iloc[0], total, mean, cov * factor, least)
+        return _estimate(group["cell"].iloc[0], int(group["start"].iloc[0]), total, mean, cov * factor, least)
 
     return estimate
 
@@ -184,40 +196,56 @@ def _distance(typical: list[int]) -> Column:
 def fit_outliers(rows: DataFrame, typical: list[int]) -> DataFrame:
     """(cell, n, mean, precision) from rows of a cell, counts and transformed statistics.
 
-    Starts at the median and median deviation of each statistic; each concentration step keeps the nearest 75 % of a
-    cell's rows and estimates anew, and a last one keeps those within the 97.5 % distance. A step is one pass that adds
-    up counts, sums and products per cell and distance bin before anything is shuffled, so a cell's size does not
+    Starts side by side from the medians and median deviations with three guesses of the correlations. Each concentration
+    step keeps the nearest 75 % of a cell's rows and estimates anew, until no determinant falls any more; the start of the
+    least determinant wins, and a last step keeps the rows within its 97.5 % distance. A step is one pass that adds up
+    counts, sums and products per cell, start and distance bin before anything is shuffled, so a cell's size does not
     matter; choosing the bins and inverting the matrix is done per cell on its few bins.
     """
-    names, least = [n for n, *_ in FEATURES], least_deviations(typical)
+    names, least, d = [n for n, *_ in FEATURES], least_deviations(typical), len(FEATURES)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
     middle = rows.groupBy("cell").agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 10000).alias(f"m_{c}") for c in names])
     middle = materialize(middle, "medians")
-    spread = rows.join(small_side(middle), "cell").groupBy("cell").agg(
+    centred = rows.join(small_side(middle), "cell")
+    spread = centred.groupBy("cell").agg(
         F.first("n").alias("n"),
         *[F.first(f"m_{c}").alias(f"m_{c}") for c in names],
         *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 10000).alias(f"d_{c}") for c in names],
     )
-    model = materialize(spread.groupBy("cell").applyInPandas(_start(least), _MODEL), "model")
-    d = len(names)
-    for step in range(STEPS + 1):
-        near = rows.join(small_side(model.drop("n")), "cell")
+    spread = materialize(spread, "deviations")
+    off = [(F.col(c) - F.col(f"m_{c}")) / F.greatest(F.col(f"d_{c}") * 1.4826, F.lit(least[i])) for i, c in enumerate(names)]
+    bounded = {f"t{i}": F.round(F.tanh(x) * SCALE).cast("long") for i, x in enumerate(off)}
+    far = F.sqrt(sum((x * x for x in off[1:]), off[0] * off[0]))
+    projected = {f"u{i}": F.coalesce(F.round(F.try_divide(x, far) * SCALE), F.lit(0)).cast("long") for i, x in enumerate(off)}
+    deviations = rows.join(small_side(spread), "cell").select("cell", *[c.alias(k) for k, c in {**bounded, **projected}.items()])
+    products = deviations.groupBy("cell").agg(*[F.sum(F.col(f"{k}{i}") * F.col(f"{k}{j}")).alias(f"{k}{i}_{j}") for k in "tu" for i, j in pairs])
+    model = materialize(spread.join(products, "cell").groupBy("cell").applyInPandas(_start(least), _MODEL), "model")
+
+    def step(model: DataFrame, share: float | None) -> DataFrame:
+        near = rows.join(small_side(model.select("cell", "start", "mean", "precision")), "cell")
         near = near.withColumn("bin", F.floor(F.log(_distance(typical) + 1e-6) * BINS_PER_E))
-        sums = near.groupBy("cell", "bin").agg(
+        sums = near.groupBy("cell", "start", "bin").agg(
             F.count("*").alias("k"),
             *[F.sum(names[i]).alias(f"s{i}") for i in range(d)],
-            *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)],
+            *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in pairs],
         )
-        share = KEEP_SHARE if step < STEPS else None
-        model = materialize(sums.groupBy("cell").applyInPandas(_concentrate(share, least), _MODEL), "model")
-    return model
+        return materialize(sums.groupBy("cell", "start").applyInPandas(_concentrate(share, least), _MODEL), "model")
+
+    for k in range(STEPS):
+        was = model.select("cell", "start", F.col("log_det").alias("was"))
+        model = step(model, KEEP_SHARE)
+        if k and not model.join(was, ["cell", "start"]).where(F.col("log_det") < F.col("was") - FALL).limit(1).count():
+            break
+    best = model.groupBy("cell").agg(F.min_by(F.struct("start", "mean", "precision"), F.struct("log_det", "start")).alias("b"))
+    return step(materialize(best.select("cell", "b.*"), "model"), None)
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Counts, base rules and outlier verdict of every document.
 
     A document fails the base rules with fewer than 50 words, or if over half of its words lie in repeated 3-word
-    windows. Of the others, the vector of transformed statistics (mean word length, symbols, equal lines, repeats,
-    capitals) is compared with its language's and source's robust estimate; a squared Mahalanobis distance that a
+    windows. Of the others, the vector of transformed statistics (mean word length, symbols, equal lines, repeats)
+    is compared with its language's and source's robust estimate; a squared Mahalanobis distance that a
     normal row exceeds with a chance of TAIL rejects it. No deviation is taken to be less than the counting noise of a
     text of the rows' own median size. Groups of fewer than 100 rows are estimated together with
     the other such groups of their language, or, if those are few too, of all languages; if these are fewer than 100
@@ -260,7 +288,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     typical = typical_sizes(fit)
     sizes = sorted({n for _, n, _ in FEATURES})
     model = fit_outliers(with_cell(fit).select("cell", *sizes, *[n for n, *_ in FEATURES]), typical)
-    model = model.where(F.col("n") >= MIN_ROWS).drop("n")
+    model = model.where(F.col("n") >= MIN_ROWS).select("cell", "mean", "precision")
     judged = with_cell(counted).join(small_side(model), "cell", "left").withColumn("distance", _distance(typical))
     limit = chi2_quantile(1 - TAIL, len(FEATURES))
     return judged.select(
