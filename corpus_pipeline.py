@@ -26,7 +26,7 @@ ORACLE_SQL = None
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rows whose (doc_id, text_hash) is not among the rejected ones."""
-    rejected = small_side(rejected.select("doc_id", "text_hash").distinct())
+    rejected = small_side(materialize(rejected.select("doc_id", "text_hash").distinct(), "rejected"))
     same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("d.text") == F.col("r.text_hash"))
     return docs.alias("d").join(rejected.alias("r"), same, "left_anti")
 
@@ -40,7 +40,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of the smallest id, and of rows that repeat an id the smallest one."""
     ship(spark)
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = materialize(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
     left = docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
     repeated = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeated = small_side(materialize(repeated, "repeated"))
@@ -61,6 +61,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     times = F.round(F.try_divide("taken", "size")).cast("int")
     reads = mix(docs).where("taken > 0").groupBy("doc_id", "source", "text_hash").agg(F.max(times).alias("n")).where("n > 0")
+    reads = materialize(reads, "reads")
     same = (
         F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))
         & F.col("d.source").eqNullSafe(F.col("m.source"))
