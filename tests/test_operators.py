@@ -200,6 +200,23 @@ def test_interval_join_is_closed_open(spark, width):
     assert pairs == [(0, ""), (1, ""), (2, "a"), (3, "a"), (4, "a"), (4, "b"), (5, "b"), (6, ""), (7, "")]
 
 
+@pytest.mark.parametrize("width", [1.0, 3.0])
+def test_interval_join_of_very_different_lengths(spark, width):
+    """A year among seconds: an interval is a few cells, each record meets it once, and others are found as before."""
+    year = 365 * 86_400.0
+    plans = [("u", 100.0 + 7 * i, 101.5 + 7 * i, f"s{i}") for i in range(200)] + [("u", -5.0, year, "year"), ("u", 3.0, 3.0, "none"), ("v", 0.0, 4.0, "v")]
+    sch = spark.createDataFrame(plans, "k string, s double, e double, name string")
+    times = [float(t) / 2 for t in range(-20, 3200, 3)] + [year - 0.5, year, 3.0, -5.0]
+    rec = spark.createDataFrame([(k, t) for t in times for k in ("u", "w")], "k string, ts double")
+    for how in ("left", "inner"):
+        got = sorted((r["k"], r["ts"], r["name"] or "") for r in J.interval_join(rec, sch, "k", "ts", "s", "e", how, bucket_width=width).collect())
+        want = [(k, t, n) for k in ("u", "w") for t in times for n in ([x[3] for x in plans if x[0] == k and x[1] <= t < x[2]] or ([""] if how == "left" else []))]
+        assert got == sorted(want)
+    unit = lambda c: F.floor(F.col(c) / width).cast("long")
+    cells = sch.where("s < e").select(F.size(J.dyadic_cells(unit("s"), unit("e"))).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert cells[0] <= 2 * 26 and cells[1] <= 52 + 3 * len(plans)
+
+
 def test_quota_fixture(spark):
     counts = spark.createDataFrame(
         [("benign", 20), ("dos", 20), ("replay", 8), ("video_interception", 8)], "label string, n long"

@@ -387,13 +387,13 @@ def ordered_distinct_lists(spark, sf):
 
 @query(
     "u05_key_set_difference",
-    """SELECT 'both' AS part, user_id AS grp FROM (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100
-      INTERSECT SELECT user_id FROM events WHERE event_type = 'view' AND value > 100)
-    UNION ALL SELECT 'only_error', user_id FROM (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100
-      EXCEPT SELECT user_id FROM events WHERE event_type = 'view' AND value > 100)""",
+    """SELECT 'both' AS part, user_id AS grp FROM (SELECT user_id FROM events WHERE event_type = 'error'
+      INTERSECT SELECT user_id FROM events WHERE event_type = 'view')
+    UNION ALL SELECT 'only_error', user_id FROM (SELECT user_id FROM events WHERE event_type = 'error'
+      EXCEPT SELECT user_id FROM events WHERE event_type = 'view')""",
 )
 def key_set_difference(spark, sf):
-    r = records(spark, sf).where(F.col("value") > 100)
+    r = records(spark, sf)
     a = r.where(F.col("label") == "error").select("grp").distinct()
     b = r.where(F.col("label") == "view").select("grp").distinct()
     both = a.intersect(b).withColumn("part", F.lit("both"))

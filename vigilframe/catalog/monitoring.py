@@ -323,14 +323,14 @@ def interval_labels_bucketed(spark, sf):
 
 @query(
     "a58_alert_delay",
-    f"""WITH {_SCHED}, al AS (SELECT grp, ts_us FROM rec WHERE label = 'error' AND value > 60),
+    f"""WITH {_SCHED}, al AS (SELECT grp, ts_us FROM rec WHERE label = 'error'),
     f AS (SELECT plan_id, min(al.ts_us - start_us) AS delay FROM sch JOIN al ON al.grp = sch.grp AND ts_us >= start_us
       AND ts_us < end_us GROUP BY 1)
     SELECT count(*) AS attacks, count(delay) AS answered, count(*) - count(delay) AS unanswered,
       round(avg(delay) / 1e6, 3) AS mean_delay FROM sch LEFT JOIN f ON sch.plan_id = f.plan_id""",
 )
 def alert_delay(spark, sf):
-    alerts = records(spark, sf).where((F.col("label") == "error") & (F.col("value") > 60))
+    alerts = records(spark, sf).where(F.col("label") == "error")
     d = M.alert_delays(alerts, schedule(spark, sf), "grp", "ts_us", "start_us", "end_us", "plan_id")
     return d.withColumn("mean_delay", F.round(F.col("mean_delay") / 1e6, 3))
 

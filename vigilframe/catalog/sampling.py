@@ -105,8 +105,7 @@ def explicit_split_check(spark, sf):
     return P.check_explicit_split(records(spark, sf).withColumn("split", s), "split", F.col("label") == "error")
 
 
-_QUOTA = """WITH c AS (SELECT l_returnflag || l_linestatus AS label, count(*) AS n FROM lineitem WHERE l_quantity > 30
-      GROUP BY 1),
+_QUOTA = """WITH c AS (SELECT l_returnflag || l_linestatus AS label, count(*) AS n FROM lineitem GROUP BY 1),
     b AS (SELECT label, n, least(n, 40) AS base, n - least(n, 40) AS hr FROM c),
     e AS (SELECT *, (500 - (SELECT sum(base) FROM b)) * hr / (SELECT sum(hr) FROM b) AS ex FROM b),
     f AS (SELECT *, CAST(floor(ex) AS BIGINT) AS fl, row_number() OVER (ORDER BY ex - floor(ex) DESC, label) AS turn FROM e),
@@ -116,7 +115,7 @@ _QUOTA = """WITH c AS (SELECT l_returnflag || l_linestatus AS label, count(*) AS
 
 
 def _quota_source(spark, sf):
-    li = table(spark, sf, "lineitem").where(F.col("l_quantity") > 30)
+    li = table(spark, sf, "lineitem")
     return li.select(
         F.concat("l_returnflag", "l_linestatus").alias("label"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("rid"),
@@ -136,7 +135,7 @@ def label_quotas(spark, sf):
 @query(
     "w16_quota_sample",
     _QUOTA + f""", s AS (SELECT l_returnflag || l_linestatus AS label,
-      concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rid FROM lineitem WHERE l_quantity > 30),
+      concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rid FROM lineitem),
     r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {h(5, 'rid')}, rid) AS rn FROM s)
     SELECT r.label, rid FROM r JOIN q ON r.label = q.label WHERE rn <= quota""",
 )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilframe.config import is_small
+from vigilframe.config import is_small, materialize
 from vigilframe.functions import fixed
 from vigilframe.functions.text import column_key
 from vigilframe.operators.ordering import last_known
@@ -41,6 +41,22 @@ def asof_backward(
     return carried.where(F.col("__side") == 1).select(key, ts, "__left.*", *[F.col(f"__found.{c}").alias(c) for c in columns])
 
 
+# Sizes of dyadic cells: a cell of level n is 2^n units wide.
+LEVELS = 48
+
+
+def dyadic_cells(first: Column, last: Column) -> Column:
+    """The fewest aligned cells (level, cell) that together are the units ``first`` to ``last``: at most two of a level."""
+    cells = []
+    for n in range(LEVELS):
+        width = 1 << n
+        low, high = F.floor((first + (width - 1)) / F.lit(width)), F.floor((last + 1) / F.lit(width))
+        cell = lambda c, n=n: F.struct(F.lit(n).alias("level"), c.cast("long").alias("cell"))
+        cells.append(F.when((low < high) & (F.pmod(low, F.lit(2)) == 1), cell(low)))
+        cells.append(F.when((low < high) & (F.pmod(high, F.lit(2)) == 1), cell(high - 1)))
+    return F.filter(F.array(*cells), lambda c: c.isNotNull())
+
+
 def interval_join(
     records: DataFrame,
     schedule: DataFrame,
@@ -53,8 +69,9 @@ def interval_join(
 ) -> DataFrame:
     """Records with the intervals of their entity that hold them, closed-open.
 
-    A small schedule joins on the entity with the range as residual. A large one is cut
-    into time buckets first, so one busy entity does not meet its whole history.
+    A small schedule joins on the entity with the range as residual. Of a large one each interval becomes a few cells of
+    doubling width (``bucket_width`` is the narrowest, by default the median length), so an interval costs the logarithm
+    of its length. A record looks up one cell of each width that the schedule uses, and meets an interval in one of them.
     """
     inside = (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))
     sched = schedule.withColumnRenamed(key, "__key")
@@ -62,15 +79,22 @@ def interval_join(
         # the optimizer's estimate proves this side small
         return records.join(F.broadcast(sched), (F.col(key) == F.col("__key")) & inside, how).drop("__key")
     if bucket_width is None:
-        bucket_width = float(schedule.agg(F.avg(F.col(end) - F.col(start))).first()[0] or 1.0) or 1.0
-    slot = lambda c: F.floor(c / F.lit(float(bucket_width))).cast("long")
-    cut = (
-        sched.where(F.col(start) < F.col(end))
-        .withColumn("__slot", F.explode(F.sequence(slot(F.col(start)), slot(F.col(end)))))
-    )
-    rec = records.withColumn("__rslot", slot(F.col(ts)))
-    cond = (F.col(key) == F.col("__key")) & (F.col("__rslot") == F.col("__slot")) & inside
-    return rec.join(cut, cond, how).drop("__key", "__slot", "__rslot")
+        length = schedule.where(F.col(start) < F.col(end)).agg(F.percentile_approx(F.col(end) - F.col(start), 0.5)).first()[0]
+        bucket_width = float(length or 1.0)
+    unit = lambda c: F.floor(c / F.lit(float(bucket_width))).cast("long")
+    cells = sched.where(F.col(start) < F.col(end)).withColumn("__c", F.explode(dyadic_cells(unit(F.col(start)), unit(F.col(end)))))
+    cells = materialize(cells.select("*", F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell")).drop("__c"), "cells")
+    used = [r[0] for r in cells.select("__level").distinct().collect()]  # at most LEVELS
+    numbered = records.withColumn("__row", F.monotonically_increasing_id())
+    numbered = numbered if how == "inner" else materialize(numbered, "records")
+    probe = numbered.withColumn("__probe", F.explode(F.array(*[F.lit(n) for n in used]).cast("array<int>")))
+    at = F.floor(unit(F.col(ts)) / F.pow(F.lit(2.0), F.col("__probe"))).cast("long")
+    cond = (F.col(key) == F.col("__key")) & (F.col("__probe") == F.col("__level")) & (at == F.col("__cell")) & inside
+    met = probe.join(cells, cond).drop("__key", "__level", "__cell", "__probe")
+    if how == "inner":
+        return met.drop("__row")
+    found = met.select(F.col("__row").alias("__met"), *[c for c in schedule.columns if c != key])
+    return numbered.join(found, F.col("__row") == F.col("__met"), how).drop("__row", "__met")
 
 
 def registry(spark: SparkSession) -> DataFrame:
