@@ -119,7 +119,13 @@ def test_collocations(odd, monkeypatch):
     monkeypatch.setattr(phrases, "CHUNK", 3)
     docs = odd.repartition(5)
     want = plain_collocations([(r.lang, r.text) for r in odd.collect()], 5, 5, 300)
-    got = sorted(tuple(r) for r in phrases.collocations(docs, least=5, top=300).collect())
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = odd.sparkSession.conf.get(rows)
+    odd.sparkSession.conf.set(rows, "100")
+    try:
+        got = sorted(tuple(r) for r in phrases.collocations(docs, least=5, top=300).collect())
+    finally:
+        odd.sparkSession.conf.set(rows, before)
     assert len(want) > 100 and got == want
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +28,17 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 20
 SLICE = 1 << 22
 CHUNK = 256
-# A prefix's stripe is dealt by its next words into so many parts (by words of the prefix), and first merged in so many shares.
-PARTS = {0: 64, 1: 8}
+# The stripe of a prefix that is hot, i.e. begins at least one in so many words of its language, is dealt by its next words
+# into parts, and first merged in shares. There are at most HOT such prefixes of a size in a language.
+HOT = 1000
+PARTS = 64
 SHARES = 16
 # Bits of the filter that is sent to the tasks: 16 for each frequent phrase, at most these.
 MOST_BITS = 1 << 28
 PROBES = 3
-STRIPE = "lang string, prefix string, part int, words array<string>, counts array<long>, total long"
+# Stripes on their way: words behind each other, counts as 8-byte numbers; share is -1 where the stripe is one's only.
+PACKED = "lang string, prefix string, part int, share int, words string, counts binary, total long"
+STRIPE = "lang string, prefix string, words array<string>, counts array<long>, total long"
 
 
 class Vocabulary(defaultdict):
@@ -62,11 +67,21 @@ def pieces(text: bytes, back: int) -> Iterator[list[bytes]]:
         at = end
 
 
-def block_stripes(lang: str, runs: list[list[bytes]], size: int, keeps, least_parts: int) -> pa.RecordBatch | None:
+def _packed(lang: pa.Array, prefix: pa.Array, part: np.ndarray, share: np.ndarray, words: pa.Array, counts: np.ndarray, offsets: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    """Rows of PACKED from flat words and counts, cut at the offsets."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), words), " ")
+    numbers = pa.Array.from_buffers(
+        pa.binary(), len(part), [None, pa.py_buffer((8 * offsets).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(counts, np.int64))]
+    )
+    columns = [lang, prefix, pa.array(part.astype(np.int32)), pa.array(share.astype(np.int32)), joined, numbers, pa.array(total.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "part", "share", "words", "counts", "total"])
+
+
+def block_stripes(lang: str, runs: list[list[bytes]], size: int, keeps, hot: set[str], share: int) -> pa.RecordBatch | None:
     """Stripes of a block: for each run of ``size - 1`` words the counts of the words that come next.
 
     ``keeps`` tells of hashes of such runs whether they may be frequent; a phrase is counted if the runs of its first and
-    of its last words are.
+    of its last words are. The prefixes in ``hot`` are dealt into parts and go to the share of this task.
     """
     numbers = Vocabulary()
     ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(r + [b"."] for r in runs)), np.int64)
@@ -89,40 +104,35 @@ def block_stripes(lang: str, runs: list[list[bytes]], size: int, keeps, least_pa
         _, at, prefix = np.unique(prefix * wide + ids[starts + k], return_index=True, return_inverse=True)
         sample = starts[at]
     following = ids[starts + size - 1]
-    part = (hashes % np.uint64(least_parts)).astype(np.int64)[following]
-    code, n_each = np.unique((prefix * least_parts + part) * wide + following, return_counts=True)
+    texts = [b" ".join(words[i] for i in ids[s : s + size - 1]) for s in sample]
+    split = np.fromiter((t.decode("utf-8", "replace") in hot for t in texts), bool, len(texts))
+    part = np.where(split[prefix], (hashes % np.uint64(PARTS)).astype(np.int64)[following], 0)
+    code, n_each = np.unique((prefix * PARTS + part) * wide + following, return_counts=True)
     row, word = np.divmod(code, wide)
     new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     length = np.diff(np.append(new, len(row)))
     # Rows of at most CHUNK entries.
-    pieces_of = -(-length // CHUNK)
-    begin = np.repeat(new, pieces_of) + CHUNK * (np.arange(pieces_of.sum()) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of))
-    offsets = pa.array(np.append(begin, len(row)).astype(np.int32))
-    which, parts = np.divmod(row[begin], least_parts)
-    texts = [b" ".join(words[i] for i in ids[s : s + size - 1]) for s in sample]
+    cuts = -(-length // CHUNK)
+    begin = np.repeat(new, cuts) + CHUNK * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+    which, parts = np.divmod(row[begin], PARTS)
     named = pa.array(texts, pa.binary()).cast(pa.string()).take(pa.array(which))
     spelled = pa.array(words, pa.binary()).cast(pa.string()).take(pa.array(word))
-    counts = n_each.astype(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([lang] * len(begin), pa.string()),
-            named,
-            pa.array(parts.astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, spelled),
-            pa.ListArray.from_arrays(offsets, pa.array(counts)),
-            pa.array(np.add.reduceat(counts, begin)),
-        ],
-        ["lang", "prefix", "part", "words", "counts", "total"],
+    return _packed(
+        pa.array([lang] * len(begin), pa.string()), named, parts, np.where(split[which], share, -1), spelled, n_each,
+        np.append(begin, len(row)), np.add.reduceat(n_each, begin),
     )
 
 
-def stripes(docs: DataFrame, size: int, bits: np.ndarray | None, lang: str = "lang", text: str = "text") -> DataFrame:
-    """Stripes of all blocks, not merged yet."""
+def stripes(docs: DataFrame, size: int, bits: np.ndarray | None, hot: dict[str, set[str]], lang: str = "lang", text: str = "text") -> DataFrame:
+    """Stripes of all blocks, not merged yet. No filter means that all words count, under the empty prefix, which is hot."""
     keeps = None if bits is None else (lambda h: _may_hold(bits, h))
-    parts = PARTS.get(size - 1, 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = defaultdict(list), 0
+        held, total, share = defaultdict(list), 0, TaskContext.get().partitionId() % SHARES
+
+        def done() -> Iterator[pa.RecordBatch]:
+            return filter(None, (block_stripes(l, r, size, keeps, hot.get(l, set()) if size > 1 else {""}, share) for l, r in held.items()))
+
         for batch in batches:
             for name, t in zip(batch.column("l").to_pylist(), batch.column("t")):
                 t = t.as_buffer()
@@ -130,53 +140,57 @@ def stripes(docs: DataFrame, size: int, bits: np.ndarray | None, lang: str = "la
                     held[name].append(run)
                     total += len(run)
                     if total >= BLOCK:
-                        yield from (b for l, r in held.items() if (b := block_stripes(l, r, size, keeps, parts)))
+                        yield from done()
                         held, total = defaultdict(list), 0
-        yield from (b for l, r in held.items() if (b := block_stripes(l, r, size, keeps, parts)))
+        yield from done()
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("l"), F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(cut, STRIPE)
+    return rows.mapInArrow(cut, PACKED)
+
+
+def _flat(rows: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Number of entries of each row, and all words and counts behind each other."""
+    packed = rows.column("counts").combine_chunks()
+    sizes = pc.binary_length(packed).to_numpy(zero_copy_only=False) // 8
+    start, end = (np.frombuffer(packed.buffers()[1], np.int32)[packed.offset + k] for k in (0, len(packed))) if len(packed) else (0, 0)
+    counts = np.frombuffer(packed.buffers()[2], np.int64, (end - start) // 8, start) if end > start else np.empty(0, np.int64)
+    some = rows.column("words").combine_chunks().filter(pa.array(sizes > 0))
+    return sizes, pc.split_pattern(some, " ").flatten(), counts
 
 
 def _merged(rows: pa.Table, least: int) -> pa.Table:
-    """One row for each key of sorted stripes, equal words added up; entries below ``least`` go, the total stays."""
-    keys = [rows.column(c).combine_chunks() for c in ("lang", "prefix", "part")]
+    """One row for each key of sorted stripes, equal words added up.
+
+    Of stripes that are one's only, entries below ``least`` go, and the total stays.
+    """
+    keys = [rows.column(c).combine_chunks() for c in ("lang", "prefix", "part", "share")]
     changed = np.zeros(max(len(rows) - 1, 0), bool)
     for k in keys:
         changed |= pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False)
     first = np.flatnonzero(np.concatenate([[True], changed]))
     group = np.cumsum(np.concatenate([[0], changed])).astype(np.int64)
-    lists = rows.column("words").combine_chunks()
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    coded = lists.flatten().dictionary_encode()
+    sizes, words, counts = _flat(rows)
+    coded = words.dictionary_encode()
     wide = max(len(coded.dictionary), 1)
     code = np.repeat(group, sizes) * wide + coded.indices.to_numpy(zero_copy_only=False)
     order = np.argsort(code, kind="stable")
-    code, counts = code[order], rows.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)[order]
+    code, counts = code[order], counts[order]
     new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
     sums = np.add.reduceat(counts, new) if len(new) else np.empty(0, np.int64)
-    code = code[new][sums >= least]
-    sums = sums[sums >= least]
-    offsets = np.searchsorted(code, np.arange(len(first) + 1) * wide).astype(np.int32)
+    code, share = code[new], keys[3].to_numpy()[first]
+    stays = (sums >= least) | (share[code // wide] >= 0)
+    code, sums = code[stays], sums[stays]
+    offsets = np.searchsorted(code, np.arange(len(first) + 1) * wide)
     totals = np.add.reduceat(rows.column("total").to_numpy(), first)
     at = pa.array(first)
-    return pa.table(
-        {
-            "lang": keys[0].take(at),
-            "prefix": keys[1].take(at),
-            "part": keys[2].take(at),
-            "words": pa.ListArray.from_arrays(pa.array(offsets), coded.dictionary.take(pa.array(code % wide))),
-            "counts": pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums)),
-            "total": pa.array(totals),
-        }
-    )
+    spelled = coded.dictionary.take(pa.array(code % wide))
+    return pa.Table.from_batches([_packed(keys[0].take(at), keys[1].take(at), keys[2].to_numpy()[first], share, spelled, sums, offsets, totals)])
 
 
-def merge_stripes(rows: DataFrame, least: int = 1, shares: int = 1) -> DataFrame:
-    """Stripes of one key added up elementwise, in a scan of rows sorted by key.
+def merge_stripes(rows: DataFrame, least: int = 1) -> DataFrame:
+    """Stripes of one key and share added up elementwise, in a scan of rows sorted by key.
 
-    A task holds one stripe and a batch, not a key's rows. With ``shares`` a key's rows are first merged in that many
-    independent shares, so that a key of every block is no single task.
+    A task holds one stripe and a batch, not a key's rows.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,22 +198,31 @@ def merge_stripes(rows: DataFrame, least: int = 1, shares: int = 1) -> DataFrame
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch.select(["lang", "prefix", "part", "words", "counts", "total"])])
+            table = pa.Table.from_arrays(batch.columns, batch.schema.names)  # without Spark's marks of what is never null
             table = _merged(pa.concat_tables([open_, table]) if open_ is not None else table, 1)
             open_, done = table.slice(len(table) - 1), table.slice(0, len(table) - 1)
-            yield from _out(done)
+            if len(done):
+                yield from _merged(done, least).to_batches()
         if open_ is not None:
-            yield from _out(open_)
+            yield from _merged(open_, least).to_batches()
+
+    keys = ["lang", "prefix", "part", "share"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, PACKED)
 
-    def _out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if len(table):
-            yield from (_merged(table.combine_chunks(), least) if least > 1 else table).combine_chunks().to_batches()
 
-    keys = ["lang", "prefix", "part"]
-    if shares > 1:
-        rows = rows.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(shares)))
-        keys.append("share")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).drop("share").mapInArrow(merge, STRIPE)
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """Stripes with arrays."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, words, counts = _flat(pa.Table.from_batches([batch]))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (words, pa.array(counts))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), batch.column("prefix"), *lists, batch.column("total")], ["lang", "prefix", "words", "counts", "total"]
+            )
+
+    return rows.mapInArrow(unpack, STRIPE)
 
 
 def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -254,15 +277,27 @@ def counted_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", lea
     A phrase can only be frequent if its first and its last words are, so each size is counted where a filter of the
     frequent phrases of the size before lets it.
     """
-    sizes, bits = [], None
+    sizes, bits, hot = [], None, {}
     for size in range(1, longest + 1):
-        merged = merge_stripes(merge_stripes(stripes(docs, size, bits, lang, text), shares=SHARES), least)
-        sizes.append(materialize(merged, "stripes"))
+        shared = materialize(merge_stripes(stripes(docs, size, bits, hot, lang, text), least), "shares")
+        again = merge_stripes(shared.where("share >= 0").withColumn("share", F.lit(-1)), least)
+        sizes.append(materialize(_unpacked(shared.where("share < 0").unionByName(again)), "stripes"))
         if size < longest:
-            bits = phrase_filter(sizes[-1])
+            bits, hot = phrase_filter(sizes[-1]), hot_phrases(sizes[-1], sizes[0])
     return sizes
 
 
+def hot_phrases(merged: DataFrame, words: DataFrame) -> dict[str, set[str]]:
+    """Phrases of the stripes that stand for one in HOT words of their language: at most HOT of each."""
+    total = words.groupBy("lang").agg(F.sum("total").alias("n"))
+    each = merged.select("lang", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e"))
+    phrase = F.when(F.col("prefix") == "", F.col("e.words")).otherwise(F.concat_ws(" ", "prefix", "e.words"))
+    out: dict[str, set[str]] = {}
+    for r in each.join(total, "lang").where(F.col("e.counts") * HOT >= F.col("n")).select("lang", phrase.alias("p")).collect():
+        out.setdefault(r.lang, set()).add(r.p)
+    return out
+
+
 def _salted(left: DataFrame, right: DataFrame, keys: list[str], salts: int = SHARES) -> DataFrame:
     """Inner join with a side that has one row per key, which may be hot on the left."""
     left = left.withColumn("salt", F.pmod(F.xxhash64("phrase", "a", "cut"), F.lit(salts)).cast("int"))
