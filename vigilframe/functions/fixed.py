@@ -31,17 +31,57 @@ DROP_PATTERNS = [
     "destination_ip", "ip_src", "ip_dst", "five_tuple", "flow_id", "session_id",
 ]
 PORT_PATTERNS = ["src_port", "dst_port", "source_port", "destination_port", "sport", "dport"]
-RESERVED_COLUMNS = frozenset(
-    """
-    uav_id domain_id dataset_name split source_type simulation_role source_note source_timestamp source_record_id
-    source_uav_id source_dataset_name source_label direction_type scenario_role original_group_id mission_phase
-    mission_context sim_source sim_time record_kind attack_source_dataset attack_active attack_type
-    gt_attack_active gt_attack_type response_action response_time response_reason battery_soc speed altitude rssi
-    snr latency_ms loss_rate distance_to_gcs wind_level obstacle_factor bytes_up bytes_down throughput_bytes
-    cpu_load board_temperature_c flight_energy_wh communication_energy_wh detection_energy_wh total_energy_wh
-    cumulative_energy_wh energy
-    """.split()
-)
+RESERVED_COLUMNS = frozenset({
+    "uav_id",
+    "domain_id",
+    "dataset_name",
+    "split",
+    "source_type",
+    "simulation_role",
+    "source_note",
+    "source_timestamp",
+    "source_record_id",
+    "source_uav_id",
+    "source_dataset_name",
+    "source_label",
+    "direction_type",
+    "scenario_role",
+    "original_group_id",
+    "mission_phase",
+    "mission_context",
+    "sim_source",
+    "sim_time",
+    "record_kind",
+    "attack_source_dataset",
+    "attack_active",
+    "attack_type",
+    "gt_attack_active",
+    "gt_attack_type",
+    "response_action",
+    "response_time",
+    "response_reason",
+    "battery_soc",
+    "speed",
+    "altitude",
+    "rssi",
+    "snr",
+    "latency_ms",
+    "loss_rate",
+    "distance_to_gcs",
+    "wind_level",
+    "obstacle_factor",
+    "bytes_up",
+    "bytes_down",
+    "throughput_bytes",
+    "cpu_load",
+    "board_temperature_c",
+    "flight_energy_wh",
+    "communication_energy_wh",
+    "detection_energy_wh",
+    "total_energy_wh",
+    "cumulative_energy_wh",
+    "energy",
+})
 
 # --- fixed values: label maps per source ---------------------------------------
 # kind "raw" maps the trimmed cell; kind "token" maps the normalised token.
