@@ -5,19 +5,26 @@ from __future__ import annotations
 import random
 
 # Names that pages commonly give to the parts of a layout.
-MAIN_NAMES = (
-    "content main article post entry story body text article-body post-content entry-content page-content main-content "
-    "story-body post-body article__content"
-).split()
-FRAME_NAMES = (
-    "nav navbar menu navigation breadcrumb breadcrumbs header masthead banner topbar logo site-header footer site-footer "
-    "copyright legal sidebar side rail widget aside related recommended popular trending ad ads advert advertisement "
-    "ad-slot sponsor sponsored promo cookie cookie-notice consent notice alert popup modal newsletter subscribe signup "
-    "social share sharing tags comment comments comment-list reply replies discussion disqus respond author-bio "
-    "pagination pager search search-form login form skip-link toolbar"
-).split()
-FRAME_TAGS = "nav header footer aside form".split()
-_SYLLABLES = "an be co da en fi ga ho in jo ka lo ma ne or pa qui ra st ti un ve wo za tion ment er ly".split()
+MAIN_NAMES = [
+    "content", "main", "article", "post", "entry", "story", "body", "text", "article-body", "post-content",
+    "entry-content", "page-content", "main-content", "story-body", "post-body", "article__content",
+]
+FRAME_NAMES = [
+    "nav", "navbar", "menu", "navigation", "breadcrumb", "breadcrumbs", "header", "masthead", "banner", "topbar", "logo",
+    "site-header", "footer", "site-footer", "copyright", "legal", "sidebar", "side", "rail", "widget", "aside", "related",
+    "recommended", "popular", "trending", "ad", "ads", "advert", "advertisement", "ad-slot", "sponsor", "sponsored",
+    "promo", "cookie", "cookie-notice", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe",
+    "signup", "social", "share", "sharing", "tags", "comment", "comments", "comment-list", "reply", "replies",
+    "discussion", "disqus", "respond", "author-bio", "pagination", "pager", "search", "search-form", "login", "form",
+    "skip-link", "toolbar",
+]
+FRAME_TAGS = [
+    "nav", "header", "footer", "aside", "form",
+]
+_SYLLABLES = [
+    "an", "be", "co", "da", "en", "fi", "ga", "ho", "in", "jo", "ka", "lo", "ma", "ne", "or", "pa", "qui", "ra", "st",
+    "ti", "un", "ve", "wo", "za", "tion", "ment", "er", "ly",
+]
 
 
 class _Maker:
