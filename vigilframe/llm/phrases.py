@@ -25,7 +25,7 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _DOTS = bytes.maketrans(_ENDS, b"." * len(_ENDS))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # Words of a block, bytes of a text read at once, entries of a stripe's row.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 SLICE = 1 << 22
 CHUNK = 128
 # The stripe of a prefix that is hot, i.e. begins at least one in so many words of its language, is dealt by its next words
