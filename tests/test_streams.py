@@ -166,15 +166,6 @@ def test_idle_keys_are_forgotten(spark):
     assert [r.key for r in spark.read.parquet(f"{root}/frozen/epoch=2").collect()] == ["b"] and spark.read.parquet(f"{root}/counts/epoch=2").count() == 0
 
 
-def test_keyed_state_with_expiry(spark):
-    df = spark.createDataFrame([r for r in warm_rows() if r[0]], WARM)
-    root = shared_dir(spark, "ttl")
-    df.write.parquet(f"{root}/in/s=0")
-    s = file_stream(spark, f"{root}/in/*", df.schema)
-    out = run_to_table(J.warmup_thresholds(s, idle_ms=3_600_000), f"{root}/o", f"{root}/c")
-    assert out.where("is_ood").count() == J.warmup_thresholds_batch(df).where("is_ood").count()
-
-
 @pytest.mark.parametrize("cuts", [[1, 300, 600]])
 def test_score_diagnostics_of_a_stream(spark, cuts):
     df = spark.createDataFrame(rows(), SCHEMA).withColumn("norm", F.round(F.col("value") / 3)).withColumn(

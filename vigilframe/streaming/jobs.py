@@ -56,7 +56,8 @@ def epoch_windows(stream: DataFrame, ts: str, key: str, length: str, hop: str, d
 def warmup_thresholds(
     windows: DataFrame, mode: str = "normalized", q: float = 0.95, static: float = 1.5, idle_ms: int | None = None
 ) -> DataFrame:
-    """``windows``: key, window_idx, raw_score, calibrated, benign. Keys idle for ``idle_ms`` are forgotten."""
+    """``windows``: key, window_idx, raw_score, calibrated, benign. Keys idle for ``idle_ms`` are forgotten; the stream then
+    needs a trigger that recurs, as Spark goes on with empty batches in that time mode and ``availableNow`` never ends."""
     use_rocksdb(windows)
     return windows.groupBy("key").transformWithStateInPandas(
         P.WarmupThresholds(mode, q, static, idle_ms=idle_ms), P.WARMUP_SCHEMA, "Append", "ProcessingTime" if idle_ms else "None"
