@@ -14,6 +14,8 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 BUCKET_TARGET_BYTES = 32 * 1024 * 1024
 # Below this size a whole table may be ordered by one task.
 SINGLE_TASK_BYTES = 4 * 1024 * 1024
+# Whether Spark removes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @dataclass(frozen=True)
@@ -77,8 +79,19 @@ def _local_root() -> str:
 
 
 def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
-    """Cut lineage by writing to the shared folder and reading back."""
+    """Cut lineage by writing to the shared folder and reading back.
+
+    Shuffle files of the write go with it: nothing reads them once the table stands.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
