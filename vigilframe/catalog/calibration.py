@@ -239,16 +239,17 @@ def global_thresholds(spark, sf):
 def fusion_sweep(spark, sf):
     raw = materialize(score_table(spark, sf), "scores")
     sweep = K.fusion_sweep(raw.where(~F.col("truth_ood")))
-    out = None
-    for mode in FUSION_MODES:
-        cal = sweep[mode]
-        hit = F.round("fused", 4) > round(cal.threshold, 4)
-        one = K.apply_calibration(raw, cal).agg(
-            F.lit(mode).alias("mode"), F.lit(round(cal.threshold, 4)).alias("threshold"),
-            F.count_if(hit).alias("alerts"), F.count_if(hit & F.col("truth_ood")).alias("hits"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    norm = K.normalized_columns(sweep[FUSION_MODES[0]])  # the modes share their scales
+    fused = raw.select("truth_ood", *[K.fused_column(sweep[m], norm).alias(m) for m in FUSION_MODES])
+    cuts = {m: round(sweep[m].threshold, 4) for m in FUSION_MODES}
+    hit = {m: F.round(m, 4) > cuts[m] for m in FUSION_MODES}
+    counts = fused.agg(
+        *[F.count_if(h).alias(f"a_{m}") for m, h in hit.items()], *[F.count_if(h & F.col("truth_ood")).alias(f"h_{m}") for m, h in hit.items()]
+    )
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(m).alias("mode"), F.lit(cuts[m]).alias("threshold"), F.col(f"a_{m}").alias("alerts"), F.col(f"h_{m}").alias("hits"))
+        for m in FUSION_MODES
+    ])))
 
 
 @query(

@@ -108,31 +108,43 @@ def feature_report(
     min_ratio: float = 0.95,
     approx: bool = False,
 ) -> DataFrame:
-    """Selection decision per column; the first reason in rejection order wins."""
+    """Selection decision per column; the first reason in rejection order wins.
+
+    Values are counted as (column, value) pairs, combined before the shuffle, then pairs per column; so a wide table
+    needs two groupings, whatever the number of its columns. An empty table has all counts 0.
+    """
     nums = df.select(*order, *[X.coerce_number(F.col(c)).alias(f"v_{c}") for c in columns])
     vals = [f"v_{c}" for c in columns]
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    profile = nums.agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.count(v).alias(f"n_{v}") for v in vals],
-        *[distinct(F.col(v)).alias(f"u_{v}") for v in vals],
-    )
+    pairs = nums.select(F.posexplode(F.array(*vals)).alias("i", "x"))
+    if approx:
+        counts = pairs.groupBy("i").agg(
+            F.count(F.lit(1)).alias("rows"), F.count("x").alias("n"), F.approx_count_distinct("x").alias("unique_count")
+        )
+    else:
+        counts = pairs.groupBy("i", "x").agg(F.count(F.lit(1)).alias("m")).groupBy("i").agg(
+            F.sum("m").alias("rows"), F.sum(F.when(F.col("x").isNotNull(), F.col("m"))).alias("n"), F.count("x").alias("unique_count")
+        )
     mono = monotone_fractions(nums, vals, order)
-    row = profile.join(F.broadcast(mono))
     forced_low = {f.lower() for f in forced}
-    items = []
-    for c, v in zip(columns, vals):
-        items.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.lit(c.lower() in forced_low or drop_reason(c, []) is not None).alias("forced"),
-                (F.col(f"n_{v}") / F.greatest(F.col("__rows"), F.lit(1))).alias("numeric_ratio"),
-                F.col(f"u_{v}").alias("unique_count"),
-                (F.col(f"u_{v}") / F.greatest(F.col(f"n_{v}"), F.lit(1))).alias("unique_ratio"),
-                F.coalesce(F.col(v), F.lit(0.0)).alias("monotone_fraction"),
-            )
+    items = [
+        F.struct(
+            F.lit(i).alias("i"),
+            F.lit(c).alias("column_name"),
+            F.lit(c.lower() in forced_low or drop_reason(c, []) is not None).alias("forced"),
+            F.coalesce(F.col(f"v_{c}"), F.lit(0.0)).alias("monotone_fraction"),
         )
-    d = row.select(F.inline(F.array(*items)))
+        for i, c in enumerate(columns)
+    ]
+    n, rows = (F.coalesce(c, F.lit(0)) for c in (F.col("n"), F.col("rows")))
+    unique = F.coalesce("unique_count", F.lit(0))
+    d = mono.select(F.inline(F.array(*items))).join(F.broadcast(counts), "i", "left").select(
+        "column_name",
+        "forced",
+        (n / F.greatest(rows, F.lit(1))).alias("numeric_ratio"),
+        unique.alias("unique_count"),
+        (unique / F.greatest(n, F.lit(1))).alias("unique_ratio"),
+        "monotone_fraction",
+    )
     reason = (
         F.when(F.col("forced"), "forced_leakage_or_identifier_drop")
         .when(F.col("numeric_ratio") < min_ratio, "mostly_non_numeric")
