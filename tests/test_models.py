@@ -158,3 +158,24 @@ def test_model_tables_round_trip(spark):
     MS.save_calibration(spark, cal, f"{root}/c")
     assert MS.load_calibration(spark, f"{root}/c") == cal
     assert MS.load_calibration(spark, f"{root}/c", {"threshold": 7.0}).threshold == 7.0
+
+
+def test_best_of_several_kmeans_starts_beats_each_single_one(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.3, (25, 2)) for c in ((0, 0), (0, 6), (7, 0), (7, 7), (20, 3), (20, 9))])
+    points = vectors(spark, x).select("id", "vec")
+    centres, cost = C.kmeans_centres(points, 6, 5, 1, 50)
+    plain = ((x[:, None] - centres) ** 2).sum(axis=2)
+    assert np.isclose(cost, plain.min(axis=1).sum())
+    assert cost <= C.kmeans_centres(points, 6, 1, 1, 50)[1] + 1e-9
+    means = np.array([x[plain.argmin(axis=1) == j].mean(axis=0) for j in range(6)])
+    assert np.allclose(means, centres, atol=1e-3)
+    got = C.nearest_centre(points, "vec", centres).toPandas().sort_values("id")["cluster"].to_numpy()
+    assert (got == plain.argmin(axis=1)).all()
+
+
+def test_kmeans_of_few_and_equal_points(spark):
+    same = vectors(spark, np.ones((9, 2))).select("id", "vec")
+    assert C.kmeans_clusters(same, 3).count() == 9
+    assert C.kmeans_clusters(same.limit(2), 5).count() == 2
+    assert C.kmeans_clusters(same.where("id < 0")).count() == 0

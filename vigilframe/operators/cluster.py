@@ -7,14 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.config import materialize
 from vigilframe.functions.scores import hypothesis
-from vigilframe.operators.ordering import top_k
+from vigilframe.operators.ordering import order_hash, top_k
 
 CHUNK_ROWS = 1024
 
@@ -27,15 +25,91 @@ def ood_vectors(df: DataFrame, ident: str, embedding: str, scores: Sequence[str]
     )
 
 
-def kmeans_clusters(points: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
-    """(id, cluster) with k = clamp(floor(sqrt(n)), 1, 8) unless given."""
+def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows of a small matrix, each drawn by its squared distance to those before."""
+    chosen = [int(rng.integers(len(x)))]
+    near = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        total = near.sum()
+        chosen.append(int(rng.choice(len(x), p=near / total)) if total > 0 else int(rng.integers(len(x))))
+        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each row and its squared distance; ties go to the first centre."""
+    d = (x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)
+    at = d.argmin(axis=1)
+    return at, np.maximum(d[np.arange(len(x)), at], 0.0)
+
+
+def _round(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, sums and cost by start and cluster, of all starts in one job.
+
+    A task returns one row per start, cluster and dimension, whatever its number of points.
+    """
+    starts, k, d = centres.shape
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((starts, k, d + 2))
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.stack(b["vec"].to_numpy()).astype(np.float64)
+            wide = np.column_stack([x, np.ones(len(x)), np.zeros(len(x))])
+            for s in range(starts):
+                at, wide[:, -1] = _nearest(x, centres[s])
+                np.add.at(sums[s], at, wide)
+        yield pd.DataFrame({"i": np.arange(sums.size), "v": sums.ravel()})
+
+    got = points.select("vec").mapInPandas(add, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    sums = np.zeros(starts * k * (d + 2))
+    sums[got["i"].to_numpy()] = got["v"].to_numpy()
+    sums = sums.reshape(starts, k, d + 2)
+    return sums[:, :, d], sums[:, :, :d], sums[:, :, d + 1].sum(axis=1)
+
+
+def kmeans_centres(points: DataFrame, k: int, starts: int, seed: int, max_iter: int, tol: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Centres and cost of the best of several K-means starts over (id, vec).
+
+    All starts move side by side: a round is one job whose result is bounded by starts x clusters x dimensions. The first
+    centres of a start are drawn by distance from 8 k points of its own that a seeded hash of the id picks (from all
+    points where there are too few); the rounds read all points. A cluster without points keeps its centre. Rounds end when no centre of any start moves by more than ``tol``.
+    """
+    size = starts * 8 * k
+    picked = points.select(order_hash(seed, "id").alias("h"), "id", "vec").orderBy("h", "id").limit(size).toPandas()
+    x = np.stack(picked["vec"].to_numpy()).astype(np.float64)
+    draws = [x[s::starts] if len(x) == size else x for s in range(starts)]
+    centres = np.stack([_spread(own, k, np.random.default_rng([seed, s])) for s, own in enumerate(draws)])
+    for _ in range(max_iter):
+        n, sums, cost = _round(points, centres)
+        new = np.where(n[:, :, None] > 0, sums / np.maximum(n, 1)[:, :, None], centres)
+        moved = np.sqrt(((new - centres) ** 2).sum(axis=2)).max()
+        centres = new
+        if moved <= tol:
+            break
+    _, _, cost = _round(points, centres)
+    best = int(cost.argmin())
+    return centres[best], float(cost[best])
+
+
+def nearest_centre(df: DataFrame, vector: str, centres: np.ndarray) -> DataFrame:
+    """Adds ``cluster``, the number of the nearest centre; ties go to the first."""
+    dist = [
+        F.aggregate(F.zip_with(vector, F.lit(c.tolist()), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x) for c in centres
+    ]
+    return df.withColumn("__d", F.array(*dist)).withColumn("cluster", (F.array_position("__d", F.array_min("__d")) - 1).cast("int")).drop("__d")
+
+
+def kmeans_clusters(points: DataFrame, k: int | None = None, seed: int = 42, starts: int = 10) -> DataFrame:
+    """(id, cluster) with k = clamp(floor(sqrt(n)), 1, 8) unless given; the best of ``starts`` fits. An empty table has no rows."""
+    points = materialize(points.select("id", F.col("vec").cast("array<double>").alias("vec")), "points")
     n = points.count()
-    k = k or max(1, min(8, int(math.sqrt(n))))
-    feats = points.select("id", array_to_vector("vec").alias("features"))
+    k = min(k or max(1, min(8, int(math.sqrt(n)))), max(n, 1))
     if k < 2:
-        return feats.select("id", F.lit(0).alias("cluster"))
-    model = KMeans(k=k, seed=seed, maxIter=50).fit(feats)
-    return model.transform(feats).select("id", F.col("prediction").alias("cluster"))
+        return points.select("id", F.lit(0).alias("cluster"))
+    centres, _ = kmeans_centres(points, k, starts, seed, 50)
+    return nearest_centre(points, "vec", centres).select("id", "cluster")
 
 
 # --- DBSCAN ----------------------------------------------------------------------------
@@ -277,23 +351,26 @@ def name_phases(centroids: DataFrame, cluster: str) -> DataFrame:
     return d.join(F.broadcast(rest)).select(cluster, F.round("rate", 6).alias("rate"), F.round("cruise", 6).alias("cruise"), name.alias("phase"))
 
 
-def fit_phase_model(fit: DataFrame, features: Sequence[str], k: int = 4, seed: int = 42) -> tuple[KMeansModel, dict[str, tuple[float, float]]]:
+def fit_phase_model(
+    fit: DataFrame, features: Sequence[str], k: int = 4, seed: int = 42, starts: int = 20
+) -> tuple[np.ndarray, dict[str, tuple[float, float]]]:
+    """Centres of the best of ``starts`` fits, and mean and deviation of each feature."""
     row = fit.agg(*[a for c in features for a in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
     scale = {c: (float(row[f"m_{c}"]), float(row[f"s_{c}"]) or 1.0) for c in features}
-    model = KMeans(k=k, seed=seed, maxIter=40).fit(phase_vector(fit, features, scale))
-    return model, scale
+    scaled = phase_vector(fit, features, scale).select(F.xxhash64(*features).alias("id"), F.col("features").alias("vec"))
+    centres, _ = kmeans_centres(materialize(scaled, "points"), k, starts, seed, 40)
+    return centres, scale
 
 
 def phase_vector(df: DataFrame, features: Sequence[str], scale: dict[str, tuple[float, float]]) -> DataFrame:
-    arr = F.array(*[(F.col(c) - scale[c][0]) / scale[c][1] for c in features])
-    return df.withColumn("features", array_to_vector(arr))
+    return df.withColumn("features", F.array(*[(F.col(c) - scale[c][0]) / scale[c][1] for c in features]))
 
 
 def assign_phases(df: DataFrame, fit: DataFrame, features: Sequence[str], k: int = 4, seed: int = 42) -> DataFrame:
     """K-means traffic regimes with names derived from the fit subset's centroids."""
-    model, scale = fit_phase_model(fit, features, k, seed)
-    fitted = model.transform(phase_vector(fit, features, scale)).withColumnRenamed("prediction", "cluster")
+    centres, scale = fit_phase_model(fit, features, k, seed)
+    fitted = nearest_centre(phase_vector(fit, features, scale), "features", centres)
     cent = fitted.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in features])
     names = name_phases(cent, "cluster").select("cluster", "phase")
-    out = model.transform(phase_vector(df, features, scale)).withColumnRenamed("prediction", "cluster").drop("features")
+    out = nearest_centre(phase_vector(df, features, scale), "features", centres).drop("features")
     return out.join(F.broadcast(names), "cluster")
