@@ -325,3 +325,13 @@ def test_resample_reaches_the_target_with_lineage(spark):
     assert got == {("a", "real"): 7, ("b", "real"): 2, ("b", "resampled"): 5}
     per = [r["count"] for r in out.where("row_origin = 'resampled'").groupBy("rid").count().collect()]
     assert sorted(per) == [2, 3]
+
+
+def test_feature_report_of_wide_and_empty_tables(spark):
+    names = [f"c{i}" for i in range(12)]
+    rows = spark.range(40).select("id", *[(F.col("id") % (i + 1)).cast("double").alias(c) for i, c in enumerate(names)])
+    report = C.feature_report(rows, names, ["id"])
+    assert {r.column_name: r.unique_count for r in report.collect()} == {c: i + 1 for i, c in enumerate(names)}
+    assert "Expand" not in report._jdf.queryExecution().optimizedPlan().toString()
+    none = C.feature_report(rows.where("id < 0"), names, ["id"]).collect()
+    assert len(none) == 12 and {(r.unique_count, r.numeric_ratio, r.reason) for r in none} == {(0, 0.0, "mostly_non_numeric")}
