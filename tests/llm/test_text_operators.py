@@ -232,6 +232,20 @@ def test_base_spans_equal_the_patterns(documents):
         assert base_spans(t) == _spans(t)
 
 
+def test_base_counts_and_digest(shipped):
+    texts = [
+        "mail a@b.cd and c@d.ef or 1.2.3.4 call +49 170 1234567 card 4111 1111 1111 1111", "only 9.8.7.6", "+1 201 555 0123", "4242424242424242 x@y.zz", None,
+    ]
+    docs = shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in personal_data(docs).collect()}
+    names = ("email", "ip", "card", "phone")
+    for i, t in enumerate(texts):
+        spans = _spans(t)
+        assert [got[i][f"n_{n}"] for n in names] == [sum(s[1] == k for s in spans) for k in range(4)]
+        joined = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+
+
 def test_contexts_reveal_identifiers(shipped, odd):
     known = [(i, f"some words call the office +1 (201) 555-{1000 + i} before noon today and more") for i in range(12)]
     more = [(100, "some words call the office 201 555-7777 before noon today and more".replace("201 555", "201-555")), (101, "lot 201-555-8888 of bread")]
