@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilframe.functions import text as X
+from vigilframe.catalog.views import ieee_divide, round_double
+from vigilframe.operators import attribution as AT
 from vigilframe.operators import calibrate as K
 from vigilframe.operators import clean as C
 from vigilframe.operators import joins as J
@@ -335,3 +337,17 @@ def test_feature_report_of_wide_and_empty_tables(spark):
     assert "Expand" not in report._jdf.queryExecution().optimizedPlan().toString()
     none = C.feature_report(rows.where("id < 0"), names, ["id"]).collect()
     assert len(none) == 12 and {(r.unique_count, r.numeric_ratio, r.reason) for r in none} == {(0, 0.0, "mostly_non_numeric")}
+
+
+def test_contributions_equal_to_nine_places_tie(spark):
+    rows = [(1, 7, 1.0, 0.5, 0.5), (1, 8, 1.0 + 1e-12, 0.5, 0.5)]
+    ev = spark.createDataFrame(rows, "r long, w long, fused double, thr double, att double")
+    assert AT.record_suspiciousness(ev, "r", "w", "fused", "thr", "att").first()["window_id"] == 7
+
+
+def test_division_and_rounding_as_in_sql(spark):
+    rows = [(0.0, 0.0), (2.0, 0.0), (-2.0, 0.0), (1.0, 4.0), (None, 0.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a double, b double").select(ieee_divide(F.col("a"), F.col("b"))).collect()]
+    assert math.isnan(got[0]) and got[1:] == [math.inf, -math.inf, 0.25, None]
+    rounded = spark.createDataFrame([((0.95 - 25.73) / 1e-6,), (-0.125,), (1e300,), (None,)], "x double")
+    assert [r[0] for r in rounded.select(round_double("x", 8)).collect()] == [-24780000.00000001, -0.125, 1e300, None]

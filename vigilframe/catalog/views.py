@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,24 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def ieee_divide(a: Column, b: Column) -> Column:
+    """Quotient of doubles as the SQL has it: by zero it is infinite, or NaN for 0 / 0."""
+    by_zero = F.when(a > 0, F.lit(math.inf)).when(a < 0, F.lit(-math.inf)).when(a.isNotNull(), F.lit(math.nan))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
+def round_double(c: Column | str, places: int) -> Column:
+    """round() of a double as the SQL has it: the scaled number is rounded, half away from zero, and scaled back.
+
+    ``F.round`` rounds the decimal digits of the number instead; the two part where the scaled number has no room for a
+    fraction.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    scaled = F.abs(c) * F.lit(10.0**places)
+    whole = F.when(scaled < 2.0**52, F.floor(scaled + 0.5).cast("double")).otherwise(scaled)
+    return F.when(F.isnan(c) | (scaled == math.inf), c).otherwise(F.signum(c) * whole / F.lit(10.0**places))
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a keyed, time-ordered, labelled record table."""
     e = table(spark, sf, "events")
