@@ -339,6 +339,12 @@ def test_feature_report_of_wide_and_empty_tables(spark):
     assert len(none) == 12 and {(r.unique_count, r.numeric_ratio, r.reason) for r in none} == {(0, 0.0, "mostly_non_numeric")}
 
 
+def test_shares_of_a_count_are_exact(spark):
+    df = spark.range(90).withColumn("g", F.lit("a"))
+    out = P.chronological_split(df, F.lit(False), ["id"], group="g").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in out} == {"train": 63, "val": 13, "test_id": 14}
+
+
 def test_contributions_equal_to_nine_places_tie(spark):
     rows = [(1, 7, 1.0, 0.5, 0.5), (1, 8, 1.0 + 1e-12, 0.5, 0.5)]
     ev = spark.createDataFrame(rows, "r long, w long, fused double, thr double, att double")

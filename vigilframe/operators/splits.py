@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from vigilframe.operators.ordering import match_keys, match_small, order_hash, position, running_sums, settle
 
 
+def exact_share(share: float) -> Column:
+    """A share as the decimal it is written as, so that a share of a count lies on neither side of its true value."""
+    return F.lit(Decimal(repr(share)))
+
+
 def interleave(
     df: DataFrame, label: str, record_id: str, chunk: int, seed: int, keys: Sequence[str] = (), name: str = "seq"
 ) -> DataFrame:
@@ -26,8 +32,8 @@ def interleave(
 def stratified_cuts(counts: DataFrame, label: str, n: str = "n", train: float = 0.70, val: float = 0.15) -> DataFrame:
     """Train and validation sizes per label, each part at least one row."""
     total = F.col(n)
-    t0 = F.greatest(F.lit(1), F.bround(total * train)).cast("long")
-    v0 = F.greatest(F.lit(1), F.bround(total * val)).cast("long")
+    t0 = F.greatest(F.lit(1), F.bround(total * exact_share(train))).cast("long")
+    v0 = F.greatest(F.lit(1), F.bround(total * exact_share(val))).cast("long")
     sized = counts.select(label, total.alias("n"), t0.alias("t0"), v0.alias("v0"))
     short = F.greatest(F.lit(0), 1 - (F.col("n") - F.col("t0") - F.col("v0")))
     # repair one row at a time; at most two rows can be missing
@@ -66,7 +72,7 @@ def stratified_split(df: DataFrame, label: str, record_id: str, seed: int) -> Da
 
 def global_ratio_cuts(counts: DataFrame, label: str, total: int, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """Exact overall sizes, shared out over labels by largest remainder."""
-    n_train, n_val = max(1, int(total * train)), max(1, int(total * val))
+    n_train, n_val = (max(1, int(total * Decimal(repr(share)))) for share in (train, val))
     if total - n_train - n_val < 1:
         raise ValueError("too few rows for the requested split ratios")
     first = quotas(counts, label, "n", n_train, 0).withColumnRenamed("quota", "n_train")
@@ -90,8 +96,8 @@ def chronological_split(
     keys = ["__ood"] if group is None else ["__ood", group]
     placed = position(flagged, keys, order, "__p", size_name="__n", buckets=buckets)
     n = F.col("__n")
-    n_train = F.greatest(F.lit(1), F.floor(n * train))
-    n_val0 = F.greatest(F.lit(1), F.floor(n * val))
+    n_train = F.greatest(F.lit(1), F.floor(n * exact_share(train)))
+    n_val0 = F.greatest(F.lit(1), F.floor(n * exact_share(val)))
     v_avail = F.least(n_val0, F.greatest(n - n_train, F.lit(0)))
     empty_test = (n - n_train - n_val0) <= 0
     n_val = F.when(empty_test & (v_avail > 1), F.floor(v_avail / 2)).otherwise(v_avail)
