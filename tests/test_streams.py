@@ -218,3 +218,13 @@ def test_fused_rows_equal_batch(spark):
         assert np.isclose(r.fused, w.fused) and r.dominant_source == w.dominant_source and r.is_ood == w.is_ood and r.collecting == w.collecting
         assert (r.score is None) == (w.score is None) and (r.score is None or np.isclose(r.score, w.score))
     assert any(r.degenerate for r in seen) and any(r.is_ood for r in seen)
+
+
+WARM = "key string, window_idx long, raw_score double, calibrated double, benign boolean"
+# the last score is 1.5 but for its last places
+AT_THRESHOLD = [("a", i, v, 0.0, i < 3) for i, v in enumerate([0.1, 0.2, 0.3, 0.35000000000000003])]
+
+
+def test_a_score_at_the_threshold_is_not_above_it(spark):
+    out = J.warmup_thresholds_batch(spark.createDataFrame(AT_THRESHOLD, WARM)).where("not collecting").first()
+    assert out["score"] > 1.5 and out["score"] - 1.5 < 1e-9 and not out["is_ood"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vigilframe.catalog.calibration import _FUSED, score_table
 from vigilframe.catalog.monitoring import uav_detections
 from vigilframe.catalog.registry import SQL, query
-from vigilframe.catalog.views import REC, VECTOR_CLASSES, count_window_sql, r6, records, vectors
+from vigilframe.catalog.views import REC, VECTOR_CLASSES, count_window_sql, r6, records, round_double, vectors
 from vigilframe.catalog.windows import _adaptive_sql
 from vigilframe.config import materialize, shared_dir
 from vigilframe.functions.fixed import SCORE_NAMES
@@ -197,7 +197,7 @@ def warm_windows(spark, sf):
 def _warm_out(df):
     return df.select(
         "key", "window_idx", F.round("raw_score", 5).alias("raw_score"), "collecting", "threshold_source",
-        F.round("score", 8).alias("score"), "is_ood",
+        round_double("score", 8).alias("score"), "is_ood",
     )
 
 

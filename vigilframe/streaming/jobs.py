@@ -70,7 +70,7 @@ def warmup_thresholds_batch(
     """The same state machine over a finished table, as aggregates and joins.
 
     A group is collecting until its first non-benign window; the frozen statistics are
-    quantiles of the windows before it.
+    quantiles of the windows before it. A score equal to the threshold to nine places is not above it.
     """
     first = windows.groupBy("key").agg(F.min(F.when(~F.col("benign"), F.col("window_idx"))).alias("__freeze"))
     d = match_small(windows, first, ["key"])
@@ -97,7 +97,7 @@ def warmup_thresholds_batch(
         F.when(~collecting, thr).alias("threshold"),
         F.when(collecting, "warmup_collecting").otherwise(source).alias("threshold_source"),
         collecting.alias("collecting"),
-        F.coalesce(~collecting & (score > thr), F.lit(False)).alias("is_ood"),
+        F.coalesce(~collecting & (F.round(score, 9) > F.round(thr, 9)), F.lit(False)).alias("is_ood"),
     )
 
 
