@@ -1,5 +1,7 @@
 """Model operators against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +121,14 @@ def test_kmeans_size_rule(spark):
     assert len(set(got)) == 3 and all(len(set(got[i:i + 10])) == 1 for i in (0, 10, 20))
 
 
+def test_affinity_is_taken_to_nine_places():
+    x = np.array([[[1.0, 2.0], [3.0, 4.0], [0.0, 0.0]]])
+    for kind, s in (("cosine", round(11 / math.sqrt(125), 9)), ("rbf", -8.0)):
+        sim, w = GR.window_affinity(x, kind, 1.0)
+        assert sim[0, 0, 1] == s and w[0, 0, 1] == np.exp(s)
+    assert GR.window_affinity(x, "cosine", 1.0)[0][0, 0, 2] == 0
+
+
 def test_random_graph_differs_from_nearest(spark):
     rng = np.random.default_rng(8)
     packed = spark.createDataFrame([(0, rng.normal(size=(12, 3)).tolist())], "w long, features array<array<double>>")

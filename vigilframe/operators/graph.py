@@ -15,13 +15,17 @@ VARIANTS = ("binary", "directed", "mutual", "sym_weighted", "identity")
 
 
 def window_affinity(x: np.ndarray, kind: str, tau: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ranking similarity and edge affinity for a stack of windows (windows, records, features)."""
+    """Ranking similarity and edge affinity for a stack of windows (windows, records, features).
+
+    Similarities are taken to nine places, for the rank and for the affinity: those equal to nine places count as ties.
+    """
     if kind == "cosine":
-        unit = x / np.clip(np.linalg.norm(x, axis=2, keepdims=True), 1e-8, None)
-        sim = unit @ unit.transpose(0, 2, 1)
+        dots = (x[:, :, None, :] * x[:, None, :, :]).sum(axis=3)
+        square = np.clip(np.einsum("wii->wi", dots), 1e-16, None)
+        sim = np.round(np.clip(dots / np.sqrt(square[:, :, None] * square[:, None, :]), -1.0, 1.0), 9)
         return sim, np.exp(sim / tau)
     if kind in ("rbf", "euclidean"):
-        d2 = np.square(x[:, :, None, :] - x[:, None, :, :]).sum(axis=3)
+        d2 = np.round(np.square(x[:, :, None, :] - x[:, None, :, :]).sum(axis=3), 9)
         return -d2, np.exp(-d2 / tau)
     raise ValueError(f"unknown affinity: {kind}")
 
@@ -37,8 +41,8 @@ def window_adjacency(
     if variant not in VARIANTS:
         raise ValueError(f"unknown graph variant: {variant}")
     sim, w = window_affinity(x, kind, tau)
-    # similarities equal to nine places count as ties, which go to the lower position
-    order = np.round(sim, 9) if rank is None else -rank
+    # ties go to the lower position
+    order = sim.copy() if rank is None else -rank
     order[:, np.arange(n), np.arange(n)] = -np.inf
     mask = np.zeros((m, n, n))
     if n > 1:
