@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vigilframe.catalog.streams import mean_in_order
 from vigilframe.config import shared_dir
 from vigilframe.operators import calibrate as K
 from vigilframe.operators import scoring as G
@@ -228,3 +229,15 @@ AT_THRESHOLD = [("a", i, v, 0.0, i < 3) for i, v in enumerate([0.1, 0.2, 0.3, 0.
 def test_a_score_at_the_threshold_is_not_above_it(spark):
     out = J.warmup_thresholds_batch(spark.createDataFrame(AT_THRESHOLD, WARM)).where("not collecting").first()
     assert out["score"] > 1.5 and out["score"] - 1.5 < 1e-9 and not out["is_ood"]
+
+
+def test_state_tables_at_the_threshold(spark):
+    out = WarmupBatches(shared_dir(spark, "t12")).step(spark.createDataFrame(AT_THRESHOLD, WARM), 0).where("not collecting").first()
+    assert out["score"] > 1.5 and not out["is_ood"]
+
+
+def test_window_means_add_in_order(spark):
+    rows = [(i, v) for i, v in enumerate([0.1, 0.2, 0.3, 1e16])]
+    for order in (rows, rows[::-1]):
+        got = spark.createDataFrame(order, "p long, v double").agg(mean_in_order("v", "p", 4)).first()[0]
+        assert got == (((0.1 + 0.2) + 0.3) + 1e16) / 4
