@@ -64,6 +64,25 @@ def test_blocked_knn_with_a_third_of_copies(spark):
     assert np.allclose([r["knn"] for r in small], -sim.mean(axis=1))
 
 
+def test_knn_of_a_large_bank_is_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    bank, x = rng.normal(size=(300, 4)), rng.normal(size=(50, 4))
+    widest = []
+    keep = np.partition
+    monkeypatch.setattr(G, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(G.np, "partition", lambda a, *r, **o: widest.append(a.shape[1]) or keep(a, *r, **o))
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    exp = -np.sort(unit(x) @ unit(bank).T, axis=1)[:, -5:].mean(axis=1)
+    assert np.allclose(G._nearest(x, unit(bank), 5), exp) and max(widest) <= 37
+    monkeypatch.undo()
+    q = vectors(spark, x).select("id", F.lit(None).cast("string").alias("g"), F.col("vec").alias("__x"))
+    monkeypatch.setattr(G, "BANK_PART_BYTES", 2000)
+    df = G.blocked_knn(q, ["id", "g"], "`id` bigint, `g` string", vectors(spark, bank), "vec", 5, rows_per_block=16)
+    assert np.allclose([r["knn"] for r in df.orderBy("id").collect()], exp)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+
+
 def brute_dbscan(x, eps, m):
     near = np.linalg.norm(x[:, None] - x[None], axis=2) <= eps
     core = near.sum(axis=1) >= m

@@ -7,17 +7,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.config import is_small
+from vigilframe.config import is_small, materialize
 from vigilframe.operators.ordering import match_keys
 
 BLOCK_ROWS = 2048
 # A bank of more rows is never collected, whatever its estimated size.
-BANK_ROWS = 200_000
+BANK_ROWS = 20_000
+# Part of a packed bank that one task passes its windows over.
+BANK_PART_BYTES = 64 * 1024 * 1024
 
 
 @dataclass
@@ -174,9 +178,24 @@ def _distances(x: np.ndarray, model: PrototypeModel, t: float) -> dict[str, np.n
     return {"conf": 1 - (1 / (1 + np.exp(-z))).max(axis=1), "energy": energy, "proto": np.sqrt(np.clip(best, 0, None))}
 
 
+def _merge_best(best: np.ndarray | None, unit: np.ndarray, block: np.ndarray, k: int) -> np.ndarray:
+    """The k largest cosines of each row so far, after one more block of unit vectors; no order inside a row."""
+    sims = unit @ block.T
+    if best is not None and best.shape[1] == k:
+        # only rows that the block improves are sorted again
+        rows = np.flatnonzero(sims.max(axis=1) > best.min(axis=1))
+        best[rows] = np.partition(np.hstack([best[rows], sims[rows]]), -k, axis=1)[:, -k:]
+        return best
+    wide = sims if best is None else np.hstack([best, sims])
+    return np.partition(wide, -k, axis=1)[:, -k:] if wide.shape[1] > k else wide
+
+
 def _nearest(x: np.ndarray, bank: np.ndarray, k: int) -> np.ndarray:
-    kk = min(max(1, k), len(bank))
-    return -np.partition(_unit(x) @ bank.T, -kk, axis=1)[:, -kk:].mean(axis=1)
+    """Negative mean of the k largest cosines, in blocks of the bank."""
+    unit, best = _unit(x), None
+    for lo in range(0, len(bank), BLOCK_ROWS):
+        best = _merge_best(best, unit, bank[lo:lo + BLOCK_ROWS], max(1, k))
+    return -best.mean(axis=1)
 
 
 def _batched(keep: DataFrame, ids: Sequence[str], names: Sequence[str], score) -> DataFrame:
@@ -224,9 +243,9 @@ def knn_scores(
 ) -> DataFrame:
     """Negative mean of the k largest cosines to the bank, exact for any bank size.
 
-    A bank of proven small size goes to every executor. A larger one is cut into
-    blocks of bounded size; each window chunk meets each block once and keeps only its k
-    best of that block, so k rows per block are merged instead of all pairs.
+    A bank of proven small size goes to every executor. A larger one is packed into
+    blocks of bounded size; a task passes the blocks of a part of the bank by each of its
+    window chunks and keeps the k best, so k numbers per window and part are merged instead of all pairs.
     """
     keep = _vectors(df, ids, vector)
     shared = _small_bank(df, bank, bank_vector)
@@ -240,40 +259,74 @@ def blocked_knn(
     keep: DataFrame, ids: Sequence[str], fields: str, bank: DataFrame, bank_vector: str, k: int,
     rows_per_block: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Block-wise top-k of cosines merged per window."""
-    bank_vecs = bank.select(F.col(bank_vector).cast("array<double>").alias("b"))
-    n_bank = max(bank_vecs.count(), 1)
-    n_blocks = -(-n_bank // rows_per_block)
-    salted = bank_vecs.withColumn("blk", F.pmod(F.xxhash64("b"), F.lit(n_blocks)).cast("int"))
-    # equal vectors share a hash, so a heavy block is split again by a running chunk number
-    chunked = salted.withColumn("chunk", F.spark_partition_id()).groupBy("blk", "chunk").agg(
-        F.collect_list("b").alias("bank_block")
-    )
-    queries = keep.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    packed = queries.withColumn("qchunk", F.pmod(F.xxhash64(*ids), F.lit(64))).withColumn(
-        "qpart", F.spark_partition_id()
-    ).groupBy("blk", "qchunk", "qpart").agg(F.collect_list(F.struct(*ids, "__x")).alias("rows"))
-    pairs = packed.join(chunked, "blk")
+    """Block-wise top-k of cosines merged per window; ``fields`` are the ids with their types.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for rows, block in zip(b["rows"], b["bank_block"]):
-                base = _unit(np.stack([np.asarray(v) for v in block]).astype(np.float64))
-                kk = min(k, len(base))
-                x = _unit(np.stack([np.asarray(r["__x"]) for r in rows]).astype(np.float64))
-                sim = np.partition(x @ base.T, -kk, axis=1)[:, -kk:]
-                frame = pd.DataFrame({c: [r[c] for r in rows] for c in ids})
-                frame["sims"] = list(sim)
-                yield frame
-
-    best = pairs.select("rows", "bank_block").mapInPandas(run, fields + ", sims array<double>")
-    merged = best.groupBy(*ids).agg(F.flatten(F.collect_list("sims")).alias("s"))
-    top = F.slice(F.reverse(F.array_sort("s")), 1, max(1, k))
+    Both sides are packed where they lie, unit vectors as bytes. Chunks of windows and parts of the bank meet in a
+    Cartesian product, which repeats neither in a shuffle: memory is bounded by a chunk, a block and their cosines.
+    """
+    k = max(1, k)
+    windows = materialize(_packed(keep, "__x", rows_per_block, fields), "windows")
+    blocks = materialize(_packed(bank.select(F.col(bank_vector).cast("array<double>").alias("__x")), "__x", rows_per_block, ""), "bank")
+    size = blocks.agg(F.sum(F.octet_length("x"))).first()[0] or 0
+    parts = blocks.select(F.col("x").alias("block")).coalesce(-(-size // BANK_PART_BYTES) or 1)
+    # a small file is one task, however many chunks it holds
+    tasks = min(max(windows.count(), 1), 4 * windows.sparkSession.sparkContext.defaultParallelism)
+    pairs = windows.repartition(tasks).join(parts.hint("shuffle_replicate_nl"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = best = unit = rows = None
+        for batch in batches:
+            for i, key in enumerate(batch.column("chunk").to_pylist()):
+                if key != chunk:
+                    if best is not None:
+                        yield _best_rows(rows, best)
+                    rows = batch.column("rows")[i].values
+                    chunk, unit, best = key, _matrix(batch.column("x")[i], len(rows)), None
+                block = batch.column("block")[i]
+                best = _merge_best(best, unit, _matrix(block, len(block.as_buffer()) // (8 * unit.shape[1])), k)
+        if best is not None:
+            yield _best_rows(rows, best)
+
+    listed = "__row long" + (f", {fields}" if fields else "")
+    found = pairs.mapInArrow(run, f"{listed}, sims array<double>")
+    merged = found.groupBy("__row", *ids).agg(F.flatten(F.collect_list("sims")).alias("s"))
+    top = F.slice(F.reverse(F.array_sort("s")), 1, k)
     return merged.select(
         *ids, (-F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top)).alias("knn")
     )
 
 
+def _packed(df: DataFrame, vector: str, rows: int, fields: str) -> DataFrame:
+    """Chunks of at most ``rows`` rows: chunk, rows (their number and the other columns), and x, their unit vectors as bytes."""
+    struct = "__row: bigint" + "".join(f", `{n}`: {df.schema[n].dataType.simpleString()}" for n in df.columns if n != vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for lo in range(0, len(batch), rows):
+                part = batch.slice(lo, rows)
+                x = _unit(np.stack(part.column(vector).to_numpy(zero_copy_only=False)).astype(np.float64))
+                others = [n for n in part.schema.names if n != vector]
+                numbers = pa.array(np.arange(first, first + len(part)))
+                cells = pa.StructArray.from_arrays([numbers, *[part.column(n) for n in others]], ["__row", *others])
+                listed = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), cells)
+                yield pa.RecordBatch.from_arrays([pa.array([first]), listed, pa.array([x.tobytes()], pa.binary())], ["chunk", "rows", "x"])
+                first += len(part)
+
+    return df.mapInArrow(run, f"chunk long, rows array<struct<{struct}>>, x binary")
+
+
+def _matrix(cell: pa.BinaryScalar, rows: int) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), dtype=np.float64).reshape(rows, -1)
+
+
+def _best_rows(rows: pa.StructArray, best: np.ndarray) -> pa.RecordBatch:
+    """The rows of a chunk, each with its best cosines."""
+    offsets = pa.array(np.arange(0, best.size + 1, best.shape[1]), pa.int32())
+    sims = pa.ListArray.from_arrays(offsets, pa.array(best.ravel()))
+    return pa.RecordBatch.from_arrays([*rows.flatten(), sims], [*[f.name for f in rows.type], "sims"])
+
+
 def raw_scores(
     df: DataFrame,
     ids: Sequence[str],
