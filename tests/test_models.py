@@ -106,6 +106,20 @@ def test_dbscan_brute_force(spark, monkeypatch, chunk):
     assert [r["cluster"] for r in got] == brute_dbscan(x, 0.6, 4)
 
 
+def test_dbscan_counts_do_not_go_by_the_order_in_a_chunk(spark):
+    # a chunk meets itself as two reads of a shuffle, which need not agree in their order
+    points = [(i, [10.0 * i], False) for i in range(6)]
+    struct = "array<struct<id: bigint, vec: array<double>, core: boolean>>"
+    pairs = spark.createDataFrame([(points, points[::-1], True)], f"a {struct}, b {struct}, same boolean")
+    assert {r["id"]: r["n"] for r in C._neighbour_counts(pairs, 1.0).collect()} == {i: 1 for i in range(6)}
+
+
+def test_dbscan_of_vectors_far_from_the_origin(spark):
+    x = np.array([[1e9, 0.0], [1e9, 0.5], [1e9, 1.0], [1e9, 3.0]])
+    got = C.dbscan(vectors(spark, x).select("id", "vec"), 0.6, 2).orderBy("id").collect()
+    assert [r["cluster"] for r in got] == [0, 0, 0, -1]
+
+
 def test_components_of_a_long_chain(spark):
     nodes = spark.range(200).select("id")
     edges = spark.range(199).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).where("src <> 120")

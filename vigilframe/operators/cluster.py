@@ -149,8 +149,13 @@ def _arrays(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
-    d2 = np.square(a).sum(1)[:, None] + np.square(b).sum(1)[None, :] - 2 * (a @ b.T)
-    return d2 <= eps * eps + 1e-12
+    """Pairs of rows at a distance of at most eps; where the product's error could decide, the differences do."""
+    norms = np.square(a).sum(1)[:, None] + np.square(b).sum(1)[None, :]
+    d2 = norms - 2 * (a @ b.T)
+    near = d2 <= eps * eps
+    for i, j in zip(*np.nonzero(np.abs(d2 - eps * eps) <= 1e-12 * (1 + norms))):
+        near[i, j] = math.sqrt(np.square(a[i] - b[j]).sum()) <= eps
+    return near
 
 
 def _neighbour_counts(pairs: DataFrame, eps: float) -> DataFrame:
@@ -161,7 +166,7 @@ def _neighbour_counts(pairs: DataFrame, eps: float) -> DataFrame:
                 ib, vb, _ = _arrays(b)
                 near = _within(va, vb, eps)
                 if same:
-                    np.fill_diagonal(near, True)
+                    # both sides hold the same rows, but not in the same order: nothing may go by places
                     yield pd.DataFrame({"id": ia, "n": near.sum(axis=1)})
                 else:
                     yield pd.DataFrame({"id": np.concatenate([ia, ib]), "n": np.concatenate([near.sum(1), near.sum(0)])})
