@@ -8,6 +8,7 @@ import string
 import oracle
 from pyspark.sql import functions as F
 
+from vigilframe.llm import licenses as L
 from vigilframe.llm import queries as Q
 from vigilframe.llm.decontaminate import contamination
 from vigilframe.llm.licenses import scan
@@ -296,3 +297,24 @@ def test_licences_of_wrapped_dual_and_unseen_notices(documents):
     families = {i: got[i].families for i, _ in texts}
     assert families == {90_001: "mit", 90_002: "bsd", 90_003: "isc", 90_004: "apache,mit", 90_005: "", None: "mit", 90_006: "", 90_007: "agpl"}
     assert got[90_005].n_unknown == 1 and got[90_006].n_unknown == 0 and got[90_001].n_paragraphs == 3
+
+
+def test_licence_models_count_every_paragraph(shipped):
+    """All paragraphs stand in the model and the threshold, by exact counts of the notice pairs that they hold."""
+    texts = ["under the tree he sat\n\nnothing here"] * 300 + ["one of the people"] * 50 + ["the MIT license"] * 7
+    docs = shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = {r["g"] for r in L.notices(shipped).select(F.explode("pairs").alias("g")).collect()}
+    pair = lambda a, b: shipped.range(1).select(F.xxhash64(F.lit(a), F.lit(b))).first()[0]
+    assert pair("under", "the") in known and pair("of", "the") in known and pair("one", "of") not in known
+    got = {}
+    kept = L.ordinary
+    try:
+        L.ordinary = lambda *a: got.setdefault("plain", kept(*a))
+        out = scan(docs, negatives=10)
+    finally:
+        L.ordinary = kept
+    counts = {tuple(r["pairs"]): r["n"] for r in got["plain"].collect()}
+    assert counts == {(): 300, (pair("under", "the"),): 300, (pair("of", "the"),): 50}
+    rows = L.training_rows(shipped, got["plain"], 10).where("family = 'none'").collect()
+    assert {tuple(r["pairs"]): round(r["weight"], 9) for r in rows} == {k: round(n * 10 / 650, 9) for k, n in counts.items()}
+    assert {r["families"] for r in out.where("n_licensed > 0").collect()} == {"mit"} and out.where("n_licensed > 0").count() == 7
