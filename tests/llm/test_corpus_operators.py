@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from vigilframe.llm import phrases, sharding, variants
+from vigilframe.llm.common import may_match
 
 
 def lower(text):
@@ -230,3 +231,12 @@ def test_words_beyond_the_spelled_length(shipped):
 
 def test_no_words(none):
     assert variants.spelling_variants(none).count() == 0
+
+
+def test_filter_of_keys_drops_rows_without_a_partner_before_the_join(shipped):
+    rows = shipped.range(20_000).select(F.when(F.col("id") != 5, F.col("id")).alias("k"), F.col("id").alias("v"))
+    others = shipped.range(0, 20_000, 40).select(F.col("id").alias("o")).union(shipped.range(1).select(F.lit(None).cast("long")))
+    got = may_match(rows, F.struct("k"), others, F.struct("o"))
+    assert got.columns == ["k", "v", "__may"] and got.count() == 20_000
+    left = {r["v"] for r in got.where("__may").collect()}
+    assert left >= {5, *range(0, 20_000, 40)} and len(left) < 510

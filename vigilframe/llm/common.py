@@ -12,6 +12,9 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 SPACES = r"[\x20\x09-\x0D]+"
 # A side of a join is handed to every executor only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 20_000
+# Places of a filter of keys, and of one of its rows (the size of Spark's bitmaps).
+FILTER_BITS = 1 << 26
+CELL_BITS = 1 << 15
 
 
 def lower_ascii(text: Column) -> Column:
@@ -30,6 +33,22 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def may_match(df: DataFrame, key: Column, others: DataFrame, other_key: Column) -> DataFrame:
+    """Add ``__may``: false only for rows whose key none of the ``others`` has; such rows need not go to a join.
+
+    A table of ``FILTER_BITS`` bits, in cells of 4 KB, holds a place for every key of the others: some 8 MB for any size.
+    Keys that share a place by chance are left to the join. A null key is a key like any other.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS))
+    held = others.select(place(other_key).alias("__p")).select(F.expr(f"__p div {CELL_BITS}").alias("__cell"), "__p").repartition("__cell")
+    cells = held.groupBy("__cell").agg(F.bitmap_construct_agg(F.col("__p") % CELL_BITS).alias("__bits"))
+    cells = F.broadcast(materialize(cells, "filter"))
+    byte = F.conv(F.hex(F.substring("__bits", F.expr(f"__p % {CELL_BITS} div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.getbit(byte, (F.col("__p") % 8).cast("int")) == 1
+    dealt = df.withColumn("__p", place(key)).withColumn("__cell", F.expr(f"__p div {CELL_BITS}")).join(cells, "__cell", "left")
+    return dealt.select(*df.columns, F.coalesce(found, F.lit(False)).alias("__may"))
+
+
 def running_totals(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
     """Add for each name in ``values`` the sum over all rows that come before a row in ``order``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.config import materialize
-from vigilframe.llm.common import connected_components, small_side
+from vigilframe.llm.common import connected_components, may_match, small_side
 from vigilframe.llm.words import WordHashes
 
 # 16 bands of 3 coordinates: a pair at a similarity of 0.8 shares no band with a chance of (1 - 0.8^3)^16 = 1e-5.
@@ -189,6 +189,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = nodes.select("node", "digest", "k").join(met.select("node").distinct(), "node", "left_semi")
     wanted = materialize(wanted, "met")
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.md5(F.col(text)).alias("digest"), F.col(text).alias("t"))
+    # most texts meet nobody: they are dropped where they lie, before the join moves the rest
+    texts = may_match(texts, F.struct("node", "digest"), wanted, F.struct("node", "digest")).where("__may").drop("__may")
     sets = materialize(shingle_sets(texts.join(small_side(wanted), ["node", "digest"]), size), "sets")
     # Rows that the input repeats are one set.
     repeated = materialize(sets.where("k > 1").dropDuplicates(["node", "digest"]), "sets")
