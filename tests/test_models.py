@@ -1,8 +1,10 @@
 """Model operators against brute force."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,34 @@ def test_knn_of_a_large_bank_is_bounded(spark, monkeypatch):
     assert "CartesianProduct" in plan
 
 
+def test_knn_holds_one_batch_and_a_strip_of_cosines():
+    rng = np.random.default_rng(5)
+    unit = G._unit(rng.normal(size=(2048, 8)))
+    held = []
+
+    def batches():
+        for chunk in np.repeat(np.arange(3), 4):
+            x = unit[chunk * 10:chunk * 10 + 10]
+            rows = pa.array([[{"__row": int(chunk * 10 + i)} for i in range(10)]])
+            filler = pa.array([bytes(1 << 22)])  # stands for a full batch
+            held.append(pa.total_allocated_bytes())
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), rows, pa.array([x.tobytes()]), pa.array([unit.tobytes()]), filler],
+                                             ["chunk", "rows", "x", "block", "filler"])
+            del rows, filler
+
+    got = [r for b in G._pass_blocks(batches(), 4) for r in b.to_pylist()]
+    assert max(held) - held[0] < 1 << 20
+    near = np.sort(unit[:30] @ unit.T, axis=1)
+    for r in got:  # each block came four times
+        assert np.allclose(r["sims"], near[r["__row"], -1])
+    assert len(got) == 30
+
+    tracemalloc.start()
+    G._merge_best(G._merge_best(None, unit, unit, 5), unit, unit[::-1], 5)
+    assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    tracemalloc.stop()
+
+
 def brute_dbscan(x, eps, m):
     near = np.linalg.norm(x[:, None] - x[None], axis=2) <= eps
     core = near.sum(axis=1) >= m

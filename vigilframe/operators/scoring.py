@@ -18,6 +18,8 @@ from vigilframe.config import is_small, materialize
 from vigilframe.operators.ordering import match_keys
 
 BLOCK_ROWS = 2048
+# Windows whose cosines to a block are one matrix.
+STRIP_ROWS = 256
 # A bank of more rows is never collected, whatever its estimated size.
 BANK_ROWS = 20_000
 # Part of a packed bank that one task passes its windows over.
@@ -180,13 +182,21 @@ def _distances(x: np.ndarray, model: PrototypeModel, t: float) -> dict[str, np.n
 
 def _merge_best(best: np.ndarray | None, unit: np.ndarray, block: np.ndarray, k: int) -> np.ndarray:
     """The k largest cosines of each row so far, after one more block of unit vectors; no order inside a row."""
-    sims = unit @ block.T
-    if best is not None and best.shape[1] == k:
+    best = np.empty((len(unit), 0)) if best is None else best
+    out = np.empty((len(unit), min(k, best.shape[1] + len(block))))
+    for lo in range(0, len(unit), STRIP_ROWS):
+        at = slice(lo, lo + STRIP_ROWS)
+        out[at] = _merge_strip(best[at], unit[at] @ block.T, k)
+    return out
+
+
+def _merge_strip(best: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
+    if best.shape[1] == k:
         # only rows that the block improves are sorted again
         rows = np.flatnonzero(sims.max(axis=1) > best.min(axis=1))
         best[rows] = np.partition(np.hstack([best[rows], sims[rows]]), -k, axis=1)[:, -k:]
         return best
-    wide = sims if best is None else np.hstack([best, sims])
+    wide = np.hstack([best, sims])
     return np.partition(wide, -k, axis=1)[:, -k:] if wide.shape[1] > k else wide
 
 
@@ -273,22 +283,8 @@ def blocked_knn(
     tasks = min(max(windows.count(), 1), 4 * windows.sparkSession.sparkContext.defaultParallelism)
     pairs = windows.repartition(tasks).join(parts.hint("shuffle_replicate_nl"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = best = unit = rows = None
-        for batch in batches:
-            for i, key in enumerate(batch.column("chunk").to_pylist()):
-                if key != chunk:
-                    if best is not None:
-                        yield _best_rows(rows, best)
-                    rows = batch.column("rows")[i].values
-                    chunk, unit, best = key, _matrix(batch.column("x")[i], len(rows)), None
-                block = batch.column("block")[i]
-                best = _merge_best(best, unit, _matrix(block, len(block.as_buffer()) // (8 * unit.shape[1])), k)
-        if best is not None:
-            yield _best_rows(rows, best)
-
     listed = "__row long" + (f", {fields}" if fields else "")
-    found = pairs.mapInArrow(run, f"{listed}, sims array<double>")
+    found = pairs.mapInArrow(lambda batches: _pass_blocks(batches, k), f"{listed}, sims array<double>")
     merged = found.groupBy("__row", *ids).agg(F.flatten(F.collect_list("sims")).alias("s"))
     top = F.slice(F.reverse(F.array_sort("s")), 1, k)
     return merged.select(
@@ -296,6 +292,25 @@ def blocked_knn(
     )
 
 
+def _pass_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best cosines of the rows of each chunk, from rows (chunk, rows, x, block) in which a chunk's rows lie together."""
+    chunk = best = unit = rows = None
+    for batch in batches:
+        for i, key in enumerate(batch.column("chunk").to_pylist()):
+            if key != chunk:
+                if best is not None:
+                    yield _best_rows(rows, best)
+                # copies: a view would hold its whole batch while the next ones come
+                rows = batch.column("rows")[i].values
+                rows = rows.take(pa.array(np.arange(len(rows))))
+                chunk, unit, best = key, _matrix(batch.column("x")[i], len(rows)).copy(), None
+            block = batch.column("block")[i].as_buffer()
+            best = _merge_best(best, unit, np.frombuffer(block, dtype=np.float64).reshape(-1, unit.shape[1]), k)
+        block = batch = None  # free before the next batch is read
+    if best is not None:
+        yield _best_rows(rows, best)
+
+
 def _packed(df: DataFrame, vector: str, rows: int, fields: str) -> DataFrame:
     """Chunks of at most ``rows`` rows: chunk, rows (their number and the other columns), and x, their unit vectors as bytes."""
     struct = "__row: bigint" + "".join(f", `{n}`: {df.schema[n].dataType.simpleString()}" for n in df.columns if n != vector)
