@@ -79,6 +79,15 @@ def _components(rows):
     return {i: find(i) for i in parent}, {i: sorted(map(len, ss)) for i, ss in sets.items()}
 
 
+def test_places_of_notice_pairs(shipped):
+    rows = [(1, 0, "a b a b c".split()), (1, 1, ["a"]), (2, 0, []), (3, 0, "b c a".split())]
+    lines = shipped.createDataFrame(rows, "row long, line int, w array<string>")
+    known = shipped.createDataFrame([("a", "b"), ("b", "c")], "x string, y string").select(F.xxhash64("x", "y").alias("g"))
+    got = L.notice_places(lines, ["row", "line"], known)
+    assert sorted((r.row, r.line, r.at) for r in got.collect()) == [(1, 0, 0), (1, 0, 2), (1, 0, 3), (3, 0, 0)]
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates_equal_brute_force(odd):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect() if r.doc_id is not None]
     component, sizes = _components(rows)

@@ -75,6 +75,17 @@ def notices(spark: SparkSession) -> DataFrame:
     return _pairs(named.select("family", _words(F.col("t")).alias("w")), "w").select("family", F.array_distinct("pairs").alias("pairs"), F.lit(1.0).alias("weight"))
 
 
+def notice_places(lines: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
+    """(keys, at, g): the places of the ``known`` pairs among the words ``w`` of all lines.
+
+    Words are rows with their successor, hashed in generated code; a lambda over the words is interpreted, which took
+    most of the query's time.
+    """
+    each = lines.select(*keys, "w", F.posexplode("w").alias("at", "x"))
+    pairs = each.select(*keys, "at", "x", F.get("w", F.col("at") + 1).alias("y")).where("y is not null")
+    return pairs.select(*keys, "at", F.xxhash64("x", "y").alias("g")).join(F.broadcast(known), "g").select(*keys, "at", "g")
+
+
 def ordinary(spark: SparkSession, sets: DataFrame, total: int) -> DataFrame:
     """(pairs, n): all ordinary paragraphs of the corpus, counted by the notice pairs that they hold.
 
@@ -173,8 +184,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", negatives:
     keys = ["row", "line"]
     known = materialize(notices(spark).select(F.explode("pairs").alias("g")).distinct(), "known")
     lines = base.select("row", F.posexplode(F.split("t", BLANK)).alias("line", "p")).select(*keys, _words(F.col("p")).alias("w"))
-    hits = _pairs(lines, "w").select(*keys, F.posexplode("pairs").alias("at", "g")).join(F.broadcast(known), "g")
-    hits = materialize(hits.select(*keys, "at", "g"), "hits")
+    hits = materialize(notice_places(lines, keys, known), "hits")
     places = F.sort_array(F.collect_set("at"))
     sets = hits.groupBy(*keys).agg(F.sort_array(F.collect_set("g")).alias("pairs"), places.alias("at"))
     later = F.slice("at", RUN, F.greatest(F.size("at"), F.lit(1)))
