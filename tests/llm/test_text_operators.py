@@ -88,6 +88,15 @@ def test_places_of_notice_pairs(shipped):
     assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_only_sets_of_a_pair_are_joined(shipped, monkeypatch):
+    sets = shipped.range(2000).select(F.col("id").alias("node"), F.array(F.col("id") % 2, F.lit(9)).alias("s"))
+    pairs = shipped.createDataFrame([(2, 4), (2, 5), (7, 5)], "a long, b long")
+    kept, keep = [], neardup.may_match
+    monkeypatch.setattr(neardup, "may_match", lambda *a: kept.append(keep(*a)) or kept[-1])
+    assert sorted(tuple(r) for r in neardup._linked(pairs, sets).collect()) == [(2, 4), (7, 5)]
+    assert [k.where("__may").count() for k in kept] == [2, 2]
+
+
 def test_near_duplicates_equal_brute_force(odd):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect() if r.doc_id is not None]
     component, sizes = _components(rows)

@@ -122,12 +122,17 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough. A ``b`` of many pairs is joined in parts."""
+    """Those of the pairs (a, b) whose full sets are similar enough. A ``b`` of many pairs is joined in parts.
+
+    Sets that stand on no such side of a pair are dropped where they lie: only the others are moved.
+    """
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    asked = lambda side: may_match(sets, F.col("node"), pairs, F.col(side)).where("__may")
     counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_PER_PART).cast("int").alias("parts")).where("parts > 1")
     counts = materialize(counts, "parts")
     dealt = pairs.join(small_side(counts), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).alias("part"))
-    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb")).join(small_side(counts), "b", "left")
+    left = asked("a").select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    right = asked("b").select(F.col("node").alias("b"), F.col("s").alias("sb")).join(small_side(counts), "b", "left")
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     both = F.size(F.array_intersect("sa", "sb"))
     joined = dealt.join(left, "a").join(right, ["b", "part"])
