@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilframe.config import materialize, shared_dir
-from vigilframe.llm.common import small_side
+from vigilframe.llm.common import BROADCAST_ROWS, may_match, small_side
 from vigilframe.llm.curriculum import mix
 from vigilframe.llm.decontaminate import contamination
 from vigilframe.llm.neardup import near_duplicates
@@ -24,11 +24,23 @@ from vigilframe.session import ship
 ORACLE_SQL = None
 
 
+def _drop(docs: DataFrame, key: Column, gone: DataFrame, gone_key: Column, same: Column) -> DataFrame:
+    """Rows of ``docs`` (d) that are the ``same`` as none of the (materialised) ``gone`` (r).
+
+    Where these are too many to be broadcast, rows whose key none of them has stay where they lie; only the rest is moved.
+    """
+    without = lambda d: d.alias("d").join(small_side(gone).alias("r"), same, "left_anti")
+    if gone.count() <= BROADCAST_ROWS:
+        return without(docs)
+    marked = may_match(docs, key, gone, gone_key)
+    return marked.where("not __may").drop("__may").unionByName(without(marked.where("__may").drop("__may")))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rows whose (doc_id, text_hash) is not among the rejected ones."""
-    rejected = small_side(materialize(rejected.select("doc_id", "text_hash").distinct(), "rejected"))
+    rejected = materialize(rejected.select("doc_id", "text_hash").distinct(), "rejected")
     same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("d.text") == F.col("r.text_hash"))
-    return docs.alias("d").join(rejected.alias("r"), same, "left_anti")
+    return _drop(docs, F.struct(F.col("doc_id"), F.xxhash64("text")), rejected, F.struct("doc_id", "text_hash"), same)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +53,7 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document of each group: that of the smallest id, and of rows that repeat an id the smallest one."""
     ship(spark)
     gone = materialize(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    left = docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+    left = _drop(docs, F.col("doc_id"), gone, F.col("doc_id"), F.col("d.doc_id") == F.col("r.doc_id")).select(docs.columns)
     repeated = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeated = small_side(materialize(repeated, "repeated"))
     once = left.join(repeated, "doc_id", "left_anti")

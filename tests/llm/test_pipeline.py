@@ -31,3 +31,16 @@ def test_stages(shipped, odd, tmp_path):
         if name == "token output":
             assert out.count() == docs.count()
         docs = out
+
+
+def test_rejected_rows_leave_without_moving_the_rest(shipped, monkeypatch):
+    docs = shipped.range(3000).select(F.when(F.col("id") % 500 != 7, F.col("id") % 2900).alias("doc_id"), F.concat_ws(" ", F.lit("text"), F.col("id") % 700).alias("text"))
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    rejected = hashed.where("doc_id % 40 = 3 or (doc_id is null and text like '%7')")
+    want = sorted(str(r) for r in docs.where("not coalesce(doc_id % 40 = 3, false) and not (doc_id is null and text like '%7')").collect())
+    assert sorted(map(str, corpus_pipeline._without(docs, rejected).collect())) == want
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", 10)
+    moved, keep = [], corpus_pipeline.may_match
+    monkeypatch.setattr(corpus_pipeline, "may_match", lambda *a: moved.append(keep(*a)) or moved[-1])
+    assert sorted(map(str, corpus_pipeline._without(docs, rejected).collect())) == want
+    assert moved[0].where("__may").count() < 100
