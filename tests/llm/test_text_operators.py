@@ -156,6 +156,25 @@ def test_repeated_rows_where_hubs_settle_nothing(shipped, monkeypatch):
     assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == _components(rows)[0]
 
 
+def test_compared_buckets_do_not_reach_the_prefix_join(shipped, monkeypatch):
+    """Unlike members of small buckets are compared at once: none of their sets is exploded for the exact join."""
+    import random
+
+    r, rows = random.Random(4), []
+    for g in range(40):
+        base = [f"a{g}x{i}" for i in range(120)]
+        for k in range(2 + g % 6):
+            words = list(base)
+            for at in r.sample(range(120), 1 + 4 * (k % 2)):
+                words[at] = f"n{g}k{k}at{at}"
+            rows.append((10 * g + k, " ".join(words)))
+    seen, plain = [], neardup.prefix_pairs
+    monkeypatch.setattr(neardup, "prefix_pairs", lambda left: seen.append(left.count()) or plain(left))
+    got = {x.doc_id: x.component_id for x in near_duplicates(shipped.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _components(rows)[0]
+    assert 1 < len(set(got.values())) < len(got) and seen == [0]
+
+
 def test_recall_of_near_copies(shipped):
     """All pairs of sf0.01 by an inverted index of shingles, against the components."""
     docs = shipped.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.config import materialize
@@ -24,6 +24,10 @@ PERCENT = 80
 BLOCK = 1 << 16
 # Pairs of one document that one task compares.
 PAIRS_PER_PART = 200
+# In buckets of up to this many nodes all pairs are compared.
+SMALL_BUCKET = 8
+# Above this, members of a bucket are tried on each other before the exact join, whose pairs grow with the square of a bucket.
+LARGE_BUCKET = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -139,6 +143,11 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
+def _can_reach(a: str, b: str) -> Column:
+    """Whether sets of ``a`` and ``b`` shingles can be similar enough."""
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
 def prefix_pairs(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that can reach the similarity, from (node, digest, component, s) rows.
 
@@ -160,7 +169,7 @@ def prefix_pairs(rows: DataFrame) -> DataFrame:
         (F.col("a.x") == F.col("b.x"))
         & (F.col("a.node") < F.col("b.node"))
         & (F.col("a.component") != F.col("b.component"))
-        & (100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n"))
+        & _can_reach("a.n", "b.n")
         & ((100 + PERCENT) * most >= PERCENT * (F.col("a.n") + F.col("b.n")))
     )
     return a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
@@ -170,13 +179,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Group documents whose sets of ``size``-word shingles have a Jaccard similarity of 0.8 or more.
 
     1. Equal texts become one node, the smallest doc_id, so copies cost a row and no comparison.
-    2. Nodes that share a band meet in a bucket. Every node is compared with its buckets' smallest node only, so a
-       bucket of n costs n comparisons. Links are confirmed on the full sets; components of the links settle most buckets.
-    3. In buckets that hold more than one component, each node outside of its bucket's smallest node's component is
-       compared with one member of each of its buckets, drawn anew by every band.
-    4. What still lies in buckets of more than one component goes through an exact prefix-filtered join on its sets.
-       Nothing is capped: a link can be missed only if its two documents share no band (chance 1e-5 at a similarity of
-       0.8, less above) and nothing else links them.
+    2. Nodes that share a band meet in a bucket. In a bucket of more than ``SMALL_BUCKET`` nodes every node is compared
+       with the smallest one only, so a bucket of n costs n comparisons. Links are confirmed on the full sets;
+       components of the links settle most of these buckets.
+    3. In smaller buckets all pairs of different components are compared. In buckets of more than ``LARGE_BUCKET`` that
+       hold more than one component, each node outside of its bucket's smallest node's component is compared with one
+       member of each of its buckets, drawn anew by every band.
+    4. What still lies in buckets of more than ``SMALL_BUCKET`` nodes and of more than one component goes through an
+       exact prefix-filtered join on its sets. Pairs whose sizes alone rule a link out are not compared. Nothing is
+       capped: a link can be missed only if its two documents share no band (chance 1e-5 at a similarity of 0.8, less
+       above) and nothing else links them.
 
     Returns doc_id, n_shingles, component_id, kept, a row per row of ``docs``; rows repeated in all are kept or not alike.
     A text without words and a null text have no shingles and stay alone. Rows that share a doc_id are one node with the
@@ -184,13 +196,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A row without a doc_id is kept and linked with nothing (component null). Other columns are not read.
     """
     sig = materialize(signatures(docs, doc_id, text, size), "signatures")
-    each = sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "doc_id").agg(F.count("*").alias("k"), F.first("bands").alias("bands"))
-    nodes = each.groupBy("digest").agg(F.min(F.struct("doc_id", "k")).alias("m"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.select("digest", F.col("m.doc_id").alias("node"), F.col("m.k").alias("k"), "bands"), "nodes")
-
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    crowded = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    met = materialize(rows.join(crowded, "bucket").select("bucket", "band", "node", "hub"), "buckets")
+    each = sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "doc_id").agg(
+        F.count("*").alias("k"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+    )
+    nodes = each.groupBy("digest").agg(F.min(F.struct("doc_id", "k")).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.select("digest", F.col("m.doc_id").alias("node"), F.col("m.k").alias("k"), "n", "bands"), "nodes")
+
+    rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    crowded = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("m")).where("m > 1")
+    crowded = materialize(crowded.select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), "m"), "crowded")
+    # most buckets hold one node: these rows are dropped where they lie, before the join moves the rest
+    rows = may_match(rows, F.col("bucket"), crowded, F.col("bucket")).where("__may").drop("__may")
+    met = materialize(rows.join(crowded, "bucket"), "buckets")
     wanted = nodes.select("node", "digest", "k").join(met.select("node").distinct(), "node", "left_semi")
     wanted = materialize(wanted, "met")
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.md5(F.col(text)).alias("digest"), F.col(text).alias("t"))
@@ -201,29 +218,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeated = materialize(sets.where("k > 1").dropDuplicates(["node", "digest"]), "sets")
     sets = sets.where("k = 1").unionByName(repeated)
 
-    hubs = met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = met.where((F.col("m") > SMALL_BUCKET) & (F.col("node") != F.col("hub")) & _can_reach("n", "hub_n"))
+    hubs = hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = materialize(_linked(hubs, sets), "links")
     parts = connected_components(links)
 
+    def placed(parts: DataFrame) -> DataFrame:
+        return met.join(small_side(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
     def unsettled(parts: DataFrame) -> DataFrame:
-        """Bucket rows, with components, of the buckets that hold more than one component."""
-        placed = met.join(small_side(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        return materialize(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "unsettled")
-
-    rest = unsettled(parts)
-    drawn = rest.groupBy("bucket").agg(
-        F.min_by(F.struct("node", "component"), F.xxhash64("bucket", "node")).alias("d")
+        """Bucket rows, with components, of the larger buckets that hold more than one component."""
+        rows = placed(parts).where(F.col("m") > SMALL_BUCKET)
+        mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        return materialize(rows.join(mixed.select("bucket"), "bucket", "left_semi"), "unsettled")
+
+    few = placed(parts).where(F.col("m") <= SMALL_BUCKET).select("bucket", "node", "component", "n")
+    x, y = few.alias("x"), few.alias("y")
+    other = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _can_reach("x.n", "y.n")
+    whole = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & other).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    many = unsettled(parts).where(F.col("m") > LARGE_BUCKET)
+    drawn = many.groupBy("bucket").agg(
+        F.min_by(F.struct("node", "component", "n"), F.xxhash64("bucket", "node")).alias("d")
     )
-    tries = rest.join(drawn, "bucket").where("component <> d.component").select(
+    tries = many.join(drawn, "bucket").where((F.col("component") != F.col("d.component")) & _can_reach("n", "d.n")).select(
         F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")
     )
-    more = materialize(_linked(tries.distinct(), sets), "links")
+    more = materialize(_linked(whole.unionByName(tries).distinct(), sets), "links")
     links = links.unionByName(more)
     parts = connected_components(links)
 
-    rest = unsettled(parts).select("node", "component").distinct()
-    last = prefix_pairs(rest.join(sets, "node"))
+    rest = materialize(unsettled(parts).select("node", "component").distinct(), "rest")
+    left = may_match(sets, F.col("node"), rest, F.col("node")).where("__may").drop("__may")
+    last = prefix_pairs(rest.join(left, "node"))
     links = links.unionByName(materialize(_linked(last, sets), "links"))
     parts = connected_components(links)
 
