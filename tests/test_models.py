@@ -247,6 +247,20 @@ def test_best_of_several_kmeans_starts_beats_each_single_one(spark):
     assert (got == plain.argmin(axis=1)).all()
 
 
+def test_kmeans_round_takes_all_starts_at_once(spark, monkeypatch):
+    """Sums and costs equal plain ones whatever the rows of a matrix."""
+    rng = np.random.default_rng(3)
+    x, centres = rng.normal(size=(203, 5)), rng.normal(size=(4, 3, 5))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(3)
+    monkeypatch.setattr(C, "ROUND_ROWS", 16)
+    n, sums, cost = C._round(points, centres)
+    for s in range(4):
+        d = ((x[:, None, :] - centres[s]) ** 2).sum(axis=2)
+        at = d.argmin(axis=1)
+        assert n[s].tolist() == np.bincount(at, minlength=3).tolist() and np.isclose(cost[s], d.min(axis=1).sum())
+        assert np.allclose(sums[s], [x[at == c].sum(axis=0) for c in range(3)])
+
+
 def test_kmeans_of_few_and_equal_points(spark):
     same = vectors(spark, np.ones((9, 2))).select("id", "vec")
     assert C.kmeans_clusters(same, 3).count() == 9

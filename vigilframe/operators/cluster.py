@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from vigilframe.functions.scores import hypothesis
 from vigilframe.operators.ordering import order_hash, top_k
 
 CHUNK_ROWS = 1024
+# Points of a K-means round whose distances to the centres of all starts are one matrix.
+ROUND_ROWS = 1024
 
 
 def ood_vectors(df: DataFrame, ident: str, embedding: str, scores: Sequence[str], flag: str = "is_ood") -> DataFrame:
@@ -36,33 +39,33 @@ def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return x[chosen]
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest centre of each row and its squared distance; ties go to the first centre."""
-    d = (x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)
-    at = d.argmin(axis=1)
-    return at, np.maximum(d[np.arange(len(x)), at], 0.0)
-
-
 def _round(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, sums and cost by start and cluster, of all starts in one job.
 
     A task returns one row per start, cluster and dimension, whatever its number of points.
     """
     starts, k, d = centres.shape
+    flat = centres.reshape(-1, d)
+    lengths = (flat**2).sum(axis=1)
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((starts, k, d + 2))
-        for b in batches:
-            if not len(b):
-                continue
-            x = np.stack(b["vec"].to_numpy()).astype(np.float64)
-            wide = np.column_stack([x, np.ones(len(x)), np.zeros(len(x))])
-            for s in range(starts):
-                at, wide[:, -1] = _nearest(x, centres[s])
-                np.add.at(sums[s], at, wide)
-        yield pd.DataFrame({"i": np.arange(sums.size), "v": sums.ravel()})
-
-    got = points.select("vec").mapInPandas(add, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+        for batch in batches:
+            rows = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            if len(rows) != len(batch):
+                raise ValueError(f"every point needs {d} dimensions")
+            for lo in range(0, len(rows), ROUND_ROWS):
+                x = rows[lo:lo + ROUND_ROWS].astype(np.float64)
+                # all starts at once: distances but for the rows' own lengths, which decide no minimum
+                far = (lengths - 2 * x @ flat.T).reshape(len(x), starts, k)
+                at = far.argmin(axis=2)
+                least = np.take_along_axis(far, at[:, :, None], axis=2)[:, :, 0] + (x**2).sum(axis=1)[:, None]
+                member = (at[:, :, None] == np.arange(k)).astype(np.float64)
+                sums[:, :, : d + 1] += (member.reshape(len(x), -1).T @ np.column_stack([x, np.ones(len(x))])).reshape(starts, k, d + 1)
+                sums[:, 0, d + 1] += np.maximum(least, 0.0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], ["i", "v"])
+
+    got = points.select("vec").mapInArrow(add, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
     sums = np.zeros(starts * k * (d + 2))
     sums[got["i"].to_numpy()] = got["v"].to_numpy()
     sums = sums.reshape(starts, k, d + 2)
@@ -375,7 +378,8 @@ def assign_phases(df: DataFrame, fit: DataFrame, features: Sequence[str], k: int
     """K-means traffic regimes with names derived from the fit subset's centroids."""
     centres, scale = fit_phase_model(fit, features, k, seed)
     fitted = nearest_centre(phase_vector(fit, features, scale), "features", centres)
-    cent = fitted.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in features])
+    # k rows that the naming reads several times
+    cent = materialize(fitted.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in features]), "centroids")
     names = name_phases(cent, "cluster").select("cluster", "phase")
     out = nearest_centre(phase_vector(df, features, scale), "features", centres).drop("features")
     return out.join(F.broadcast(names), "cluster")
