@@ -192,6 +192,29 @@ def test_affinity_is_taken_to_nine_places():
     assert GR.window_affinity(x, "cosine", 1.0)[0][0, 0, 2] == 0
 
 
+def test_cosine_graph_of_records_of_zeros_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from vigilframe.catalog import QUERIES, SQL, load
+
+    load()
+    records = [(7 * j % 5, 3 * j % 4) for j in range(40)] + [(0, 0)] * 8  # pairs of zeros alone, together and in a whole window
+    rows = [(i, i, i % 3 // 2, "view", float(v), f'{{"k": {k}}}') for i, (v, k) in enumerate(records)]
+    path = str(tmp_path / "events.parquet")
+    fields = "event_id long, ts long, user_id long, event_type string, value double, props string"
+    events = spark.createDataFrame(rows, fields).withColumn("ts", F.timestamp_micros("ts").cast("timestamp_ntz"))
+    events.coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    for name in (n for n in SQL if n.startswith("j15_graph")):
+        got, exp = (sorted(map(repr, r)) for r in (
+            map(tuple, QUERIES[name](spark, str(tmp_path)).select("grp", "window_idx", "src", "dst", "weight").collect()),
+            con.execute(f"SELECT grp, window_idx, src, dst, CAST(weight AS DOUBLE) FROM ({SQL[name]})").fetchall(),
+        ))
+        assert got == exp, name
+        assert name != "j15_graph_cosine_sym_weighted" or any("nan" in r for r in exp)
+
+
 def test_random_graph_differs_from_nearest(spark):
     rng = np.random.default_rng(8)
     packed = spark.createDataFrame([(0, rng.normal(size=(12, 3)).tolist())], "w long, features array<array<double>>")
