@@ -144,6 +144,44 @@ def test_dbscan_counts_do_not_go_by_the_order_in_a_chunk(spark):
     assert {r["id"]: r["n"] for r in C._neighbour_counts(pairs, 1.0).collect()} == {i: 1 for i in range(6)}
 
 
+def test_dbscan_pairs_of_vectors_of_one_length_are_dealt_over_tasks(spark, monkeypatch):
+    """Unit vectors lie in one band around the origin; their pairs of chunks must not meet in one task."""
+    monkeypatch.setattr(C, "CHUNK_ROWS", 20)
+    shares, counts = [], C._neighbour_counts
+
+    def spy(pairs, eps):
+        n = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+        shares.append(max(n) / sum(n))
+        return counts(pairs, eps)
+
+    monkeypatch.setattr(C, "_neighbour_counts", spy)
+    x = np.random.default_rng(6).normal(size=(400, 16))
+    x = np.concatenate([x, np.repeat(x[:1], 60, axis=0), x[100:160] + 0.01])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = C.dbscan(vectors(spark, x).select("id", "vec"), 0.8, 3).orderBy("id").collect()
+    assert [r["cluster"] for r in got] == brute_dbscan(x, 0.8, 3)
+    assert shares and max(shares) < 0.5
+
+
+@pytest.mark.parametrize("scale,shift", [(1.0, 0.0), (1.0, 1e6), (1e-3, 0.0), (1e12, 0.0), (1e18, 0.0)])
+def test_near_pairs_at_eps_itself(scale, shift):
+    """A lattice has many pairs at eps to the last bit."""
+    x = np.stack(np.meshgrid(*[np.arange(6.0)] * 3), axis=-1).reshape(-1, 3) * scale + shift
+    x = np.concatenate([x, [[np.nan, 0, 0], [np.inf, 0, 0]]])
+    with np.errstate(all="ignore"):
+        exact = np.sqrt(np.square(x[:, None] - x[None]).sum(axis=2)) <= scale
+    got = np.zeros_like(exact)
+    for i, j in C._near(x, x, scale):
+        got[i, j] = True
+    assert (got == exact).all()
+
+
+def test_dbscan_of_missing_and_infinite_vectors(spark):
+    rows = [(0, [0.0]), (1, [0.1]), (2, None), (3, [math.nan]), (4, [math.inf]), (5, [math.inf]), (6, [9.0])]
+    got = C.dbscan(spark.createDataFrame(rows, "id long, vec array<double>"), 0.5, 2).collect()
+    assert {r["id"]: r["cluster"] for r in got} == {0: 0, 1: 0, 2: -1, 3: -1, 4: -1, 5: -1, 6: -1}
+
+
 def test_dbscan_of_vectors_far_from_the_origin(spark):
     x = np.array([[1e9, 0.0], [1e9, 0.5], [1e9, 1.0], [1e9, 3.0]])
     got = C.dbscan(vectors(spark, x).select("id", "vec"), 0.6, 2).orderBy("id").collect()

@@ -6,8 +6,8 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +15,15 @@ from vigilframe.config import materialize
 from vigilframe.functions.scores import hypothesis
 from vigilframe.operators.ordering import order_hash, top_k
 
-CHUNK_ROWS = 1024
+# Points of a DBSCAN chunk, points that order the chunks, and bytes of chunks that one task passes its own chunks over.
+CHUNK_ROWS = 5000
+PIVOTS = 256
+PART_BYTES = 64 * 1024 * 1024
+# Rows of a chunk whose distances to another chunk are one matrix, and pairs whose differences are taken at once.
+STRIP_ROWS = 64
+SETTLED_PAIRS = 65_536
+# What a chunk holds of each point.
+CELLS = {"id": np.int64, "vec": np.float64, "core": np.bool_, "comp": np.int64}
 # Points of a K-means round whose distances to the centres of all starts are one matrix.
 ROUND_ROWS = 1024
 
@@ -116,105 +124,229 @@ def kmeans_clusters(points: DataFrame, k: int | None = None, seed: int = 42, sta
 
 
 # --- DBSCAN ----------------------------------------------------------------------------
-def _chunks(points: DataFrame, eps: float, pivot: np.ndarray) -> DataFrame:
-    """Points packed into chunks of bounded size, banded by distance to a pivot.
+def _pivots(points: DataFrame) -> np.ndarray:
+    """At most PIVOTS points that a hash of the id picks; only the order of the chunks hangs on them."""
+    picked = points.select(order_hash(0, "id").alias("h"), "id", "vec").orderBy("h", "id").limit(PIVOTS).toPandas()
+    return np.stack(picked["vec"].to_numpy()).astype(np.float64)
 
-    Two points within eps lie in the same band or in neighbouring ones. A crowded band is
-    split by a hash of the id, so a chunk never holds much more than CHUNK_ROWS points.
-    """
-    p = F.array(*[F.lit(float(v)) for v in pivot])
-    dist = F.sqrt(
-        F.aggregate(F.zip_with("vec", p, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
-    )
-    banded = points.withColumn("band", F.floor(dist / float(eps)).cast("long"))
-    sizes = banded.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_ROWS)).cast("int").alias("parts"))
-    return (
-        banded.join(sizes, "band")
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-        .groupBy("band", "part")
-        .agg(F.collect_list(F.struct("id", "vec", "core")).alias("rows"))
-    )
 
+def _spans(rows: int, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of even parts of at most ``most`` rows."""
+    cuts = np.linspace(0, rows, -(-rows // most) + 1).astype(int)
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist())
 
-def _chunk_pairs(chunks: DataFrame) -> DataFrame:
-    """Every unordered pair of chunks of equal or neighbouring bands, once."""
-    left = chunks.select("band", "part", F.col("rows").alias("a")).withColumn(
-        "other", F.explode(F.array(F.col("band"), F.col("band") + 1))
-    )
-    right = chunks.select(F.col("band").alias("other"), F.col("part").alias("part_b"), F.col("rows").alias("b"))
-    return left.join(right, "other").where((F.col("other") > F.col("band")) | (F.col("part") <= F.col("part_b")))
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-def _arrays(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.asarray([r["id"] for r in rows])
-    vec = np.stack([np.asarray(r["vec"], dtype=np.float64) for r in rows])
-    return ids, vec, np.asarray([bool(r["core"]) for r in rows])
 
+def _chunks(points: DataFrame, eps: float, pivots: np.ndarray) -> DataFrame:
+    """(chunk, rows, centre, radius): points (id, vec, core) packed as bytes into chunks of at most CHUNK_ROWS, each inside a ball.
 
-def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
-    """Pairs of rows at a distance of at most eps; where the product's error could decide, the differences do."""
-    norms = np.square(a).sum(1)[:, None] + np.square(b).sum(1)[None, :]
-    d2 = norms - 2 * (a @ b.T)
-    near = d2 <= eps * eps
-    for i, j in zip(*np.nonzero(np.abs(d2 - eps * eps) <= 1e-12 * (1 + norms))):
-        near[i, j] = math.sqrt(np.square(a[i] - b[j]).sum()) <= eps
-    return near
+    Points lie in the order of their nearest pivot, so that near ones share a chunk. ``comp`` of a core point is the
+    smallest id that core points of its own chunk link it with.
+    """
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = (pivots**2).sum(axis=1) / 2
+        for batch in batches:
+            x = _matrix(batch.column("vec"))
+            cells, far = np.zeros(len(x), np.int32), np.zeros(len(x))
+            for lo in range(0, len(x), ROUND_ROWS):
+                at = slice(lo, lo + ROUND_ROWS)
+                cells[at] = (half - x[at] @ pivots.T).argmin(axis=1)
+                far[at] = np.square(x[at] - pivots[cells[at]]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("id", "vec", "core")), pa.array(cells), pa.array(far)], ["id", "vec", "core", "cell", "far"]
+            )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for lo, hi in _spans(len(batch), CHUNK_ROWS):
+                part = batch.slice(lo, hi - lo)
+                ids, x = part.column("id").to_numpy(), _matrix(part.column("vec"))
+                core = part.column("core").to_numpy(zero_copy_only=False)
+                finite = x[np.isfinite(x).all(axis=1)]  # the others are near nothing
+                centre = finite.mean(axis=0) if len(finite) else np.zeros(x.shape[1])
+                radius = np.sqrt(np.square(finite - centre).sum(axis=1).max(initial=0.0))
+                slack = 1e-9 * (1 + radius + np.abs(finite).max(initial=0.0))
+                comp = _local_components(ids, x, core, eps)
+                held = {"id": ids, "vec": x, "core": core, "comp": comp}
+                cells = pa.StructArray.from_arrays([pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in held.values()], list(held))
+                row = [pa.array([number]), cells, pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([float(radius + slack)])]
+                yield pa.RecordBatch.from_arrays(row, ["chunk", "rows", "centre", "radius"])
+                number += 1
+
+    placed = points.select("id", "vec", "core").mapInArrow(nearest, "id long, vec array<double>, core boolean, cell int, far double")
+    dealt = placed.repartitionByRange("cell", "far", "id").sortWithinPartitions("cell", "far", "id").select("id", "vec", "core")
+    row = f"struct<{', '.join(f'{n}: binary' for n in CELLS)}>"
+    return materialize(dealt.mapInArrow(pack, f"chunk long, rows {row}, centre array<double>, radius double"), "chunks")
+
+
+def _chunk_pairs(chunks: DataFrame, eps: float) -> DataFrame:
+    """Every unordered pair of chunks whose balls come within eps, once, in a Cartesian product without a shuffle of pairs.
+
+    A hash of the pair says which of the two stands on the left, so each does about as often.
+    """
+    size = chunks.agg(F.sum(F.octet_length("rows.vec")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    tasks = min(max(size["n"], 1), 2 * chunks.sparkSession.sparkContext.defaultParallelism)
+    side = lambda c, rows: chunks.select(*[F.col(o).alias(f"{o}_{c}") for o in ("chunk", "centre", "radius")], F.col("rows").alias(rows))
+    left, right = side("a", "a").repartition(tasks), side("b", "b").coalesce(-(-(size["b"] or 0) // PART_BYTES) or 1)
+    a, b = F.col("chunk_a"), F.col("chunk_b")
+    gap = F.sqrt(F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
+    turn = (a == b) | ((a < b) == (F.pmod(F.xxhash64(F.least(a, b), F.greatest(a, b)), F.lit(2)) == 0))
+    met = left.join(right.hint("shuffle_replicate_nl"), turn & (gap <= F.col("radius_a") + F.col("radius_b") + float(eps)))
+    return met.select("a", "b", (a == b).alias("same"))
+
+
+def _near(a: np.ndarray, b: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of rows at a distance of at most eps, strip by strip of ``a``.
+
+    Products in single precision decide where their error cannot; the rest is settled by the squared differences, added
+    up in the order of the dimensions.
+    """
+    finite = a[np.isfinite(a).all(axis=1)]
+    centre = finite.mean(axis=0) if len(finite) else np.zeros(a.shape[1])
+    u, v = a - centre, b - centre
+    with np.errstate(all="ignore"):
+        nu, nv = np.square(u).sum(axis=1), np.square(v).sum(axis=1)
+        reach = np.sqrt(nu[np.isfinite(nu)].max(initial=0.0)) + np.sqrt(nv[np.isfinite(nv)].max(initial=0.0))
+        # beyond this single precision has no room for the squares
+        kind = np.float32 if reach < 1e15 else np.float64
+        far = max(np.abs(a[np.isfinite(a)]).max(initial=0.0), np.abs(b[np.isfinite(b)]).max(initial=0.0))
+        d = a.shape[1]
+        slack = (d + 4) * float(np.finfo(kind).eps) * (reach**2 + eps**2) + 4 * (eps + 1e-15 * far) * math.sqrt(d) * 2.0**-52 * far
+        # the product is minus half of the squared distance
+        left = np.column_stack([u, -nu / 2, np.ones(len(u))]).astype(kind)
+        right = np.ascontiguousarray(np.column_stack([v, np.ones(len(v)), -nv / 2]).astype(kind).T)
+        for lo in range(0, len(left), STRIP_ROWS):
+            product = left[lo:lo + STRIP_ROWS] @ right
+            at = np.flatnonzero(product >= -eps * eps / 2 - slack)
+            if not len(at):
+                continue
+            open_ = product.ravel()[at] < -eps * eps / 2 + slack
+            i, j = np.divmod(at, len(b))
+            i += lo
+            if open_.any():
+                keep = ~open_
+                for s in range(0, len(at), SETTLED_PAIRS):
+                    some = s + np.flatnonzero(open_[s:s + SETTLED_PAIRS])
+                    total = np.zeros(len(some))
+                    for c in range(d):
+                        total += np.square(a[i[some], c] - b[j[some], c])
+                    keep[some] = np.sqrt(total) <= eps
+                i, j = i[keep], j[keep]
+            yield i, j
+
+
+def _local_components(ids: np.ndarray, x: np.ndarray, core: np.ndarray, eps: float) -> np.ndarray:
+    """Of each core point the smallest id that it is linked with through core points; -1 for the others."""
+    comp = np.full(len(ids), -1, np.int64)
+    todo = np.flatnonzero(core)
+    todo = todo[np.argsort(ids[todo], kind="stable")]
+    while len(todo):
+        reached, todo = todo[:1], todo[1:]
+        name = ids[reached[0]]
+        comp[reached] = name
+        while len(reached) and len(todo):
+            hit = np.zeros(len(todo), bool)
+            for _, j in _near(x[reached], x[todo], eps):
+                hit[j] = True
+            reached, todo = todo[hit], todo[~hit]
+            comp[reached] = name
+    return comp
+
+
+def _cells(cell: pa.StructScalar | pa.ListScalar) -> dict[str, np.ndarray]:
+    """Columns of a chunk's rows, which are packed as bytes or listed one by one."""
+    if pa.types.is_struct(cell.type):
+        found = {n: np.frombuffer(cell[n].as_buffer(), kind) for n, kind in CELLS.items()}
+        return {**found, "vec": found["vec"].reshape(len(found["id"]), -1)}
+    found = dict(zip((f.name for f in cell.values.type), cell.values.flatten()))
+    return {n: _matrix(v) if n == "vec" else v.to_numpy(zero_copy_only=False) for n, v in found.items()}
+
+
+def _members(chunks: DataFrame) -> DataFrame:
+    """(id, comp) of the core points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column("rows"):
+                rows = _cells(cell)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[n][rows["core"]]) for n in ("id", "comp")], ["id", "comp"])
+
+    return chunks.select("rows").mapInArrow(run, "id long, comp long")
 
 
 def _neighbour_counts(pairs: DataFrame, eps: float) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, same in zip(batch["a"], batch["b"], batch["same"]):
-                ia, va, _ = _arrays(a)
-                ib, vb, _ = _arrays(b)
-                near = _within(va, vb, eps)
-                if same:
+            for cell_a, cell_b, same in zip(*(batch.column(c) for c in ("a", "b", "same"))):
+                a, b = _cells(cell_a), _cells(cell_b)
+                rows, cols = np.zeros(len(a["id"]), np.int64), np.zeros(len(b["id"]), np.int64)
+                for i, j in _near(a["vec"], b["vec"], eps):
+                    rows += np.bincount(i, minlength=len(rows))
+                    cols += np.bincount(j, minlength=len(cols))
+                if same.as_py():
                     # both sides hold the same rows, but not in the same order: nothing may go by places
-                    yield pd.DataFrame({"id": ia, "n": near.sum(axis=1)})
+                    ids, n = a["id"], rows
                 else:
-                    yield pd.DataFrame({"id": np.concatenate([ia, ib]), "n": np.concatenate([near.sum(1), near.sum(0)])})
+                    ids, n = np.concatenate([a["id"], b["id"]]), np.concatenate([rows, cols])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0])], ["id", "n"])
 
-    return pairs.select("a", "b", "same").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return pairs.select("a", "b", "same").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _local_forest(pairs: DataFrame, eps: float) -> DataFrame:
-    """Links between core points and one core neighbour of each border point.
+def _links(pairs: DataFrame, eps: float) -> DataFrame:
+    """Links between the components of core points in chunks, and the smallest core neighbour of border points.
 
-    A chunk pair emits a spanning forest of its core graph, not all of its edges, so the
-    output is linear in the points of the pair.
+    A task emits a spanning forest of the components that it meets, not all of their links.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while parent.setdefault(i, i) != i:
+                parent[i] = i = parent.setdefault(parent[i], parent[i])
+            return i
+
+        none = np.iinfo(np.int64).max
         for batch in batches:
-            for a, b, same in zip(batch["a"], batch["b"], batch["same"]):
-                ia, va, ca = _arrays(a)
-                ib, vb, cb = _arrays(b)
-                near = _within(va, vb, eps)
-                src, dst, kind = [], [], []
-                ids = np.concatenate([ia, ib])
-                parent = np.arange(len(ids))
-                slot = {}
-                for i, v in enumerate(ids):
-                    parent[i] = slot.setdefault(v, i)
-
-                def find(i: int) -> int:
-                    while parent[i] != i:
-                        parent[i] = parent[parent[i]]
-                        i = parent[i]
-                    return i
-
-                for i, j in zip(*np.nonzero(near & ca[:, None] & cb[None, :])):
-                    x, y = find(int(i)), find(int(j) + len(ia))
+            for cell_a, cell_b, same in zip(*(batch.column(c) for c in ("a", "b", "same"))):
+                a, b, same = _cells(cell_a), _cells(cell_b), same.as_py()
+                (names_a, at_a), (names_b, at_b) = (np.unique(c["comp"], return_inverse=True) for c in (a, b))
+                linked = np.zeros((len(names_a), len(names_b)), bool)
+                best_a, best_b = np.full(len(a["id"]), none), np.full(len(b["id"]), none)
+                for i, j in _near(a["vec"], b["vec"], eps):
+                    core_i, core_j = a["core"][i], b["core"][j]
+                    both = core_i & core_j
+                    linked[at_a[i[both]], at_b[j[both]]] = True
+                    border = ~core_i & core_j
+                    np.minimum.at(best_a, i[border], b["id"][j[border]])
+                    if not same:
+                        border = core_i & ~core_j
+                        np.minimum.at(best_b, j[border], a["id"][i[border]])
+                src, dst = [], []
+                for i, j in zip(*np.nonzero(linked)):
+                    u, v = int(names_a[i]), int(names_b[j])
+                    x, y = find(u), find(v)
                     if x != y:
                         parent[max(x, y)] = min(x, y)
-                        src.append(ia[i]), dst.append(ib[j]), kind.append("core")
-                for ids_x, core_y, ids_y, m in ((ia, cb, ib, near & ~ca[:, None]), (ib, ca, ia, near.T & ~cb[:, None])):
-                    reach = m & core_y[None, :]
-                    for i in np.flatnonzero(reach.any(axis=1)):
-                        src.append(ids_x[i]), dst.append(ids_y[reach[i]].min()), kind.append("border")
-                yield pd.DataFrame({"src": src, "dst": dst, "kind": kind}).astype({"src": "int64", "dst": "int64", "kind": str})
+                        src.append(u), dst.append(v)
+                ids, best = np.concatenate([a["id"], b["id"]]), np.concatenate([best_a, best_b])
+                met = best < none
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([np.asarray(src, np.int64), ids[met]])),
+                        pa.array(np.concatenate([np.asarray(dst, np.int64), best[met]])),
+                        pa.array(["core"] * len(src) + ["border"] * int(met.sum()), pa.string()),
+                    ],
+                    ["src", "dst", "kind"],
+                )
 
-    return pairs.select("a", "b", "same").mapInPandas(run, "src long, dst long, kind string").distinct()
+    return pairs.select("a", "b", "same").mapInArrow(run, "src long, dst long, kind string").distinct()
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -250,19 +382,19 @@ def dbscan(points: DataFrame, eps: float = 1.2, min_samples: int = 3) -> DataFra
 
     A border point joins the cluster of its smallest core neighbour.
     """
-    row = points.select(F.size("vec").alias("d")).limit(1).first()
-    if row is None:
+    if points.where("vec is not null").limit(1).count() == 0:
         return points.select("id", F.lit(-1).cast("long").alias("cluster"))
-    pivot = np.zeros(row["d"])
-    plain = points.withColumn("core", F.lit(False))
-    same = (F.col("band") == F.col("other")) & (F.col("part") == F.col("part_b"))
-    counts = _neighbour_counts(_chunk_pairs(_chunks(plain, eps, pivot)).withColumn("same", same), eps)
-    cored = materialize(
-        points.join(counts, "id").withColumn("core", F.col("n") >= min_samples).select("id", "vec", "core"), "core"
-    )
-    links = materialize(_local_forest(_chunk_pairs(_chunks(cored, eps, pivot)).withColumn("same", same), eps), "links")
-    core_links = links.where("kind = 'core'")
-    comp = connected_components(cored.where("core").select("id"), core_links)
+    points = points.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    known = points.where("vec is not null")
+    pivots = _pivots(known)
+    counts = _neighbour_counts(_chunk_pairs(_chunks(known.withColumn("core", F.lit(False)), eps, pivots), eps), eps)
+    # a point that is near itself alone takes no part in any link
+    cored = materialize(known.join(counts, "id").withColumn("core", F.col("n") >= min_samples).where("core or n > 1").drop("n"), "core")
+    chunks = _chunks(cored, eps, pivots)
+    links = materialize(_links(_chunk_pairs(chunks, eps), eps), "links")
+    members = _members(chunks)
+    parts = connected_components(members.select(F.col("comp").alias("id")).distinct(), links.where("kind = 'core'"))
+    comp = members.join(parts.select(F.col("id").alias("comp"), "component"), "comp").select("id", "component")
     border = links.where("kind = 'border'").groupBy("src").agg(F.min("dst").alias("dst"))
     border = border.join(comp, border["dst"] == comp["id"]).select(F.col("src").alias("id"), "component")
     named = comp.unionByName(border)
