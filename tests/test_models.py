@@ -113,6 +113,40 @@ def test_knn_holds_one_batch_and_a_strip_of_cosines():
     tracemalloc.stop()
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_nearest_of_a_bank_whose_cosines_differ_beyond_single_precision(seed):
+    """Later blocks improve the best by less than single precision shows."""
+    rng = np.random.default_rng(seed)
+    centre = G._unit(rng.normal(size=(1, 64)))
+    away = rng.normal(size=(40, 64))
+    away -= (away @ centre.T) * centre
+    # cosines to the centre grow by some 1e-10 from row to row, block after block
+    bank = G._unit(centre + (1e-2 - 1e-8 * np.arange(40))[:, None] * G._unit(away))
+    best = G._merge_best(None, centre, bank[:5], 5)
+    for lo in range(5, 40):
+        best = G._merge_best(best, centre, bank[lo:lo + 1], 5)
+    assert np.allclose(np.sort(best[0]), np.sort((centre @ bank.T)[0])[-5:], rtol=0, atol=1e-15)
+
+
+def test_model_tables_score_their_windows_once(spark, monkeypatch, tmp_path):
+    from vigilframe.catalog import QUERIES, load
+
+    load()
+    passes = spark.sparkContext.accumulator(0)
+    scores = G._nearest
+
+    def counted(x, bank, k):
+        passes.add(len(x))
+        return scores(x, bank, k)
+
+    monkeypatch.setattr(G, "_nearest", counted)
+    x = np.random.default_rng(12).normal(size=(90, 64))
+    rows = [(i, [float(v) for v in r], i % 10) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert QUERIES["s11_model_tables"](spark, str(tmp_path)).count() == 90
+    assert passes.value == 90
+
+
 def brute_dbscan(x, eps, m):
     near = np.linalg.norm(x[:, None] - x[None], axis=2) <= eps
     core = near.sum(axis=1) >= m

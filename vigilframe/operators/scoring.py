@@ -184,19 +184,21 @@ def _merge_best(best: np.ndarray | None, unit: np.ndarray, block: np.ndarray, k:
     """The k largest cosines of each row so far, after one more block of unit vectors; no order inside a row."""
     best = np.empty((len(unit), 0)) if best is None else best
     out = np.empty((len(unit), min(k, best.shape[1] + len(block))))
+    quick = block.astype(np.float32).T if best.shape[1] == k else None
     for lo in range(0, len(unit), STRIP_ROWS):
         at = slice(lo, lo + STRIP_ROWS)
-        out[at] = _merge_strip(best[at], unit[at] @ block.T, k)
+        out[at] = _merge_strip(best[at], unit[at], block, quick, k)
     return out
 
 
-def _merge_strip(best: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
-    if best.shape[1] == k:
-        # only rows that the block improves are sorted again
-        rows = np.flatnonzero(sims.max(axis=1) > best.min(axis=1))
-        best[rows] = np.partition(np.hstack([best[rows], sims[rows]]), -k, axis=1)[:, -k:]
+def _merge_strip(best: np.ndarray, unit: np.ndarray, block: np.ndarray, quick: np.ndarray | None, k: int) -> np.ndarray:
+    if quick is not None:
+        # only rows that the block may improve, by single precision and its largest error, are multiplied and sorted again
+        most = (unit.astype(np.float32) @ quick).max(axis=1) + (unit.shape[1] + 4) * np.finfo(np.float32).eps
+        rows = np.flatnonzero(most > best.min(axis=1))
+        best[rows] = np.partition(np.hstack([best[rows], unit[rows] @ block.T]), -k, axis=1)[:, -k:]
         return best
-    wide = np.hstack([best, sims])
+    wide = np.hstack([best, unit @ block.T])
     return np.partition(wide, -k, axis=1)[:, -k:] if wide.shape[1] > k else wide
 
 
