@@ -1,6 +1,7 @@
 """Stages of the corpus pipeline, each against its operator on its own input."""
 
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vigilframe.llm.curriculum import mix
@@ -44,3 +45,27 @@ def test_rejected_rows_leave_without_moving_the_rest(shipped, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "may_match", lambda *a: moved.append(keep(*a)) or moved[-1])
     assert sorted(map(str, corpus_pipeline._without(docs, rejected).collect())) == want
     assert moved[0].where("__may").count() < 100
+
+
+def test_text_batches_are_bounded_in_bytes(spark):
+    """Whole texts reach Python in batches of some 4 MB; the session's own bound is as before afterwards."""
+    from vigilframe.config import ARROW_BYTES, TEXT_BATCH_BYTES, materialize
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    before = spark.conf.get(ARROW_BYTES)
+    texts = spark.range(600, numPartitions=1).select(F.repeat(F.lit("word "), 10_000).alias("t"))
+    held = materialize(texts.mapInArrow(sizes, "n long"), "sizes", TEXT_BATCH_BYTES).agg(F.max("n")).first()[0]
+    assert held < 1.1 * TEXT_BATCH_BYTES
+    assert spark.conf.get(ARROW_BYTES) == before
+
+
+def test_word_hashes_keep_a_bounded_number_of_words():
+    from vigilframe.llm.words import WordHashes
+
+    words = [b"%d" % i for i in range(120_000)]
+    hashes = WordHashes()
+    assert (hashes.of(words + words[:10])[-10:] == hashes.of(words)[:10]).all()
+    assert len(hashes) <= 50_000

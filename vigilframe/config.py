@@ -16,6 +16,9 @@ BUCKET_TARGET_BYTES = 32 * 1024 * 1024
 SINGLE_TASK_BYTES = 4 * 1024 * 1024
 # Whether Spark removes the shuffle files of a query when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Bytes of an Arrow batch; Spark's own bound, 64 MB, is much for whole texts.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+TEXT_BATCH_BYTES = 4 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -78,20 +81,24 @@ def _local_root() -> str:
     return _LOCAL_ROOT
 
 
-def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, purpose: str = "stage", batch_bytes: int | None = None) -> DataFrame:
     """Cut lineage by writing to the shared folder and reading back.
 
-    Shuffle files of the write go with it: nothing reads them once the table stands.
+    Shuffle files of the write go with it: nothing reads them once the table stands. ``batch_bytes`` bounds the Arrow
+    batches that the write hands to Python: a worker holds two of them, whatever its task's rows.
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    settings = {SHUFFLE_CLEANUP: "true", **({ARROW_BYTES: str(batch_bytes)} if batch_bytes else {})}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)

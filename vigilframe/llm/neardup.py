@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.config import materialize
+from vigilframe.config import TEXT_BATCH_BYTES, materialize
 from vigilframe.llm.common import connected_components, may_match, small_side
 from vigilframe.llm.words import WordHashes
 
@@ -80,6 +80,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list
             if total >= BLOCK:
                 yield ids, digests, sets
                 ids, digests, sets, total = [], [], [], 0
+        batch = i = digest = text = None  # free before the next batch is read
     if ids:
         yield ids, digests, sets
 
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links of all its texts.
     A row without a doc_id is kept and linked with nothing (component null). Other columns are not read.
     """
-    sig = materialize(signatures(docs, doc_id, text, size), "signatures")
+    sig = materialize(signatures(docs, doc_id, text, size), "signatures", TEXT_BATCH_BYTES)
     each = sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "doc_id").agg(
         F.count("*").alias("k"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.md5(F.col(text)).alias("digest"), F.col(text).alias("t"))
     # most texts meet nobody: they are dropped where they lie, before the join moves the rest
     texts = may_match(texts, F.struct("node", "digest"), wanted, F.struct("node", "digest")).where("__may").drop("__may")
-    sets = materialize(shingle_sets(texts.join(small_side(wanted), ["node", "digest"]), size), "sets")
+    sets = materialize(shingle_sets(texts.join(small_side(wanted), ["node", "digest"]), size), "sets", TEXT_BATCH_BYTES)
     # Rows that the input repeats are one set.
     repeated = materialize(sets.where("k > 1").dropDuplicates(["node", "digest"]), "sets")
     sets = sets.where("k = 1").unionByName(repeated)

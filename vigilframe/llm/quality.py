@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.config import materialize
+from vigilframe.config import TEXT_BATCH_BYTES, materialize
 from vigilframe.llm.common import small_side
 
 MIN_WORDS = 50
@@ -269,7 +269,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     counted = counted.withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     )
-    counted = materialize(counted.select("*", *_features()), "counts")
+    counted = materialize(counted.select("*", *_features()), "counts", TEXT_BATCH_BYTES)
 
     fit = counted.where("not base_failed")
     groups = materialize(fit.groupBy("lang", "source").agg(F.count("*").alias("n")), "groups")

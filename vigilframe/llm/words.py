@@ -7,9 +7,9 @@ import xxhash
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes); those met before are looked up, up to a bounded number."""
+    """64-bit hashes of words (bytes); those met before are looked up, up to a bounded number (some 10 MB)."""
 
-    LIMIT = 500_000
+    LIMIT = 50_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
